@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op5_packing
+from .secrets import op9_secrets
 from .sharding import op8_sharding
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_sharding": op8_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_packing": op5_packing,
+    "op8_sharding": op8_sharding,
+    "op9_secrets": op9_secrets,
+}
 ORACLES: dict[str, str] = {}
