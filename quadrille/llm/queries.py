@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op5_packing
 from .secrets import op9_secrets
 from .sharding import op8_sharding
+from .warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
