@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op5_packing
 from .secrets import op9_secrets
 from .sharding import op8_sharding
+from .urlfilter import op10_urls
 from .warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
+    "op10_urls": op10_urls,
 }
 ORACLES: dict[str, str] = {}
