@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import op6_licenses
 from .packing import op5_packing
+from .quality import op3_quality
 from .secrets import op9_secrets
 from .sharding import op8_sharding
 from .urlfilter import op10_urls
 from .warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
+    "op6_licenses": op6_licenses,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_urls": op10_urls,
