@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licenses import op6_licenses
+from .neardup import op7_neardup
 from .packing import op5_packing
 from .quality import op3_quality
 from .secrets import op9_secrets
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_licenses": op6_licenses,
+    "op7_neardup": op7_neardup,
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_urls": op10_urls,
