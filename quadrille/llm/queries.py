@@ -12,10 +12,12 @@ from .packing import op5_packing
 from .quality import op3_quality
 from .secrets import op9_secrets
 from .sharding import op8_sharding
+from .suffixdedup import op2_suffix_dedup
 from .urlfilter import op10_urls
 from .warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
