@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontaminate
 from .licenses import op6_licenses
 from .neardup import op7_neardup
 from .packing import op5_packing
@@ -17,6 +18,7 @@ from .urlfilter import op10_urls
 from .warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
