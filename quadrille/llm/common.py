@@ -81,6 +81,19 @@ def arrow_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def small_batches(batches, text: int, most: int = 4 << 20):
+    """Cuts record batches so that the text column of each holds about `most` bytes: work arrays stay small beside a batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        _, off = arrow_bytes(b.column(text))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def each_bytes(col):
     """The UTF-8 bytes of each row of a string column, null as empty."""
     raw, off = arrow_bytes(col)

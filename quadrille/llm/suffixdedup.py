@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, materialize, text_of
+from .common import arrow_bytes, materialize, small_batches, text_of
 from .neardup import mix
 
 U = np.uint64
@@ -64,7 +64,7 @@ class Texts:
         bad = np.where(self.ids == NO_ID, s, np.maximum(s, e - (width - 1)))
         np.add.at(step, bad, 1)
         np.add.at(step, e, -1)
-        self.valid = np.cumsum(step)[:-1] == 0
+        self.valid = np.cumsum(step, dtype=np.int32)[:-1] == 0
 
     def row_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.off, at, "right") - 1
@@ -107,7 +107,7 @@ class Part(Texts):
         where: dict[tuple, list[int]] = {}
         for r, key in enumerate(zip(self.ids.tolist(), hashes)):
             where.setdefault(key, []).append(r)
-        self.replies: dict[int, dict[int, bytes]] = {1: {}, 2: {}}
+        self.replies: dict[int, dict[int, bytes]] = {1: {}, 2: {}, 3: {}}
         for row in side.to_pylist():
             if row["kind"] == 0:
                 for r in where.get((row["doc_id"], row["text_hash"]), ()):
@@ -118,7 +118,7 @@ class Part(Texts):
         for a, b in self.copied:
             step[a] += 1
             step[b - width + 1] -= 1
-        self.fine = self.valid & (np.cumsum(step)[:-1] == 0)
+        self.fine = self.valid & (np.cumsum(step, dtype=np.int32)[:-1] == 0)
 
     def anchors(self):
         """Runs of windows that share their least-hashed gram: (hash, row, first window, end)."""
@@ -148,8 +148,8 @@ class Part(Texts):
         np.maximum.at(high, inverse, doc)
         return distinct, low != high, inverse
 
-    def windows(self, buckets: int):
-        """Of the windows whose anchor occurs in several documents: (position, entry) and the entries' two hashes and least document."""
+    def needed(self, buckets: int):
+        """Windows whose anchor occurs in several documents: position and two hashes."""
         runs = self.anchors()
         distinct, again, inverse = self.anchor_list(runs)
         again |= unpack(distinct, self.replies[1], buckets)
@@ -157,23 +157,61 @@ class Part(Texts):
         step = np.zeros(len(self.raw) + 1, np.int32)
         step[runs[2][take]] += 1  # runs don't overlap
         np.add.at(step, runs[3][take], -1)
-        need = (np.cumsum(step)[:-1] > 0) & self.fine
-        pos, h, g = [], [], []
+        need = (np.cumsum(step, dtype=np.int32)[:-1] > 0) & self.fine
+        pos, h, g = [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.uint32)]
         for lo, n, data in self.chunks(need):
             own = np.flatnonzero(need[lo : lo + n])
             pos.append(lo + own)
             h.append(mix(rolling(data, [self.width])[0][own]))
             g.append((mix(rolling(data, [self.width], 1)[0][own]) >> U(32)).astype(np.uint32))
-        if not pos:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.uint32), np.empty(0, np.int64)
-        pos, h, g = map(np.concatenate, (pos, h, g))
-        order = np.lexsort((g, h))
-        hs, gs = h[order], g[order]
-        fresh = np.concatenate([[True], (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])])
-        entry = np.empty(len(pos), np.int64)
-        entry[order] = np.cumsum(fresh) - 1
-        least = np.minimum.reduceat(self.ids[self.row_of(pos)][order], np.flatnonzero(fresh))
-        return pos, entry, hs[fresh], gs[fresh], least
+        return np.concatenate(pos), np.concatenate(h), np.concatenate(g)
+
+    def units(self, pos: np.ndarray, h: np.ndarray, g: np.ndarray):
+        """Second parse, of needed windows only: the unit of each window, -1 outside; the units' hashes and first windows.
+
+        A unit is a stretch of needed windows from one trigger of a finer modulus up to the next; equal
+        hashes mean equal bytes, so a unit that an earlier document has goes as a whole too.
+        """
+        if not len(pos):
+            return np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.uint32), pos
+        cut = h < U((1 << 64) // UNIT)
+        apart = np.concatenate([[True], pos[1:] != pos[:-1] + 1])
+        first = np.flatnonzero(cut | apart)
+        uid = np.cumsum(cut | apart) - 1
+        rel = (pos - pos[first][uid]).astype(U)
+        uh = np.add.reduceat(mix(h + rel * U(0xA24BAED4963EE407)), first)
+        ug = np.add.reduceat(mix((h ^ (g.astype(U) << U(16))) * U(0x9FB21C651E98DF25) + rel), first)
+        closed = cut[first] & np.append(cut[first[1:]] & ~apart[first[1:]], False)
+        number = np.cumsum(closed) - 1
+        return np.where(closed, number, -1)[uid], mix(uh[closed]), (mix(ug[closed]) >> U(32)).astype(np.uint32), pos[first[closed]]
+
+    def unit_entries(self, buckets: int):
+        pos, h, g = self.needed(buckets)
+        uid, uh, ug, at = self.units(pos, h, g)
+        return (pos, h, g, uid), distinct_entries(uh, ug, self.ids[self.row_of(at)]), at
+
+    def windows(self, buckets: int, unit_buckets: int):
+        """Windows of copied units; then the other needed windows' positions and their entries."""
+        (pos, h, g, uid), (entry, uh, _, least), at = self.unit_entries(buckets)
+        if len(at):
+            copied = unpack(uh, self.replies[3], unit_buckets)[entry] | (self.ids[self.row_of(at)] > least[entry])
+            gone = (uid >= 0) & copied[uid]
+        else:
+            gone = np.zeros(len(pos), bool)
+        rest = ~gone
+        return pos[gone], pos[rest], distinct_entries(h[rest], g[rest], self.ids[self.row_of(pos[rest])])
+
+
+def distinct_entries(h: np.ndarray, g: np.ndarray, doc: np.ndarray):
+    """Entry of each item in the sorted list of distinct hash pairs; that list; the least document of each entry."""
+    if not len(h):
+        return np.empty(0, np.int64), h, g, doc
+    order = np.lexsort((g, h))
+    hs, gs = h[order], g[order]
+    fresh = np.concatenate([[True], (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])])
+    entry = np.empty(len(h), np.int64)
+    entry[order] = np.cumsum(fresh) - 1
+    return entry, hs[fresh], gs[fresh], np.minimum.reduceat(doc[order], np.flatnonzero(fresh))
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -213,17 +251,31 @@ def meet_anchors(table: pa.Table) -> pa.Table:
     """For each part's anchor hashes of a bucket: a bit for those that another part has too."""
     parts = table.column("part").to_pylist()
     lists = [np.frombuffer(x, U) for x in table.column("body").to_pylist()]
-    every = np.sort(np.concatenate(lists))
-    twice = every[1:][every[1:] == every[:-1]]
-    keep = [i for i, x in enumerate(lists) if np.isin(x, twice).any()]
-    return reply(1, table.column("bucket")[0].as_py(), [parts[i] for i in keep], [np.packbits(np.isin(lists[i], twice)).tobytes() for i in keep])
+    every = np.concatenate(lists)
+    order = np.argsort(every)
+    same = every[order][1:] == every[order][:-1]
+    twice = np.zeros(len(every), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return reply(1, table.column("bucket")[0].as_py(), *packed(parts, [len(x) for x in lists], twice))
+
+
+def packed(parts: list[int], counts: list[int], hit: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """The parts that have a hit, and the bits of each."""
+    out, at = [], 0
+    for p, n in zip(parts, counts):
+        if hit[at : at + n].any():
+            out.append((p, np.packbits(hit[at : at + n]).tobytes()))
+        at += n
+    return [x[0] for x in out], [x[1] for x in out]
 
 
+UNIT = 16  # modulus of the second parse
 ENTRY = 20  # bytes a window takes: hash, least document, second hash
 
 
-def meet_windows(table: pa.Table) -> pa.Table:
-    """For each part's windows of a bucket: a bit for those that a document before the part's own first has."""
+def meet_strings(table: pa.Table, kind: int) -> pa.Table:
+    """For each part's strings of a bucket: a bit for those that a document before the part's own first has."""
     parts = table.column("part").to_pylist()
     bodies = table.column("body").to_pylist()
     counts = [len(b) // ENTRY for b in bodies]
@@ -235,16 +287,18 @@ def meet_windows(table: pa.Table) -> pa.Table:
     least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(hs))))
     hit = np.empty(len(h), bool)
     hit[order] = least < doc[order]
-    out, at = [], 0
-    for p, n in zip(parts, counts):
-        own = hit[at : at + n]
-        at += n
-        if own.any():
-            out.append((p, np.packbits(own).tobytes()))
-    return reply(2, table.column("bucket")[0].as_py(), [x[0] for x in out], [x[1] for x in out])
+    return reply(kind, table.column("bucket")[0].as_py(), *packed(parts, counts, hit))
+
+
+def meet_windows(table: pa.Table) -> pa.Table:
+    return meet_strings(table, 2)
+
 
+def meet_units(table: pa.Table) -> pa.Table:
+    return meet_strings(table, 3)
 
-def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 256, gram: int = 16, part_bytes: int = 4 << 20, bucket_entries: int = 1 << 19) -> DataFrame:
+
+def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 256, gram: int = 20, part_bytes: int = 4 << 20, bucket_entries: int = 1 << 19) -> DataFrame:
     """Removes every byte covered by a `width`-byte string that also starts in a document with a smaller id.
 
     1. Parse: a rolling hash over `width`-byte windows cuts texts into phrases that overlap in the trigger
@@ -253,8 +307,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
     2. Dictionary: its suffixes need to be ordered to a depth of `width` bytes only.  Documents are dealt to
        parts; each part sends the distinct hashes of its windows' least-hashed grams to hash buckets and
        learns which occur elsewhere.
-    3. Windows at such grams go to buckets by a 96-bit hash, with the part's first document; sorted there,
-       equal neighbours meet, and each part learns which of its windows an earlier document has.
+    3. A second, finer parse of the windows at such grams: its units go to buckets by a 96-bit hash, with
+       the part's first document; sorted there, equal neighbours meet, and each part learns which units an
+       earlier document has.  The windows left over go the same way, one by one.
     Parts send each distinct string once however often they hold it, and only bits come back, so a string
     that a third of all documents share is one entry a part.  Texts cross the network once a pass.
 
@@ -266,7 +321,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def parse(batches):
-        for b in batches:
+        for b in small_batches(batches, 1):
             t = Texts(b.column(0), b.column(1), width)
             row, start, end, key = [], [], [], []
             for r, s, e in t.phrases(modulus):
@@ -285,7 +340,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
     side = materialize(copied.select(part, F.lit(0).alias("kind"), none("int").alias("bucket"), "doc_id", "text_hash", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"), none("binary").alias("body")), "pfp-copied")
     dealt = slim.select(part, "doc_id", "text_hash", "text")
     n_buckets = max(8, total // 18 // bucket_entries)
-    n_windows = n_buckets * 4
+    n_units, n_windows = n_buckets, n_buckets
 
     def send_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -294,26 +349,36 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
         distinct = p.anchor_list(p.anchors())[0]
         return message([(b, left.column("part")[0].as_py(), distinct[i:j].tobytes()) for b, i, j in slices(distinct, n_buckets)])
 
+    def strings(left: pa.Table, buckets: int, h, g, doc) -> pa.Table:
+        own = left.column("part")[0].as_py()
+        return message([(b, own, h[i:j].tobytes() + doc[i:j].tobytes() + g[i:j].tobytes()) for b, i, j in slices(h, buckets)])
+
+    def send_units(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return message([])
+        _, h, g, doc = Part(left, right, width, gram).unit_entries(n_buckets)[1]
+        return strings(left, n_units, h, g, doc)
+
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return message([])
-        _, _, h, g, doc = Part(left, right, width, gram).windows(n_buckets)
-        return message([(b, left.column("part")[0].as_py(), h[i:j].tobytes() + doc[i:j].tobytes() + g[i:j].tobytes()) for b, i, j in slices(h, n_windows)])
+        _, h, g, doc = Part(left, right, width, gram).windows(n_buckets, n_units)[2]
+        return strings(left, n_windows, h, g, doc)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         p = Part(left, right, width, gram) if left.num_rows else None
         if p is None:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int64())), "ends": pa.array([], pa.list_(pa.int64())), "kept": pa.array([], pa.binary())})
-        pos, entry, h, _, least = p.windows(n_buckets)
-        earlier = unpack(h, p.replies[2], n_windows)
-        hit = pos[earlier[entry] | (p.ids[p.row_of(pos)] > least[entry])]
+        gone, pos, (entry, h, _, least) = p.windows(n_buckets, n_units)
+        hit = pos[:0] if not len(pos) else pos[unpack(h, p.replies[2], n_windows)[entry] | (p.ids[p.row_of(pos)] > least[entry])]
+        hit = np.concatenate([gone, hit])
         step = np.zeros(len(p.raw) + 1, np.int32)
         np.add.at(step, hit, 1)
         np.add.at(step, hit + width, -1)
         for a, b in p.copied:
             step[a] += 1
             step[b] -= 1
-        gone = np.cumsum(step)[:-1] > 0
+        gone = np.cumsum(step, dtype=np.int32)[:-1] > 0
         starts, ends, kept = [], [], []
         for s, e in zip(p.off[:-1].tolist(), p.off[1:].tolist()):
             own = gone[s:e]
@@ -332,8 +397,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
 
     sent = "bucket int, part int, body binary"
     anchors = materialize(with_side(send_anchors, sent, side).groupBy("bucket").applyInArrow(meet_anchors, SIDE), "pfp-anchors")
-    windows = materialize(with_side(send_windows, sent, side, anchors).groupBy("bucket").applyInArrow(meet_windows, SIDE), "pfp-windows")
-    out = with_side(finish, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary", side, anchors, windows)
+    units = materialize(with_side(send_units, sent, side, anchors).groupBy("bucket").applyInArrow(meet_units, SIDE), "pfp-units")
+    windows = materialize(with_side(send_windows, sent, side, anchors, units).groupBy("bucket").applyInArrow(meet_windows, SIDE), "pfp-windows")
+    out = with_side(finish, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary", side, anchors, units, windows)
     return out.select("doc_id", "n_bytes", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), "kept")
 
 
