@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op1_decontaminate
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_secrets": op9_secrets,
     "op10_urls": op10_urls,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}

@@ -132,8 +132,8 @@ def redact(text: str, spans: list[tuple[int, str, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_redacted: bool = False) -> DataFrame:
-    """Secrets of every whole text: doc_id, spans (array of kind, start, end in code points), redacted where asked for.
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_redacted: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Secrets of every whole text: doc_id, spans (array of kind, start, end in code points), redacted where asked for; then the `carry` columns.
 
     One pass, no shuffle.  Base kinds: assign, access, hex; the method adds github, npm (base-62 CRC-32),
     jwt (decodable header), pem blocks and card (13 to 19 digits alone, Luhn).
@@ -152,10 +152,13 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 spans.append([{"kind": k, "start": a, "end": e} for a, k, e in s])
                 texts.append((redact(text, s) if s else text) if with_redacted else None)
             cols = [b.column(0), pa.array(spans, span)] + ([pa.array(texts, pa.string())] if with_redacted else [])
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "spans", "redacted"][: len(cols)])
+            names = ["doc_id", "spans", "redacted"][: len(cols)]
+            yield pa.RecordBatch.from_arrays(cols + [b.column(2 + i) for i in range(len(extra))], names + extra)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long>>" + (", redacted string" if with_redacted else "")
+    extra = [f"_c{i}" for i in range(len(carry))]
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in zip(carry, extra)])
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    schema = "doc_id long, spans array<struct<kind:string,start:long,end:long>>" + (", redacted string" if with_redacted else "") + "".join(f", {c} {kinds[c]}" for c in extra)
     return slim.mapInArrow(run, schema)
 
 
