@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, materialize, text_of
+from .common import arrow_bytes, materialize, small_batches, text_of
 from .components import connected_components
 
 U = np.uint64
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     salts = mix(np.arange(1, bands + 1, dtype=np.uint64) * U(0xA24BAED4963EE407))
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 1):
             size, digest, low, keys = [], [], [], []
             for s in sets_of(b.column(1), k):
                 size.append(len(s))
@@ -177,28 +177,33 @@ def cut_blocks(d: DataFrame, key: list[str], size: DataFrame, block: int) -> Dat
 def bucket_candidates(members: DataFrame, values: int, threshold: float, block: int) -> DataFrame:
     """Pairs of members of a bucket, of different components and clusters, whose signatures may belong to linked sets.
 
-    members: key, id, comp, hub, low.  A bucket is dealt to blocks and every two blocks meet in a group of
-    their own, so no task holds more than two blocks however large the bucket.  A pair is dropped only if
-    its signatures agree less than six standard errors below the threshold.
+    members: key, id, comp, hub, low.  Members outside a bucket's main component are loose; blocks of
+    loose members meet blocks of all members in groups of their own, so no task holds more than two blocks
+    however large the bucket, and a bucket that is nearly one component costs little.  A pair is dropped
+    only if its signatures agree more than six standard errors below the threshold.
     """
     least = threshold - 6 * math.sqrt(threshold * (1 - threshold) / values)
     least = math.floor(values * max(0.0, least))
-    size = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "nd-size")
-    dealt = cut_blocks(members, ["key"], size, block)
-    grouped = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "hub", "low")
+    each = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    size = each.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", (-F.col("comp")).alias("neg"))).alias("top"))
+    part = lambda rows, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col(rows) / block))
+    whole = lambda rows: F.sequence(F.lit(0).cast("long"), F.ceil(F.col(rows) / block) - 1)
+    size = materialize(size.select("key", "n", (F.col("n") - F.col("top.c")).alias("u"), (-F.col("top.neg")).alias("main")), "nd-size")
+    dealt = materialize(members.join(size, "key"), "nd-dealt")
+    columns = ["key", "i", "j", "loose", "id", "comp", "hub", "low"]
+    loose = dealt.where("comp != main").withColumn("loose", F.lit(True)).withColumn("i", part("u", 5)).withColumn("j", F.explode(whole("n")))
+    every = dealt.withColumn("loose", F.lit(False)).withColumn("j", part("n", 9)).withColumn("i", F.explode(whole("u")))
+    grouped = loose.select(*columns).union(every.select(*columns))
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, comp, hub, block_ = (table.column(c).to_numpy() for c in ("id", "comp", "hub", "block"))
+        ids, comp, hub = (table.column(c).to_numpy() for c in ("id", "comp", "hub"))
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint8).reshape(len(ids), -1)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        i = table.column("i")[0].as_py()
-        left = np.arange(len(ids)) if same else np.flatnonzero(block_ == i)
-        right = np.arange(len(ids)) if same else np.flatnonzero(block_ != i)
+        loose = table.column("loose").to_numpy(zero_copy_only=False).astype(bool)
+        right = np.flatnonzero(~loose)
         a, b = [], []
-        for x in left.tolist():
+        for x in np.flatnonzero(loose).tolist():
             y = right[(comp[right] != comp[x]) & (hub[right] != hub[x])]
-            y = y[ids[y] > ids[x]] if same else y
             if len(y):
                 y = y[(low[y] == low[x]).sum(1) >= least]
                 a += [min(ids[x], q) for q in ids[y]]
