@@ -54,6 +54,12 @@ def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, records: int = 2_000, bytes_: int = 8 << 20) -> None:
+    """Small Arrow batches for this session: texts are long, and executor and Python worker each hold a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete every scratch table of this application (call once its results have been written)."""
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
@@ -81,12 +87,13 @@ def arrow_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def small_batches(batches, text: int, most: int = 4 << 20):
+def small_batches(batches, text: int, most: int = 2 << 20):
     """Cuts record batches so that the text column of each holds about `most` bytes: work arrays stay small beside a batch."""
     for b in batches:
         if not b.num_rows:
             continue
         _, off = arrow_bytes(b.column(text))
+        off = off.copy()
         at = 0
         while at < b.num_rows:
             end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, materialize, small_batches, text_of
+from .common import arrow_bytes, bound_batches, materialize, small_batches, text_of
 from .neardup import mix
 
 U = np.uint64
@@ -132,7 +132,7 @@ class Part(Texts):
             change = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (ok[1:] != ok[:-1])]))
             stop = np.append(change[1:], n)
             keep = ok[change]
-            hashes.append(g[at[change[keep]]])
+            hashes.append(mix(g[at[change[keep]]] ^ U(0x5851F42D4C957F2D)))  # the least hashes of their windows are small: spread them anew
             begin.append(lo + change[keep])
             end.append(lo + stop[keep])
         cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
@@ -298,7 +298,7 @@ def meet_units(table: pa.Table) -> pa.Table:
     return meet_strings(table, 3)
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 256, gram: int = 20, part_bytes: int = 4 << 20, bucket_entries: int = 1 << 19) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 256, gram: int = 20, part_bytes: int = 4 << 20, bucket_entries: int = 1 << 16) -> DataFrame:
     """Removes every byte covered by a `width`-byte string that also starts in a document with a smaller id.
 
     1. Parse: a rolling hash over `width`-byte windows cuts texts into phrases that overlap in the trigger
@@ -318,6 +318,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
     neither removes nor loses anything; rows that repeat an id don't remove each other; an empty table
     gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
     def parse(batches):
