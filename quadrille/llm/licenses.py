@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, text_of
+from .common import arrow_bytes, bound_batches, small_batches, text_of
 
 #: Base phrases and their labels; every place counts.
 BASE = {
@@ -50,7 +50,7 @@ def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[dict[bytes,
     known = {w.encode() for w in vocab}
 
     def count(batches):
-        for b in batches:
+        for b in small_batches(batches, 0):
             raw, off = arrow_bytes(b.column(0))
             folded, off = raw.tobytes().translate(FOLD), off.tolist()
             seen: Counter = Counter()
@@ -136,6 +136,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Cases: a null text has no words and no licence; null ids and repeated rows are kept; texts of any
     length are scanned whole; an empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     df, n_docs = document_frequencies(slim.select("text"), vocabulary(templates, base))
     index = docs.sparkSession.sparkContext.broadcast(LicenseIndex(df, n_docs, base, templates))
@@ -144,7 +145,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         ix = index.value
-        for b in batches:
+        for b in small_batches(batches, 1):
             raw, off = arrow_bytes(b.column(1))
             folded = np.frombuffer(raw.tobytes().translate(FOLD), np.uint8)
             inside = folded != 32

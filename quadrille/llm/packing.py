@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, materialize, text_of
+from .common import bound_batches, gapless, materialize, text_of
 
 #: Texts with other characters, or with what may be a special token, go to the slower reference library.
 UNUSUAL = re.compile(r"[^\x00-ɏ‐-‧€]|<\|")
@@ -68,6 +68,7 @@ def pieces(docs: DataFrame, longest: int = 1024, *, vocabulary: str | None = Non
     ids: little-endian unsigned 32-bit ids.  ranks: the vocabulary as ranks for the fast encoder, None for
     the reference library alone; the ids are the same.
     """
+    bound_batches(docs.sparkSession)
     import public_tokenizers
 
     if longest < 1 or longest & (longest - 1):

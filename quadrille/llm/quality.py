@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, arrow_bytes, text_of
+from .common import WHITE, arrow_bytes, bound_batches, small_batches, text_of
 
 #: The symbols that count.
 SYMBOLS = b"#*$%&|<>"
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, label_col:
     texts = docs.select(F.col("doc_id").alias("_id"), text_of().alias("text")).join(F.broadcast(sample), "_id").select("_id", "_y", "text")
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 2):
             _, x = statistics(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["_id", "_y", "x"])
 
@@ -204,6 +204,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "d
     Cases: a null text has no words and fails; null ids and repeated rows are kept as rows; texts of any
     length are read whole; an empty table gives no rows; columns not in `carry` are ignored.
     """
+    bound_batches(docs.sparkSession)
     model = model or train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
     spread = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
@@ -212,7 +213,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "d
 
     def run(batches):
         trees = spread.value
-        for b in batches:
+        for b in small_batches(batches, 1):
             counts, x = statistics(b.column(1))
             p = 1 / (1 + np.exp(-trees.score(x)))
             failed = (counts[:, 0] < least_words) | (100 * counts[:, 4] > 50 * counts[:, 0])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bound_batches, small_batches, text_of
 
 #: Kinds in the order of reports, and the keywords that open a candidate of each kind.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem", "card")
@@ -133,7 +133,7 @@ def redact(text: str, spans: list[tuple[int, str, int]]) -> str:
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_redacted: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Secrets of every whole text: doc_id, spans (array of kind, start, end in code points), redacted where asked for; then the `carry` columns.
+    """Secrets of every whole text: doc_id, spans (array of kind, start, end in code points), redacted where asked for (null where there is nothing to mask); then the `carry` columns.
 
     One pass, no shuffle.  Base kinds: assign, access, hex; the method adds github, npm (base-62 CRC-32),
     jwt (decodable header), pem blocks and card (13 to 19 digits alone, Luhn).
@@ -141,16 +141,17 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Cases: a null text is empty and has no spans; null ids and repeated rows are kept; texts of any
     length are scanned whole; an empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches, 1):
             spans, texts = [], []
             for t in b.column(1):
                 text = t.as_py()
                 s = find_secrets(text)
                 spans.append([{"kind": k, "start": a, "end": e} for a, k, e in s])
-                texts.append((redact(text, s) if s else text) if with_redacted else None)
+                texts.append(redact(text, s) if s and with_redacted else None)
             cols = [b.column(0), pa.array(spans, span)] + ([pa.array(texts, pa.string())] if with_redacted else [])
             names = ["doc_id", "spans", "redacted"][: len(cols)]
             yield pa.RecordBatch.from_arrays(cols + [b.column(2 + i) for i in range(len(extra))], names + extra)
