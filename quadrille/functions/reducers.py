@@ -45,11 +45,15 @@ def reduce_column(name: str, value: Column | str, *, empty_sum: float = 0.0, ord
     raise ValueError(f"unknown reducer {name!r}; one of {', '.join(NAMES)}")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _median(a: Column) -> Column:
-    s = F.array_sort(a)
-    n = F.size(s)
+    n = F.size(a)
     lo, hi = F.floor((n + 1) / 2).cast("int"), F.floor(n / 2).cast("int") + 1
-    return F.when(n > 0, (F.element_at(s, lo) + F.element_at(s, hi)) / 2)
+    return F.when(n > 0, let(F.array_sort(a), lambda s: (F.element_at(s, lo) + F.element_at(s, hi)) / 2))
 
 
 def _mean(a: Column) -> Column:
@@ -59,11 +63,10 @@ def _mean(a: Column) -> Column:
 def clipped_mean(values: Column, rounds: int = 3) -> Column:
     """Mean of what stays within 3 scaled median deviations of the median, in up to `rounds` rounds."""
 
-    def clip(kept: Column) -> Column:
-        middle = _median(kept)
+    def within(kept: Column, middle: Column) -> Column:
         spread = _median(F.transform(kept, lambda v: F.abs(v - middle))) * (3 * 1.4826)
-        return F.filter(kept, lambda v: F.abs(v - middle) <= spread)
+        return let(spread, lambda s: F.filter(kept, lambda v: F.abs(v - middle) <= s))
 
     for _ in range(rounds):
-        values = clip(values)
-    return _mean(values)
+        values = let(values, lambda kept: let(_median(kept), lambda middle: within(kept, middle)))
+    return let(values, _mean)

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..core import Refusal
 from ..functions.missing import finite, or_nan
@@ -186,7 +187,7 @@ def gmm(x: np.ndarray, k: int, seed: int = 0, rounds: int = 200) -> tuple[np.nda
 def cluster_points(df: DataFrame, n_clusters: int = 1, relax: float = 0.0, method: str = "gmm", axes: Sequence[str] = ("y", "x"), keys: Sequence[str] = ("m", "t", "c"), seed: int = 0) -> DataFrame:
     """cluster of each point of a frame: k-means, or the Gaussian mixture of best BIC with n_clusters +- relax percent."""
     own = [k for k in keys if k in df.columns]
-    schema = df.schema.add("cluster", "long")
+    schema = StructType([*df.schema.fields, StructField("cluster", LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")

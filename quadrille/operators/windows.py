@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..core import need
 from ..functions.missing import NAN, finite, or_nan
@@ -137,7 +138,7 @@ def accumulate_field(df: DataFrame, keys: Sequence[str] = ("m", "c")) -> DataFra
     Strictly ordered in time, so each series is one task; series run in parallel.
     """
     own = [k for k in keys if k in df.columns]
-    schema = df.schema.add("cum_y", "double").add("cum_x", "double")
+    schema = StructType([*df.schema.fields, StructField("cum_y", DoubleType()), StructField("cum_x", DoubleType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "id"], kind="stable").reset_index(drop=True)

@@ -342,7 +342,15 @@ def _(spark, sf):
     return A.stack(stack(spark, sf), "trimmed_mean")
 
 
-@q("stack_sigma_clip")
+CLIP = """clip0 AS (SELECT m, y, x, value FROM stk),
+s1 AS (SELECT c.*, md, dev FROM clip0 c JOIN (SELECT m, y, x, any_value(md) AS md, median(abs(value - md)) AS dev FROM clip0 JOIN (SELECT m, y, x, median(value) AS md FROM clip0 GROUP BY ALL) USING (m, y, x) GROUP BY m, y, x) USING (m, y, x)),
+clip1 AS (SELECT m, y, x, value FROM s1 WHERE abs(value - md) <= dev * 4.4478),
+s2 AS (SELECT c.*, md, dev FROM clip1 c JOIN (SELECT m, y, x, any_value(md) AS md, median(abs(value - md)) AS dev FROM clip1 JOIN (SELECT m, y, x, median(value) AS md FROM clip1 GROUP BY ALL) USING (m, y, x) GROUP BY m, y, x) USING (m, y, x)),
+clip2 AS (SELECT m, y, x, value FROM s2 WHERE abs(value - md) <= dev * 4.4478),
+s3 AS (SELECT c.*, md, dev FROM clip2 c JOIN (SELECT m, y, x, any_value(md) AS md, median(abs(value - md)) AS dev FROM clip2 JOIN (SELECT m, y, x, median(value) AS md FROM clip2 GROUP BY ALL) USING (m, y, x) GROUP BY m, y, x) USING (m, y, x))"""
+
+
+@q("stack_sigma_clip", "SELECT m, y, x, round(avg(value), 6) AS value FROM s3 WHERE abs(value - md) <= dev * 4.4478 GROUP BY m, y, x", VOX, STK, CLIP)
 def _(spark, sf):
     return A.stack(stack(spark, sf), "sigma_clip")
 
