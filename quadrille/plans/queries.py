@@ -21,6 +21,7 @@ from ..operators import tables as T
 from ..operators import tensor as N
 from ..operators import transfer as D
 from ..operators import windows as W
+from ..ship import ship
 from ..sources import io as IO
 from ..streaming import zones as Z
 
@@ -71,7 +72,11 @@ def q(name: str, sql: str | None = None, *ctes: str, digits: int = 6):
     """Registers a query, whose doubles are rounded, and its SQL, which rounds alike."""
 
     def put(f):
-        QUERIES[name] = lambda spark, sf: rounded(f(spark, sf), digits)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship(spark)
+            return rounded(f(spark, sf), digits)
+
+        QUERIES[name] = run
         if sql:
             inner = ("WITH " + ", ".join(ctes) + " " if ctes else "") + sql
             ORACLES[name] = inner
