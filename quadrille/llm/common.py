@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 #: ASCII white space, the separators of "words" in most contracts: \x20 and \x09-\x0D.
 WHITE = b" \t\n\x0b\x0c\r"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -55,7 +57,8 @@ def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = No
 
 
 def bound_batches(spark: SparkSession, records: int = 2_000, bytes_: int = 8 << 20) -> None:
-    """Small Arrow batches for this session: texts are long, and executor and Python worker each hold a batch."""
+    """Small Arrow batches for this session, as texts are long and executor and Python worker each hold a batch; ships the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
 

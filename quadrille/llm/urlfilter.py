@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (
     ("allow", "com", "/"),
@@ -139,6 +141,7 @@ def filter_urls(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_c
     null ids and repeated rows are kept; an empty table gives no rows; other columns are ignored, even
     if called host, path, rule or verdict.
     """
+    bound_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("_url"), F.col(title_col).alias("_title"))
     parts = split_url(slim, "_url")
     name, verdict = rule_of(rules)

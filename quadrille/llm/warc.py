@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
+from ..ship import ship
 from .common import materialize, scratch_path
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_length long, http_headers string, payload binary"
@@ -278,6 +279,7 @@ class WarcDataSource(DataSource):
 
 
 def register(spark) -> None:
+    ship(spark)
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
