@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..core import AxisSizes
 from ..operators import axes as A
+from ..operators import compose as C
 from ..operators import figure as G
 from ..operators import fits as X
 from ..operators import image as I
@@ -1032,6 +1033,37 @@ def _(spark, sf):
     return W.accumulate_field(v)
 
 
+# --- compositions -----------------------------------------------------------------------------------
+
+
+@q("rasterize_nearest", "SELECT v.y, v.x, round(coalesce(arg_min(e.v, (round((v.y - e.y) ** 2 + (v.x - e.x) ** 2, 9), e.id)), 'nan'::DOUBLE), 6) AS v FROM (SELECT a.range - 20 AS y, b.range - 20 AS x FROM range(40) a, range(40) b) v LEFT JOIN emb e ON (v.y - e.y) ** 2 + (v.x - e.x) ** 2 <= 9 GROUP BY v.y, v.x", EMB)
+def _(spark, sf):
+    g = spark.range(40).select((F.col("id") - 20).alias("y")).crossJoin(spark.range(40).select((F.col("id") - 20).alias("x")))
+    return C.rasterize_nearest(vectors(spark, sf).select("id", "y", "x", "v"), g, "v", 3.0)
+
+
+@q("align_to")
+def _(spark, sf):
+    s = stack(spark, sf)
+    return C.align_to(s, s, highpass=0.0)
+
+
+@q("langmuir_fit")
+def _(spark, sf):
+    return C.xy(labels(spark, sf), "area", "mean_intensity", ["grp"], fit="langmuir")
+
+
+@q("track_strain")
+def _(spark, sf):
+    return C.track_field(tracks(spark, sf), 5.0, strain_type="green_lagrange").select("id", "strain_yy", "strain_yx", "strain_xx")
+
+
+@q("field_strain_fd", "SELECT m, gy, gx, round(CASE WHEN gy = 0 THEN lead(u) OVER wy - u WHEN gy = 7 THEN u - lag(u) OVER wy ELSE (lead(u) OVER wy - lag(u) OVER wy) / 2 END, 6) AS strain_yy FROM pv WINDOW wy AS (PARTITION BY m, gx ORDER BY gy)", VOX, PIV)
+def _(spark, sf):
+    d = pivs(spark, sf).withColumnRenamed("u", "disp_y").withColumnRenamed("v", "disp_x")
+    return C.field_strain(d, "fd", keys=["m"]).select("m", "gy", "gx", "strain_yy")
+
+
 # --- sources and streams ----------------------------------------------------------------------------
 
 

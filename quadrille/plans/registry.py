@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from ..core import Refusal
 from ..operators import axes as A
+from ..operators import compose as C
 from ..operators import figure as G
 from ..operators import fits as X
 from ..operators import image as I
@@ -93,17 +94,17 @@ OPERATORS: dict[str, Callable] = {
     "util.trim": A.trim, "util.time_shift": A.time_shift_image, "analysis.filter_labels": T.filter_labels, "analysis.if_else": if_else, "table.curate_objects": T.curate_objects,
     # joins
     "table.join": T.join, "table.unique_objects": S.unique_objects, "table.register_positions": S.register_positions, "track.link": S.link_points, "track.objects": track_objects, "analysis.voronoi": S.voronoi, "analysis.boundary_band": S.boundary_band, "transform.transfer_structure": transfer_structure,
-    "transform.rasterize_field": D.point_to_voxel, "transform.rasterize_mesh": I.rasterize_mesh, "transform.grow_points": S.grow_points, "registration.align_to": S.register_positions, "view.overlay": S.overlay, "view.canvas": S.canvas,
+    "transform.rasterize_field": C.rasterize_nearest, "transform.rasterize_mesh": I.rasterize_mesh, "transform.grow_points": S.grow_points, "registration.align_to": C.align_to, "view.overlay": S.overlay, "view.canvas": S.canvas,
     # unions
     "table.concat": lambda *t, **p: T.concat(t, **p), "util.merge": lambda *t, axis, sizes: A.merge(t, axis, sizes), "util.timeseries": lambda *t, **p: A.timeseries(t, **p), "util.batch": lambda *t: A.batch(t), "util.unbatch": lambda df, size: dict(enumerate(A.split(df, "b", size))), "math.mask": T.mask_math, "util.stitch": A.stitch,
     # aggregations
     "table.aggregate": T.aggregate, "analysis.reduce_scalar": T.reduce_scalar, "transform.transfer_domain": D.lattice, "transform.label_to_points": D.label_to_points, "analysis.measure": D.measure, "util.zproject": A.zproject, "util.stack": A.stack, "util.resample": I.resample, "analysis.object_field": W.density_grid,
     # sequences
-    "analysis.object_metrics": detect_fold, "analysis.track_field": W.track_displacement, "analysis.accumulate_field": W.accumulate_field, "enhance.temporal_gain": W.temporal_gain, "enhance.normalize": W.normalize, "piv.validate": W.piv_validate, "piv.smooth": enhance("piv.smooth"),
+    "analysis.object_metrics": detect_fold, "analysis.track_field": C.track_field, "analysis.accumulate_field": W.accumulate_field, "enhance.temporal_gain": W.temporal_gain, "enhance.normalize": W.normalize, "piv.validate": W.piv_validate, "piv.smooth": enhance("piv.smooth"),
     # arithmetic and tensors
-    "math.values": T.values, "math.image": T.image, "enhance.gamma": W.gamma, "field.gradient": N.gradient, "field.strain": N.strain, "field.rotation": N.rotation, "field.volume_change": N.volume_change, "field.stress": N.stress, "dic.strain": N.strain, "dvc.strain": N.strain,
+    "math.values": T.values, "math.image": T.image, "enhance.gamma": W.gamma, "field.gradient": N.gradient, "field.strain": N.strain, "field.rotation": N.rotation, "field.volume_change": N.volume_change, "field.stress": N.stress, "dic.strain": C.field_strain, "dvc.strain": C.field_strain,
     # fits
-    "table.standard_curve": X.standard_curve, "table.point_source_fit": X.point_source_fit, "analysis.cluster_points": X.cluster_points, "analysis.gradient_map": X.idw_map,
+    "table.standard_curve": X.standard_curve, "table.point_source_fit": X.point_source_fit, "analysis.cluster_points": X.cluster_points, "analysis.gradient_map": C.gradient_map,
     # segmentation and detection
     "analysis.threshold": I.threshold, "analysis.threshold_local": enhance("analysis.threshold_local"), "analysis.multiotsu": I.multiotsu, "analysis.histogram_threshold": I.histogram_threshold, "analysis.label": I.label, "analysis.segment": I.segment, "analysis.edt": enhance("analysis.edt"), "analysis.roi_mask": S.roi_mask,
     "analysis.draw_regions": S.draw_regions, "analysis.extract_boundary": S.extract_boundary, "analysis.tessellate": I.tessellate, "detect.spots": I.spots, "detect.particles": I.particles, "detect.beads": I.beads,
@@ -113,7 +114,7 @@ OPERATORS: dict[str, Callable] = {
     "analysis.optical_flow": I.optical_flow, "analysis.piv": I.piv, "piv.first_pass": lambda df, **p: I.piv(df, passes=1, **p), "piv.deform_pass": lambda df, **p: I.piv(df, passes=2, **p), "dic.grid": N.grid, "dic.initial_guess": I.initial_guess, "dvc.grid": N.grid, "dvc.initial_guess": I.initial_guess,
     **{k: needs("an image correlation solver") for k in ("analysis.dic_correlate", "dic.refine_mesh", "dic.local_match", "dic.global_step", "analysis.dvc_field", "dvc.local_match", "dvc.global_step")},
     # figures
-    "plot.xy": G.xy, "plot.timeseries": G.timeseries, "plot.distribution": distribution, "plot.heatmap": G.heatmap, "plot.field": G.field_limits,
+    "plot.xy": C.xy, "plot.timeseries": G.timeseries, "plot.distribution": distribution, "plot.heatmap": G.heatmap, "plot.field": G.field_limits,
     # control flow
     "flow.iterate": lambda *_, build, **p: graph.sweep(build, **p)[1], "flow.advance": lambda *_, **p: graph.advance(**p), "zone.repeat_in": same, "zone.repeat_out": same, "zone.sim_in": same, "zone.sim_out": lambda df, **p: Z.simulate(df, **p), "zone.frame": Z.frame,
     "group.input": same, "group.output": same, "rr.reroute": same, "view.viewer": same, "page.input": same, "page.output": lambda df, name: T.concat([df], [name]), "data.part": lambda data, domain, name="": data.layer(domain, name),

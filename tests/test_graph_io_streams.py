@@ -153,3 +153,13 @@ def test_streams(spark, sf001, tmp_path):
 
 def test_json_is_plain():
     assert json.loads(P.Graph().add("a", "io.load", path="x").to_json())["nodes"][0]["params"] == {"path": "x"}
+
+
+def test_alignment_finds_a_known_shift(spark):
+    from test_kernels import scene
+
+    from quadrille.operators import compose as C
+
+    frame = lambda a: spark.createDataFrame([(0, y, x, float(a[y, x])) for y in range(a.shape[0]) for x in range(a.shape[1])], "m long, y long, x long, value double")
+    r = C.align_to(frame(scene(2.0, -1.5, 64)), frame(scene(0, 0, 64)), highpass=0.0).first()
+    assert abs(r.shift_y - 2.0) < 0.2 and abs(r.shift_x + 1.5) < 0.2 and r.ncc > 0.9
