@@ -133,23 +133,34 @@ def minimax_cells(groups: DataFrame, shards: int, budget: int = 1 << 15) -> tupl
 
 
 def even_cuts(cells: Cells, capacity: int, shards: int) -> list[int]:
-    """First group key of shards 1.. : every shard within the capacity, and as even as cell boundaries allow."""
-    total, cum = cells.total, cells.cum
-    latest = [total] * (shards + 1)
-    for i in range(shards - 1, -1, -1):
-        latest[i] = int(cum[np.searchsorted(cum, max(0, latest[i + 1] - capacity), "left")])
-    p, keys = 0, []
-    for i in range(1, shards):
-        goal = p + (total - p) / (shards - i + 1)
-        j = int(np.searchsorted(cum, goal, "left"))
-        if j > 0 and (j == len(cum) or goal - cum[j - 1] <= cum[j] - goal):
-            j -= 1
-        top = int(np.searchsorted(cum, p + capacity, "right")) - 1
-        low = int(np.searchsorted(cum, max(p, latest[i]), "left"))
-        j = max(min(j, top), low)
-        p = int(cum[j])
-        keys.append(int(cells.start[j]) if j < len(cells.start) else 2**BITS - 1)
-    return keys
+    """First group key of shards 1.. : every shard within the capacity, and the smallest as large as cell boundaries allow.
+
+    A lower bound is feasible if boundaries can be reached one shard at a time, each shard between the
+    bounds; the largest such bound is found by binary search.  Work is shards times cells a step.
+    """
+    cum, last = cells.cum, len(cells.cum) - 1
+
+    def reach(least: int) -> list[np.ndarray] | None:
+        at = np.zeros(last + 1, bool)
+        at[0] = True
+        steps = [at]
+        lo, hi = np.searchsorted(cum, cum - capacity, "left"), np.searchsorted(cum, cum - least, "right")
+        for _ in range(shards):
+            count = np.concatenate([[0], np.cumsum(steps[-1])])
+            steps.append((hi > lo) & (count[hi] > count[np.minimum(lo, hi)]))
+        return steps if steps[-1][last] else None
+
+    low, high = 0, cells.total // shards
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if reach(mid) else (low, mid - 1)
+    steps = reach(low)
+    keys, b = [], last
+    for i in range(shards - 1, 0, -1):
+        ok = np.flatnonzero(steps[i] & (cum >= cum[b] - capacity) & (cum <= cum[b] - low))
+        b = int(ok[np.argmin(np.abs(cum[ok] - int(cum[b]) * i / (i + 1)))])
+        keys.append(int(cells.start[b]) if b < len(cells.start) else 2**BITS - 1)
+    return keys[::-1]
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
@@ -158,7 +169,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id"
     Atomic groups are documents with equal texts (null counts as empty), ordered by a 63-bit hash of the
     text; a shard is a contiguous run of groups.  The capacity is the smallest for which such a cut
     exists (binary search over capacities with a greedy check, see minimax_cells), so no shard is larger
-    than it must be; within it cuts are placed evenly.  A group larger than an even share sets the
+    than it must be; within it the smallest shard is made as large as can be.  A group larger than an even share sets the
     capacity and stays whole.
 
     Cases: null ids are kept and ordered first; repeated rows are rows of their own; an empty table gives
