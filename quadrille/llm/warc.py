@@ -129,13 +129,13 @@ class Part(InputPartition):
 class Source:
     """Bytes of one archive, record by record; knows plain archives and archives of one gzip member a record."""
 
-    CHUNK = 1 << 16
+    CHUNK, HTTP = 1 << 16, 1 << 12
 
     def __init__(self, f, size: int):
         self.f, self.size, self.at = f, size, 0
 
     def __iter__(self):
-        """For each record: its header dict and a function that gives its block; what isn't asked for isn't decoded."""
+        """For each record: its header dict and a function that gives its block, or just its start with the HTTP headers; what isn't asked for isn't decoded."""
         while self.at < self.size:
             self.f.seek(self.at)
             start = self.f.read(self.CHUNK)
@@ -158,9 +158,12 @@ class Source:
         first, n = self.at + end + 4, int(head["content-length"])
         self.at = first + n + 4
 
-        def block() -> bytes:
+        def block(http_only: bool = False) -> bytes:
             self.f.seek(first)
-            return self.f.read(n)
+            got = self.f.read(min(n, self.HTTP) if http_only else n)
+            while http_only and b"\r\n\r\n" not in got and len(got) < n:
+                got += self.f.read(min(n - len(got), self.HTTP))
+            return got
 
         yield head, block
 
@@ -177,27 +180,25 @@ class Source:
                 raise ValueError("a compressed WARC record has no end")
         head = self.parse(got[:end])
         n = int(head["content-length"])
-        state = {"z": z, "raw": raw, "done": False}
+        parts = [got[end + 4 :]]
 
-        def rest() -> bytes:
-            out = [got[end + 4 :]]
-            raw = state["raw"]
-            while not z.eof:
+        def rest(http_only: bool = False) -> bytes:
+            nonlocal raw
+            out = parts[0]
+            while not z.eof and not (http_only and jump and b"\r\n\r\n" in out):
+                raw = raw or self.f.read(self.CHUNK)
                 if not raw:
-                    raw = self.f.read(self.CHUNK)
-                    if not raw:
-                        raise ValueError("a compressed WARC record has no end")
-                out.append(z.decompress(raw))
-                raw = b""
-            state["done"] = True
-            return b"".join(out)[:n]
+                    raise ValueError("a compressed WARC record has no end")
+                parts.append(z.decompress(raw, self.HTTP if http_only and jump else 0))
+                raw = z.unconsumed_tail
+                out = b"".join(parts) if http_only else out
+            return b"".join(parts)[:n]
 
         yield head, rest
         if jump:
             self.at = begin + jump
         else:
-            if not state["done"]:
-                rest()
+            rest()  # to the member's end, where the next begins
             self.at = self.f.tell() - len(z.unused_data)
 
 
@@ -244,9 +245,11 @@ class WarcReader(DataSourceReader):
                         continue
                     http, payload, length = None, None, None
                     if full or http_only:
-                        http_raw, _, payload = block().partition(b"\r\n\r\n")
+                        http_raw, _, payload = block(not full).partition(b"\r\n\r\n")
                         http = http_raw.decode("utf-8", "replace")
                         fields = Source.parse(http_raw)
+                        if "content-length" not in fields and not full:
+                            payload = block().partition(b"\r\n\r\n")[2]
                         length = int(fields["content-length"]) if "content-length" in fields else len(payload)
                     digest = head.get("warc-payload-digest", "").rpartition(":")[2] or None
                     values = {

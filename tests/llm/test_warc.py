@@ -55,6 +55,23 @@ def test_unwanted_blocks_are_not_decoded(spark, tmp_path):
             assert src.at == len(data) and n > 0
 
 
+def test_foreign_archives(spark, tmp_path):
+    """Plain gzip members without lengths in an extra field, and HTTP blocks without a length."""
+    import gzip
+
+    def rec(i, body):
+        block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + body
+        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(block)) + block + b"\r\n\r\n"
+
+    bodies = [b"", b"a" * 200000, b"xyz"]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(gzip.compress(rec(i, b)) for i, b in enumerate(bodies)))
+    (tmp_path / "w" / "b.warc").write_bytes(b"".join(rec(i + 10, b) for i, b in enumerate(bodies)))
+    for columns in (["record_id", "payload_length"], None):
+        rows = read_warc(spark, str(tmp_path / "w"), columns).collect()
+        assert sorted((r.record_id, r.payload_length) for r in rows) == sorted((f"urn:page:{i + k}", len(b)) for k in (0, 10) for i, b in enumerate(bodies))
+
+
 def test_empty_table(spark, tmp_path):
     write_warc(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert read_warc(spark, str(tmp_path / "w")).count() == 0
