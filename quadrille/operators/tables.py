@@ -120,15 +120,29 @@ def concat(tables: Sequence[DataFrame], labels: Sequence[str] | None = None) ->
     return out.select(*fill)
 
 
-def condition(column: str, op: str, value: float | str | None = None, text: bool = False) -> Column:
-    """A test that a missing value never passes, but for is_nan (not finite)."""
+INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def condition(column: str, op: str, value: float | str | None = None, kind_: str = "double") -> Column:
+    """A test that a missing value never passes, but for is_nan (not finite); null counts as false.
+
+    Comparisons are plain ones between the column and a literal, so that they reach the scan: as NaN
+    sorts above infinity, one more comparison keeps NaN and infinities out.
+    """
     if op in ("is_finite", "is_nan"):
         ok = finite(column).isNotNull()
         return ok if op == "is_finite" else ~ok
-    v = F.when(F.col(column) != "", F.col(column)) if text else finite(column)
-    other = F.lit(value)
-    test = {">": v > other, ">=": v >= other, "<": v < other, "<=": v <= other, "==": v == other, "!=": v != other}[op]
-    return F.coalesce(test, F.lit(False))
+    c = F.col(column)
+    if kind_ in INTEGRAL and isinstance(value, (int, float)) and float(value).is_integer():
+        value = int(value)
+    v = F.lit(value)
+    test = {">": c > v, ">=": c >= v, "<": c < v, "<=": c <= v, "==": c == v, "!=": c != v}[op]
+    if kind_ == "string":
+        return test & (c != "")
+    if kind_ in ("double", "float") and op != "==":
+        above, below = c > float("-inf"), c < float("inf")
+        return test & (below if op[0] == ">" else above if op[0] == "<" else above & below)
+    return test
 
 
 def if_else(df: DataFrame, conditions: Sequence[tuple], match: str = "all") -> tuple[DataFrame, DataFrame]:
@@ -138,10 +152,9 @@ def if_else(df: DataFrame, conditions: Sequence[tuple], match: str = "all") -> t
     need(df, *[c[0] for c in conditions])
     flag = None
     for c in conditions:
-        test = condition(c[0], c[1], c[2] if len(c) > 2 else None, kind(df, c[0]) == "string")
+        test = condition(c[0], c[1], c[2] if len(c) > 2 else None, kind(df, c[0]))
         flag = test if flag is None else (flag & test if match == "all" else flag | test)
-    flagged = df.withColumn("_pass", flag)
-    return flagged.where("_pass").drop("_pass"), flagged.where("not _pass").drop("_pass")
+    return df.where(flag), df.where(~F.coalesce(flag, F.lit(False)))
 
 
 SCOPES = {"plane": ("m", "t", "z", "c"), "volume": ("m", "t", "c"), "series": ("m", "c"), "dataset": ("c",)}
@@ -160,12 +173,11 @@ def filter_labels(df: DataFrame, column: str, method: str = "otsu", keep: str =
 
     need(df, column)
     keys = scope_keys(df, scope)
-    d = df.withColumn("_v", finite(column))
     if method == "fixed":
-        d = d.withColumn("cut", F.lit(float(level)))
-    else:
-        cuts = d.groupBy(*keys).agg(F.percentile("_v", percentile / 100).alias("cut")) if method == "percentile" else group_levels(d, "_v", keys, method)
-        d = d.join(cuts, keys) if keys else d.crossJoin(F.broadcast(cuts))
+        return df.where(condition(column, ">=" if keep == "above" else "<=", float(level), kind(df, column))).withColumn("cut", F.lit(float(level)))
+    d = df.withColumn("_v", finite(column))
+    cuts = d.groupBy(*keys).agg(F.percentile("_v", percentile / 100).alias("cut")) if method == "percentile" else group_levels(d, "_v", keys, method)
+    d = d.join(cuts, keys) if keys else d.crossJoin(F.broadcast(cuts))
     side = F.col("_v") >= F.col("cut") if keep == "above" else F.col("_v") <= F.col("cut")
     return d.where(side).select(*df.columns, "cut")
 
