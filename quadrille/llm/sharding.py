@@ -98,7 +98,7 @@ def spans(cells: Cells, mark: np.ndarray, shift: int, most: int = 64) -> tuple[l
     return runs, taken
 
 
-def minimax_cells(groups: DataFrame, shards: int, budget: int = 1 << 15) -> tuple[Cells, int]:
+def minimax_cells(groups: DataFrame, shards: int, budget: int = 1 << 13) -> tuple[Cells, int]:
     """Cells fine enough to know the optimum exactly, and that optimum.
 
     Each pass sums sizes over at most `budget` key ranges (all that the driver ever holds, whatever the
