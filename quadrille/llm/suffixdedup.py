@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
     phrases = materialize(slim.mapInArrow(parse, "key binary, doc_id long, text_hash long, s long, e long"), "pfp-parse")
     total = phrases.agg(F.sum(F.col("e") - F.col("s"))).first()[0] or 0
     n_parts = max(8, -(-total // part_bytes))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(n_parts)).cast("int").alias("part")
+    part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_parts)).cast("int").alias("part")
     owners = materialize(phrases.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "pfp-owner")
     copied = phrases.join(owners, "key").where("doc_id > owner").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("x"))
     none = lambda t: F.lit(None).cast(t)
