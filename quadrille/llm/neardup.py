@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
 
     Cases: null or blank texts have no set and are linked with nothing; a text of fewer than k words is one
     shingle; a null id is linked with nothing, has a null component and is kept; rows that repeat an id
-    are kept or dropped alike; an empty table gives no rows; other columns are ignored.
+    are kept or dropped alike (an id stands for one text: of several texts under one id, one is linked); an empty table gives no rows; other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     threshold = percent / 100
