@@ -23,13 +23,14 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Seed hosts of known kinds, each counted SEED_WEIGHT times beside the pages that rules decide.
+#: Seed hosts of known kinds; they make up SEED_SHARE of what the model learns, the pages that rules decide the rest.
 SEEDS = {
     "block": ("casino-win", "free-bets", "cheap-pills", "spam-farm", "ads-track", "pokerbonus", "jackpotslots", "onlinecasino", "buycheapmeds", "adultcams", "freecrackdownload", "paydayloans", "clicktracker", "adserver", "linkfarm", "luckybets"),
     "allow": ("news", "library", "university", "museum", "science", "weather", "openlibrary", "cityhall", "localnews", "healthservice", "recipes", "gardening", "history", "encyclopedia", "schoolboard", "publicradio"),
 }
 SEED_WORDS = ("casino", "win", "free", "bets", "cheap", "pills", "spam", "farm", "ads", "track", "poker", "bonus", "jackpot", "slots", "online", "buy", "meds", "adult", "cams", "crack", "download", "payday", "loans", "click", "tracker", "ad", "server", "link", "lucky", "news", "library", "university", "museum", "science", "weather", "open", "city", "hall", "local", "health", "service", "recipes", "gardening", "history", "encyclopedia", "school", "board", "public", "radio", "blog", "mobile")
-SEED_WEIGHT = 20
+SEED_SHARE = 0.5
+LEAST_SHARE = 1e-4  # of all words, what a seed word has at least
 VOCABULARY = 50_000
 LONGEST = 24
 BUCKETS = 1 << 16
@@ -55,10 +56,10 @@ def rule_of(rules=RULES):
 class Segmenter:
     """Splits a run of letters into the words whose unigram probabilities have the largest product."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, float]):
         total = sum(counts.values()) or 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.unknown = math.log(total) + 4.0
+        self.unknown = 4.0 - math.log(LEAST_SHARE)  # as costs are, the same for a table of any size
         self.split = functools.lru_cache(maxsize=50_000)(self.split)
 
     def split(self, run: str) -> tuple[str, ...]:
@@ -82,25 +83,33 @@ def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
 
-def word_counts(pages: DataFrame, title_col: str = "html", most: int = VOCABULARY) -> dict[str, int]:
-    """Unigram counts over the titles and url paths of all pages; the model keeps the `most` frequent words.
+def word_counts(pages: DataFrame, title_col: str = "html", most: int = VOCABULARY) -> dict[str, float]:
+    """Unigram shares over the titles and url paths of all pages; the model keeps the `most` frequent words.
 
     The words are counted over every page; only the model's size is bounded, and so is what reaches the driver.
     """
     title = F.regexp_extract(F.coalesce(F.col(title_col), F.lit("")), r"(?is)<title>([^<]*)</title>", 1)
     words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", title, "path")), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, LONGEST))
     top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()
-    counts = {r.w: r["n"] for r in top}
-    floor = max(1, sum(counts.values()) // 10_000)
+    total = sum(r["n"] for r in top)
+    shares = {r.w: r["n"] / total for r in top}
     for w in SEED_WORDS:
-        counts[w] = max(counts.get(w, 0), floor)
-    return counts
+        shares[w] = max(shares.get(w, 0.0), LEAST_SHARE)
+    return shares
+
+
+def mixed(own: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Shares of own counts and of the seeds', of which the seeds' have the weight SEED_SHARE."""
+    seeds = seeds / seeds.sum()
+    return (1 - SEED_SHARE) * own / own.sum() + SEED_SHARE * seeds if own.sum() else seeds
 
 
 def fit(decided: DataFrame, segmenter_counts, smoothing: float = 0.5) -> tuple[float, np.ndarray]:
     """Prior and per-bucket log odds of block against allow, from every page that a rule decides and the seeds.
 
     Tokens are hashed to BUCKETS features, so the model and what reaches the driver are of fixed size.
+    Of each verdict's tokens, and of the prior, the seeds are SEED_SHARE (all, where no page is decided
+    so), and smoothing is a share too: a table several times over gives the same model.
     """
     spread = decided.sparkSession.sparkContext.broadcast(segmenter_counts)
 
@@ -116,19 +125,21 @@ def fit(decided: DataFrame, segmenter_counts, smoothing: float = 0.5) -> tuple[f
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["y", "b", "n"])
 
     rows = decided.mapInArrow(count, "y int, b int, n long").groupBy("y", "b").agg(F.sum("n").alias("n")).collect()
-    counts, docs = np.full((2, BUCKETS), smoothing / 64), np.ones(2)
+    counts, docs, seeds, seed_docs = np.zeros((2, BUCKETS)), np.zeros(2), np.zeros((2, BUCKETS)), np.zeros(2)
     for r in rows:
         if r.b < 0:
-            docs[r.y] += r["n"]
+            docs[r.y] = r["n"]
         else:
-            counts[r.y, r.b] += r["n"]
+            counts[r.y, r.b] = r["n"]
     seg = Segmenter(segmenter_counts)
     for verdict, hosts in SEEDS.items():
+        v = int(verdict == "block")
+        seed_docs[v] = len(hosts)
         for h in hosts:
             for t in seg.tokens(h, ""):
-                counts[int(verdict == "block"), bucket(t)] += SEED_WEIGHT
-    p = counts / counts.sum(1, keepdims=True)
-    return float(np.log(docs[1] / docs[0])), np.log(p[1] / p[0])
+                seeds[v, bucket(t)] += 1
+    p, prior = np.array([mixed(c, s) for c, s in zip(counts, seeds)]) + smoothing / BUCKETS, mixed(docs, seed_docs)
+    return float(np.log(prior[1] / prior[0])), np.log(p[1] / p[0])
 
 
 def filter_urls(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", title_col: str = "html") -> DataFrame:

@@ -1,5 +1,7 @@
 import math
 
+from pyspark.sql import functions as F
+
 from quadrille.llm.urlfilter import RULES, Segmenter, filter_urls, op10_urls
 
 
@@ -39,6 +41,20 @@ def test_segmentation_is_optimal():
         assert math.isclose(cost(s.split(w)), min(map(cost, all_splits(w))))
 
 
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark, sf001):
+    pages = spark.read.parquet(f"{sf001}/pages.parquet").select("page_id", "url", "html")
+    spam = ("www.casino-win.example.org/de/1", "www.cheap-pills.example.org/es/1", "spam-farm.example.org/fr/2")
+    own = spark.createDataFrame([(-1 - i, f"http://{u}", "") for i, u in enumerate(spam)], "page_id long, url string, html string")
+    pages = pages.union(own)
+    once = {r.page_id: r for r in filter_urls(pages).collect()}
+    for n in (7, 200):
+        more = filter_urls(pages.crossJoin(spark.range(n).select(F.col("id").alias("copy")))).distinct().collect()
+        assert len(more) == len(once)
+        for r in more:
+            assert (r.verdict, r.words) == (once[r.page_id].verdict, once[r.page_id].words) and math.isclose(r.score, once[r.page_id].score, abs_tol=1e-6)
+    assert {once[-1 - i].verdict for i in range(len(spam))} == {"block"}
+
+
 def test_query_and_empty(spark, sf001):
     urls = {r.page_id: r.url for r in spark.read.parquet(f"{sf001}/pages.parquet").collect()}
     rows = op10_urls(spark, sf001).collect()
