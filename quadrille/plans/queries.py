@@ -1029,7 +1029,7 @@ def _(spark, sf):
 
 @q("accumulate_field")
 def _(spark, sf):
-    v = stack(spark, sf).where("y < 3 and x < 3").select("m", "t", (F.col("y") * 3 + F.col("x")).alias("id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("value").alias("disp_y"), F.col("value").alias("disp_x"))
+    v = stack(spark, sf).select("m", "t", (F.col("y") * 8 + F.col("x")).alias("id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("value").alias("disp_y"), F.col("value").alias("disp_x"))
     return W.accumulate_field(v)
 
 

@@ -16,6 +16,17 @@ from quadrille.sources import io as IO
 from quadrille.streaming import zones as Z
 
 
+def test_accumulate_field_takes_every_position(spark, sf001):
+    from quadrille.catalog import QUERIES
+    from quadrille.plans.queries import stack
+
+    keys = ["m", "t", "y", "x"]
+    got = QUERIES["accumulate_field"](spark, sf001)
+    want = stack(spark, sf001).select("m", "t", F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"))
+    assert got.count() == want.count() > 0 and got.select(keys).exceptAll(want.select(keys)).count() == 0
+    assert got.groupBy("m", "t").agg(F.count("id").alias("n"), F.countDistinct("id").alias("k")).where("n <> 64 or k <> 64").count() == 0
+
+
 def test_graph_pulls_only_what_changed(spark):
     d = spark.createDataFrame([(i, i % 3, float(i)) for i in range(12)], "id long, t long, v double")
     ops = OPERATORS | {"src": lambda: d}
