@@ -40,6 +40,18 @@ def enhance(key: str) -> Callable:
     return lambda df, **p: I.enhance(df, key, **p)
 
 
+def only(f: Callable, mode: str, built: str, default: str) -> Callable:
+    """f where the parameter `mode` (by default `default`, as in the survey) is the one that is built in; others are refused by name."""
+
+    def run(*tables, **p):
+        asked = p.pop(mode, default)
+        if asked != built:
+            raise Refusal(f"{mode} {asked!r} is not covered; {mode} {built!r} is built in")
+        return f(*tables, **p)
+
+    return run
+
+
 def if_else(df, **p):
     ok, fail = T.if_else(df, **p)
     return {"pass": ok, "fail": fail}
@@ -94,7 +106,7 @@ OPERATORS: dict[str, Callable] = {
     "util.trim": A.trim, "util.time_shift": A.time_shift_image, "analysis.filter_labels": T.filter_labels, "analysis.if_else": if_else, "table.curate_objects": T.curate_objects,
     # joins
     "table.join": T.join, "table.unique_objects": S.unique_objects, "table.register_positions": S.register_positions, "track.link": S.link_points, "track.objects": track_objects, "analysis.voronoi": S.voronoi, "analysis.boundary_band": S.boundary_band, "transform.transfer_structure": transfer_structure,
-    "transform.rasterize_field": C.rasterize_nearest, "transform.rasterize_mesh": I.rasterize_mesh, "transform.grow_points": S.grow_points, "registration.align_to": C.align_to, "view.overlay": S.overlay, "view.canvas": S.canvas,
+    "transform.rasterize_field": only(C.rasterize_nearest, "method", "nearest", "linear"), "transform.rasterize_mesh": I.rasterize_mesh, "transform.grow_points": S.grow_points, "registration.align_to": C.align_to, "view.overlay": S.overlay, "view.canvas": S.canvas,
     # unions
     "table.concat": lambda *t, **p: T.concat(t, **p), "util.merge": lambda *t, axis, sizes: A.merge(t, axis, sizes), "util.timeseries": lambda *t, **p: A.timeseries(t, **p), "util.batch": lambda *t: A.batch(t), "util.unbatch": lambda df, size: dict(enumerate(A.split(df, "b", size))), "math.mask": T.mask_math, "util.stitch": A.stitch,
     # aggregations
@@ -109,9 +121,9 @@ OPERATORS: dict[str, Callable] = {
     "analysis.threshold": I.threshold, "analysis.threshold_local": enhance("analysis.threshold_local"), "analysis.multiotsu": I.multiotsu, "analysis.histogram_threshold": I.histogram_threshold, "analysis.label": I.label, "analysis.segment": I.segment, "analysis.edt": enhance("analysis.edt"), "analysis.roi_mask": S.roi_mask,
     "analysis.draw_regions": S.draw_regions, "analysis.extract_boundary": S.extract_boundary, "analysis.tessellate": I.tessellate, "detect.spots": I.spots, "detect.particles": I.particles, "detect.beads": I.beads,
     # enhancement and registration
-    **{k: enhance(k) for k in I.FILTERS if k.startswith("enhance.")}, "enhance.remove_blobs": I.remove_blobs, "enhance.wavelet_denoise": needs("a wavelet library"), "enhance.zs_deconvnet": needs("a neural network library"), "align.drift": I.drift, "align.shift": I.shift, "registration.stabilize": I.drift, "transform.rigid": I.rigid,
+    **{k: enhance(k) for k in I.FILTERS if k.startswith("enhance.")}, "enhance.remove_blobs": I.remove_blobs, "enhance.wavelet_denoise": needs("a wavelet library"), "enhance.zs_deconvnet": needs("a neural network library"), "align.drift": I.drift, "align.shift": I.shift, "registration.stabilize": only(I.drift, "model", "translation", "translation"), "transform.rigid": I.rigid,
     # correlation and flow
-    "analysis.optical_flow": I.optical_flow, "analysis.piv": I.piv, "piv.first_pass": lambda df, **p: I.piv(df, passes=1, **p), "piv.deform_pass": lambda df, **p: I.piv(df, passes=2, **p), "dic.grid": N.grid, "dic.initial_guess": I.initial_guess, "dvc.grid": N.grid, "dvc.initial_guess": I.initial_guess,
+    "analysis.optical_flow": only(I.optical_flow, "method", "ilk", "tvl1"), "analysis.piv": I.piv, "piv.first_pass": lambda df, **p: I.piv(df, passes=1, **p), "piv.deform_pass": lambda df, **p: I.piv(df, passes=2, **p), "dic.grid": N.grid, "dic.initial_guess": I.initial_guess, "dvc.grid": N.grid, "dvc.initial_guess": I.initial_guess,
     **{k: needs("an image correlation solver") for k in ("analysis.dic_correlate", "dic.refine_mesh", "dic.local_match", "dic.global_step", "analysis.dvc_field", "dvc.local_match", "dvc.global_step")},
     # figures
     "plot.xy": C.xy, "plot.timeseries": G.timeseries, "plot.distribution": distribution, "plot.heatmap": G.heatmap, "plot.field": G.field_limits,
