@@ -89,8 +89,9 @@ class LicenseIndex:
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places (first word, label) of base phrases, and the best score of each label.
 
-        All occurrences of a rare word are looked up; two of a template's words that name the same start
-        for it agree.  A start counts once its mandatory phrases stand in the text where the template has
+        All occurrences of a rare word are looked up, and every start that one of them names for a template
+        is tried: postings aren't intersected, so a copy that keeps only one rare word is still met.  A start
+        counts once its mandatory phrases stand in the text where the template has
         them, give or take a word a line break or list mark adds; its score is the share of the template's
         IDF weight that the words there carry.
         """
