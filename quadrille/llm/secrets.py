@@ -10,6 +10,7 @@ import re
 import string
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,7 @@ KEYWORDS = {
     "npm": ("npm_",),
     "jwt": ("eyj",),
     "pem": ("-----begin ",),
+    "card": ("card", "visa", "amex", "credit", "payment"),
 }
 #: The patterns, each anchored at its keyword.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,6 +37,8 @@ PREFIXED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END \1PRIVATE KEY-----")
 CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])")
+NEAR = 100  # characters after a card keyword in which a number may start
+TOKEN = re.compile(r"[A-Za-z0-9_-]+")
 BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
 
@@ -79,20 +83,26 @@ def find_secrets(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points of all secrets of a text, ordered by start, then kind as listed.
 
     The automaton runs over the lower-cased bytes, one character each; a pattern is tried only where a
-    keyword stands.  A base kind's matches are leftmost and do not overlap, and one that is too short
-    still uses up its characters.  Kinds that carry a checksum count only if it holds.
+    keyword stands (card: within NEAR characters after one; hex, which the base asks for anywhere, has
+    none).  A base kind's matches are leftmost and do not overlap, and one that is too short still uses up
+    its characters.  Kinds that carry a checksum count only if it holds.  Time is linear in the text:
+    bytes are mapped to code points once, and no stretch is tried again from within.
     """
     raw = text.encode()
-    plain = len(raw) == len(text)
     found: list[tuple[int, str, int]] = []
     used = dict.fromkeys(KEYWORDS, 0)
-    hits = []
-    for end, (kind, n) in automaton().iter(raw.lower().decode("latin-1")):
-        hits.append((end - n + 1, kind))
-    hits.sort()
+    hits = sorted((end - n + 1, kind) for end, (kind, n) in automaton().iter(raw.lower().decode("latin-1")))
+    if hits and len(raw) != len(text):
+        point = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
+        hits = [(int(point[at]), kind) for at, kind in hits]
     for at, kind in hits:
-        if not plain:
-            at = len(raw[:at].decode())
+        if kind == "card":
+            for m in CARD.finditer(text, max(at, used[kind]), min(len(text), at + NEAR + 20)):
+                if m.start() <= at + NEAR:
+                    used[kind] = m.end()
+                    if luhn(m[0]):
+                        found.append((m.start(), kind, m.end()))
+            continue
         if at < used[kind]:
             continue
         if kind == "assign":
@@ -107,6 +117,8 @@ def find_secrets(text: str) -> list[tuple[int, str, int]]:
         elif kind == "jwt":
             m = JWT.match(text, at)
             ok = m and jwt_header(m[1])
+            if not m and (run := TOKEN.match(text, at)):
+                used[kind] = run.end()  # what starts within this run ends with it, and fails too
         else:
             m = PEM.match(text, at)
             ok = bool(m)
@@ -115,7 +127,6 @@ def find_secrets(text: str) -> list[tuple[int, str, int]]:
             if ok:
                 found.append((at, kind, m.end()))
     found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
-    found += [(m.start(), "card", m.end()) for m in CARD.finditer(text) if luhn(m[0])]
     found.sort(key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
     return found
 
@@ -136,10 +147,11 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Secrets of every whole text: doc_id, spans (array of kind, start, end in code points), redacted where asked for (null where there is nothing to mask); then the `carry` columns.
 
     One pass, no shuffle.  Base kinds: assign, access, hex; the method adds github, npm (base-62 CRC-32),
-    jwt (decodable header), pem blocks and card (13 to 19 digits alone, Luhn).
+    jwt (decodable header), pem blocks and card (13 to 19 digits alone, near a card keyword, Luhn).
 
     Cases: a null text is empty and has no spans; null ids and repeated rows are kept; texts of any
-    length are scanned whole; an empty table gives no rows; other columns are ignored.
+    length are scanned whole, in linear time; spans of several kinds at one start are all reported, in
+    the order of KINDS; an empty table gives no rows; other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
