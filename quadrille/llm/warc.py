@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import contextlib
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -126,8 +127,58 @@ class Part(InputPartition):
     files: list[tuple[str, int]]
 
 
+class Inflated:
+    """The plain bytes of one gzip member, in order; knows where the member ends in the archive."""
+
+    STEP = 1 << 16
+
+    def __init__(self, f, start: bytes):
+        self.f, self.z, self.raw, self.held = f, zlib.decompressobj(31), start, b""
+
+    def more(self, most: int) -> bool:
+        """Hold some bytes more; False at the member's end."""
+        while not self.z.eof:
+            self.raw = self.raw or self.f.read(self.STEP)
+            if not self.raw:
+                raise ValueError("a compressed WARC record has no end")
+            got = self.z.decompress(self.raw, most)
+            self.raw = self.z.unconsumed_tail
+            if got:
+                self.held += got
+                return True
+        return False
+
+    def until(self, mark: bytes, step: int) -> int:
+        """Position of the mark in what is held, or -1 where the member ends without it."""
+        at = 0
+        while (found := self.held.find(mark, at)) < 0:
+            at = max(0, len(self.held) - len(mark) + 1)
+            if not self.more(step):
+                return -1
+        return found
+
+    def take(self, n: int) -> bytes:
+        parts, have = [self.held], len(self.held)
+        while have < n:
+            self.held = b""
+            if not self.more(self.STEP):
+                break
+            parts.append(self.held)
+            have += len(self.held)
+        whole = b"".join(parts)
+        self.held = whole[n:]
+        return whole[:n]
+
+    def skip(self, n: int) -> None:
+        while n > 0:
+            if not self.held and not self.more(self.STEP):
+                return
+            cut = min(n, len(self.held))
+            self.held, n = self.held[cut:], n - cut
+
+
 class Source:
-    """Bytes of one archive, record by record; knows plain archives and archives of one gzip member a record."""
+    """Bytes of one archive, record by record: plain archives, a gzip member a record, or members of several records."""
 
     CHUNK, HTTP = 1 << 16, 1 << 12
 
@@ -135,7 +186,7 @@ class Source:
         self.f, self.size, self.at = f, size, 0
 
     def __iter__(self):
-        """For each record: its header dict and a function that gives its block, or just its start with the HTTP headers; what isn't asked for isn't decoded."""
+        """For each record: its header dict, its block's length, and a function that gives its block, or just its start with the HTTP headers; what isn't asked for isn't decoded."""
         while self.at < self.size:
             self.f.seek(self.at)
             start = self.f.read(self.CHUNK)
@@ -148,14 +199,22 @@ class Source:
         pairs = (x.split(":", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
         return {k.strip().lower(): v.strip() for k, v in pairs}
 
+    @classmethod
+    def header(cls, raw: bytes) -> tuple[dict[str, str], int]:
+        head = cls.parse(raw)
+        n = whole_number(head.get("content-length"))
+        if n is None:
+            raise ValueError("a WARC header gives no length of its block")
+        return head, n
+
     def plain(self, start: bytes):
         while (end := start.find(b"\r\n\r\n")) < 0:
             more = self.f.read(self.CHUNK)
             if not more:
                 raise ValueError("a WARC header has no end")
             start += more
-        head = self.parse(start[:end])
-        first, n = self.at + end + 4, int(head["content-length"])
+        head, n = self.header(start[:end])
+        first = self.at + end + 4
         self.at = first + n + 4
 
         def block(http_only: bool = False) -> bytes:
@@ -165,41 +224,42 @@ class Source:
                 got += self.f.read(min(n - len(got), self.HTTP))
             return got
 
-        yield head, block
+        yield head, n, block
 
     def packed(self, start: bytes):
+        """The records of a gzip member.  Where the member gives its length, a block that isn't wanted isn't inflated."""
         jump, begin = 0, self.at
         if start[3] & 4 and start[12:14] == EXTRA:
             jump = struct.unpack("<I", start[16:20])[0]
-        z, got, raw, end = zlib.decompressobj(31), b"", start, -1
-        while end < 0 and not z.eof:
-            got += z.decompress(raw, 4096)
-            end = got.find(b"\r\n\r\n")
-            raw = z.unconsumed_tail or (self.f.read(self.CHUNK) if end < 0 and not z.eof else b"")
-            if not raw and end < 0 and not z.eof:
-                raise ValueError("a compressed WARC record has no end")
-        head = self.parse(got[:end])
-        n = int(head["content-length"])
-        parts = [got[end + 4 :]]
-
-        def rest(http_only: bool = False) -> bytes:
-            nonlocal raw
-            out = parts[0]
-            while not z.eof and not (http_only and jump and b"\r\n\r\n" in out):
-                raw = raw or self.f.read(self.CHUNK)
-                if not raw:
-                    raise ValueError("a compressed WARC record has no end")
-                parts.append(z.decompress(raw, self.HTTP if http_only and jump else 0))
-                raw = z.unconsumed_tail
-                out = b"".join(parts) if http_only else out
-            return b"".join(parts)[:n]
-
-        yield head, rest
-        if jump:
-            self.at = begin + jump
-        else:
-            rest()  # to the member's end, where the next begins
-            self.at = self.f.tell() - len(z.unused_data)
+        z = Inflated(self.f, start)
+        while (end := z.until(b"\r\n\r\n", self.HTTP)) >= 0:
+            head, n = self.header(z.take(end + 4).lstrip(b"\r\n"))
+            left = n
+
+            def block(http_only: bool = False) -> bytes:
+                nonlocal left
+                if not http_only:
+                    got, left = z.take(left), 0
+                    return got
+                end = z.until(b"\r\n\r\n", self.HTTP)
+                got = z.take(min(left, end + 4 if end >= 0 else left))
+                left -= len(got)
+                return got
+
+            yield head, n, block
+            if jump:
+                self.at = begin + jump
+                return
+            z.skip(left + 4)
+        while z.more(z.STEP):
+            z.held = b""
+        self.at = self.f.tell() - len(z.z.unused_data)
+
+
+def whole_number(value: str | None) -> int | None:
+    """The number that a length header starts with (10, 10 is 10); None where there is none."""
+    m = re.match(r"\s*([0-9]+)", value or "")
+    return int(m[1]) if m else None
 
 
 def bare(value: str | None) -> str | None:
@@ -240,17 +300,19 @@ class WarcReader(DataSourceReader):
         full, http_only = "payload" in self.columns, {"payload_length", "http_headers"} & set(self.columns)
         for name, size in partition.files:
             with fs.open_input_file(name) as f:
-                for head, block in Source(f, size):
+                for head, n, block in Source(f, size):
                     if not self.wanted(head):
                         continue
-                    http, payload, length = None, None, None
-                    if full or http_only:
-                        http_raw, _, payload = block(not full).partition(b"\r\n\r\n")
+                    http, payload, length = None, None, n
+                    web = head.get("content-type", "").lower().startswith("application/http")
+                    if web and (full or http_only):
+                        http_raw, mark, payload = block(not full).partition(b"\r\n\r\n")
                         http = http_raw.decode("utf-8", "replace")
-                        fields = Source.parse(http_raw)
-                        if "content-length" not in fields and not full:
-                            payload = block().partition(b"\r\n\r\n")[2]
-                        length = int(fields["content-length"]) if "content-length" in fields else len(payload)
+                        length = n - len(http_raw) - len(mark)
+                        if head.get("warc-type") == "revisit":
+                            length = whole_number(Source.parse(http_raw).get("content-length")) or length
+                    elif full:
+                        payload = block()
                     digest = head.get("warc-payload-digest", "").rpartition(":")[2] or None
                     values = {
                         "record_id": bare(head.get("warc-record-id")), "record_type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"),

@@ -55,21 +55,39 @@ def test_unwanted_blocks_are_not_decoded(spark, tmp_path):
             assert src.at == len(data) and n > 0
 
 
+def raw_record(i, kind, content, block):
+    return b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n" % (kind, i, content, len(block)) + block + b"\r\n\r\n"
+
+
+def test_blocks_that_are_not_http_are_payload_whole(spark, tmp_path):
+    import gzip
+
+    text = b"first part\r\n\r\nsecond part"
+    (tmp_path / "w").mkdir()
+    records = [raw_record(1, b"conversion", b"text/plain", text), raw_record(2, b"warcinfo", b"application/warc-fields", b"a: b\r\n\r\n")]
+    (tmp_path / "w" / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "w" / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    rows = read_warc(spark, str(tmp_path / "w")).where("record_type = 'conversion'").collect()
+    assert [(bytes(r.payload), r.payload_length, r.http_headers) for r in rows] == [(text, len(text), None)] * 2
+    assert [r.payload_length for r in read_warc(spark, str(tmp_path / "w"), ["record_type", "payload_length"]).collect()] == [len(text), 8] * 2
+
+
 def test_foreign_archives(spark, tmp_path):
-    """Plain gzip members without lengths in an extra field, and HTTP blocks without a length."""
+    """Plain gzip members without lengths in an extra field, one member of several records, and odd HTTP lengths."""
     import gzip
 
-    def rec(i, body):
-        block = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + body
-        return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (i, len(block)) + block + b"\r\n\r\n"
+    def rec(i, body, length=b""):
+        block = b"HTTP/1.1 200 OK\r\nX: y\r\n" + length + b"\r\n" + body
+        return raw_record(i, b"response", b"application/http; msgtype=response", block)
 
     bodies = [b"", b"a" * 200000, b"xyz"]
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "a.warc.gz").write_bytes(b"".join(gzip.compress(rec(i, b)) for i, b in enumerate(bodies)))
-    (tmp_path / "w" / "b.warc").write_bytes(b"".join(rec(i + 10, b) for i, b in enumerate(bodies)))
+    (tmp_path / "w" / "b.warc").write_bytes(b"".join(rec(i + 10, b, b"Content-Length: 10, 10\r\n") for i, b in enumerate(bodies)))
+    (tmp_path / "w" / "c.warc.gz").write_bytes(gzip.compress(b"".join(rec(i + 20, b, b"Content-Length: none\r\n") for i, b in enumerate(bodies))))
     for columns in (["record_id", "payload_length"], None):
         rows = read_warc(spark, str(tmp_path / "w"), columns).collect()
-        assert sorted((r.record_id, r.payload_length) for r in rows) == sorted((f"urn:page:{i + k}", len(b)) for k in (0, 10) for i, b in enumerate(bodies))
+        assert sorted((r.record_id, r.payload_length) for r in rows) == sorted((f"urn:page:{i + k}", len(b)) for k in (0, 10, 20) for i, b in enumerate(bodies))
 
 
 def test_empty_table(spark, tmp_path):
