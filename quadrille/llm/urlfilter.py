@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import functools
 import math
-import re
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, materialize
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (
@@ -23,17 +19,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Seed hosts of known kinds; they make up SEED_SHARE of what the model learns, the pages that rules decide the rest.
-SEEDS = {
-    "block": ("casino-win", "free-bets", "cheap-pills", "spam-farm", "ads-track", "pokerbonus", "jackpotslots", "onlinecasino", "buycheapmeds", "adultcams", "freecrackdownload", "paydayloans", "clicktracker", "adserver", "linkfarm", "luckybets"),
-    "allow": ("news", "library", "university", "museum", "science", "weather", "openlibrary", "cityhall", "localnews", "healthservice", "recipes", "gardening", "history", "encyclopedia", "schoolboard", "publicradio"),
-}
-SEED_WORDS = ("casino", "win", "free", "bets", "cheap", "pills", "spam", "farm", "ads", "track", "poker", "bonus", "jackpot", "slots", "online", "buy", "meds", "adult", "cams", "crack", "download", "payday", "loans", "click", "tracker", "ad", "server", "link", "lucky", "news", "library", "university", "museum", "science", "weather", "open", "city", "hall", "local", "health", "service", "recipes", "gardening", "history", "encyclopedia", "school", "board", "public", "radio", "blog", "mobile")
-SEED_SHARE = 0.5
-LEAST_SHARE = 1e-4  # of all words, what a seed word has at least
-VOCABULARY = 50_000
-LONGEST = 24
-BUCKETS = 1 << 16
+LABEL, NAME = 63, 253  # letters that a label of a host name, and characters that the name, can have
+UNKNOWN = 13_000_000  # cost of a letter that no word covers; costs and log odds are whole millionths, so that sums have no order
+FOLDS = 5
+SHARE, SPACE = 0.1, 1 << 16  # smoothing: so much of each class is spread evenly over so many tokens
+PRECISION = 0.9
+FAR = 40_000_000  # beyond this score no threshold is looked for
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,128 +44,161 @@ def rule_of(rules=RULES):
     return name, verdict
 
 
-class Segmenter:
-    """Splits a run of letters into the words whose unigram probabilities have the largest product."""
+def viterbi(length: int, words: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run of letters whose costs have the least sum; words are (start, letters, cost), other letters stand alone."""
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for i, n, c in words:
+        ends.setdefault(i + n, []).append((i, c))
+    best, back = [0], [0]
+    for j in range(1, length + 1):
+        cost, at = min([(best[j - 1] + UNKNOWN, j - 1), *((best[i] + c, i) for i, c in ends.get(j, ()))])
+        best.append(cost)
+        back.append(at)
+    out, j = [], length
+    while j:
+        out.append((back[j], j))
+        j = back[j]
+    return out[::-1]
 
-    def __init__(self, counts: dict[str, float]):
-        total = sum(counts.values()) or 1
-        self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.unknown = 4.0 - math.log(LEAST_SHARE)  # as costs are, the same for a table of any size
-        self.split = functools.lru_cache(maxsize=50_000)(self.split)
 
-    def split(self, run: str) -> tuple[str, ...]:
-        best, back = [0.0], [0]
-        for j in range(1, len(run) + 1):
-            cost, at = min((best[i] + self.cost.get(run[i:j], self.unknown * (j - i) if j - i == 1 else math.inf), i) for i in range(max(0, j - LONGEST), j))
-            best.append(cost)
-            back.append(at)
-        words, j = [], len(run)
-        while j:
-            words.append(run[back[j] : j])
-            j = back[j]
-        return tuple(reversed(words))
+def micro(x):
+    return F.round(x * 1_000_000).cast("long")
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        out = ["h:" + w for run in re.findall(r"[^\W\d_]+", host) for w in self.split(run)]
-        return out + ["p:" + w for w in re.findall(r"[^\W\d_]+", path.lower())]
 
-
-def bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % BUCKETS
+def unigrams(pages: DataFrame, title_col: str) -> DataFrame:
+    """word, cost: every word of two letters or more of all titles and url paths, and minus the log of its share."""
+    title = F.regexp_extract(F.coalesce(F.col(title_col), F.lit("")), r"(?is)<title>([^<]*)</title>", 1)
+    words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", title, "path")), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, LABEL))
+    counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "url-words")
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    return counts.select("word", micro(F.log(F.lit(float(total)) / F.col("n"))).alias("cost"))
 
 
-def word_counts(pages: DataFrame, title_col: str = "html", most: int = VOCABULARY) -> dict[str, float]:
-    """Unigram shares over the titles and url paths of all pages; the model keeps the `most` frequent words.
+def segment_hosts(hosts: DataFrame, words: DataFrame) -> DataFrame:
+    """host, words: each run of letters of a host name, its top-level domain left out, split by unigram Viterbi.
 
-    The words are counted over every page; only the model's size is bounded, and so is what reaches the driver.
+    Only distinct runs are split.  Their substrings meet the words in an equi-join, so the vocabulary is
+    never cut or broadcast.  What is longer than a host name can be stays unsplit.
     """
-    title = F.regexp_extract(F.coalesce(F.col(title_col), F.lit("")), r"(?is)<title>([^<]*)</title>", 1)
-    words = pages.select(F.explode(F.split(F.lower(F.concat_ws(" ", title, "path")), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(2, LONGEST))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()
-    total = sum(r["n"] for r in top)
-    shares = {r.w: r["n"] / total for r in top}
-    for w in SEED_WORDS:
-        shares[w] = max(shares.get(w, 0.0), LEAST_SHARE)
-    return shares
+    name = F.regexp_replace("host", r"\.[^.]*$", "")
+    runs = hosts.select("host", F.regexp_extract_all(name, F.lit(r"(\p{L}+)"), 1).alias("runs"))
+    each = materialize(runs.where(F.length("host") <= NAME).select(F.explode("runs").alias("run")).distinct(), "url-runs")
+    parts = each.select("run", F.explode(F.expr("sequence(1, length(run))")).alias("i")).select("run", "i", F.explode(F.expr(f"sequence(1, least({LABEL}, length(run) - i + 1))")).alias("n")).where("n > 1")
+    met = parts.withColumn("word", F.expr("substring(run, i, n)")).join(words, "word").groupBy("run").agg(F.collect_list(F.struct((F.col("i") - 1).alias("i"), "n", "cost")).alias("met"))
 
+    def split(batches):
+        for b in batches:
+            names = b.column(0).to_pylist()
+            out = [[r[i:j] for i, j in viterbi(len(r), [(w["i"], w["n"], w["cost"]) for w in m or ()])] for r, m in zip(names, b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], ["run", "words"])
 
-def mixed(own: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Shares of own counts and of the seeds', of which the seeds' have the weight SEED_SHARE."""
-    seeds = seeds / seeds.sum()
-    return (1 - SEED_SHARE) * own / own.sum() + SEED_SHARE * seeds if own.sum() else seeds
+    table = materialize(each.join(met, "run", "left").select("run", "met").mapInArrow(split, "run string, words array<string>"), "url-split")
+    at = runs.select("host", F.posexplode("runs").alias("k", "run")).join(table, "run", "left").select("host", "k", F.coalesce("words", F.array("run")).alias("words"))
+    joined = at.groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "words"))), lambda x: x.words)).alias("words"))
+    return hosts.join(joined, "host", "left").select("host", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
-def fit(decided: DataFrame, segmenter_counts, smoothing: float = 0.5) -> tuple[float, np.ndarray]:
-    """Prior and per-bucket log odds of block against allow, from every page that a rule decides and the seeds.
+def fit(tokens: DataFrame, decided: DataFrame) -> tuple[DataFrame, list[int]]:
+    """token, odds: log odds of block against allow under the model of all decided pages (last) and under each that leaves a fold of hosts out; and their priors.
 
-    Tokens are hashed to BUCKETS features, so the model and what reaches the driver are of fixed size.
-    Of each verdict's tokens, and of the prior, the seeds are SEED_SHARE (all, where no page is decided
-    so), and smoothing is a share too: a table several times over gives the same model.
+    A token counts once per page; one that a single host has says nothing of others and is left out.
+    Smoothing is a share of each class, so a table several times over gives the same model.
     """
-    spread = decided.sparkSession.sparkContext.broadcast(segmenter_counts)
+    by_host = tokens.where("y is not null").groupBy("token", "host", "fold").agg(*[F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
+    cell = [F.sum(F.when(F.col("fold") == f, F.col(f"n{y}")).otherwise(0)).alias(f"c{y}{f}") for y in (0, 1) for f in range(FOLDS)]
+    counts = materialize(by_host.groupBy("token").agg(*cell, F.count(F.lit(1)).alias("hosts")).where("hosts > 1"), "url-counts")
+    total = counts.agg(*[F.sum(f"c{y}{f}") for y in (0, 1) for f in range(FOLDS)]).first()
+    total = np.array([float(x or 0) for x in total]).reshape(2, FOLDS)
+    docs = np.zeros((2, FOLDS))
+    for r in decided.groupBy("y", "fold").agg(F.sum("n").alias("n")).collect():
+        docs[r.y, r.fold] = r["n"]
+
+    def less(x: np.ndarray, f: int) -> np.ndarray:
+        return x.sum(1) - (x[:, f] if f < FOLDS else 0)
+
+    odds, priors = [], []
+    for f in range(FOLDS + 1):
+        of = [sum((F.col(f"c{y}{g}") for g in range(FOLDS) if g != f), F.lit(0)) for y in (0, 1)]
+        share = [F.lit((1 - SHARE) / n) * c + F.lit(SHARE / SPACE) if n else F.lit(1 / SPACE) for c, n in zip(of, less(total, f))]
+        odds.append(micro(F.log(share[1] / share[0])))
+        d = less(docs, f)
+        priors.append(round(1_000_000 * math.log(d[1] / d[0])) if d.all() else 0)
+    return counts.select("token", F.array(*odds).alias("odds")), priors
+
+
+def threshold(curve: list[tuple[int, int, int]], precision: float = PRECISION) -> tuple[int | None, float, float]:
+    """The lowest score from which held-out precision is at least `precision` (None where no score has that), with precision and recall there.
+
+    curve: (score, allowed pages, blocked pages) by held-out score.
+    """
+    total = sum(b for _, _, b in curve)
+    best, wrong, right = (None, 1.0, 0.0), 0, 0
+    for s, a, b in sorted(curve, reverse=True):
+        wrong, right = wrong + a, right + b
+        if right and right / (right + wrong) >= precision:
+            best = (s, right / (right + wrong), right / total)
+    return best
 
-    def count(batches):
-        seg = Segmenter(spread.value)
-        for b in batches:
-            seen: Counter = Counter()
-            for host, path, verdict in zip(*(b.column(i).to_pylist() for i in range(3))):
-                v = int(verdict == "block")
-                seen[v, -1] += 1
-                for t in seg.tokens(host, path):
-                    seen[v, bucket(t)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["y", "b", "n"])
-
-    rows = decided.mapInArrow(count, "y int, b int, n long").groupBy("y", "b").agg(F.sum("n").alias("n")).collect()
-    counts, docs, seeds, seed_docs = np.zeros((2, BUCKETS)), np.zeros(2), np.zeros((2, BUCKETS)), np.zeros(2)
-    for r in rows:
-        if r.b < 0:
-            docs[r.y] = r["n"]
-        else:
-            counts[r.y, r.b] = r["n"]
-    seg = Segmenter(segmenter_counts)
-    for verdict, hosts in SEEDS.items():
-        v = int(verdict == "block")
-        seed_docs[v] = len(hosts)
-        for h in hosts:
-            for t in seg.tokens(h, ""):
-                seeds[v, bucket(t)] += 1
-    p, prior = np.array([mixed(c, s) for c, s in zip(counts, seeds)]) + smoothing / BUCKETS, mixed(docs, seed_docs)
-    return float(np.log(prior[1] / prior[0])), np.log(p[1] / p[0])
-
-
-def filter_urls(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", title_col: str = "html") -> DataFrame:
+
+def url_model(parts: DataFrame, title_col: str, precision: float) -> tuple[DataFrame, tuple[int | None, float, float]]:
+    """host, path, score, words of every distinct host and path; and the threshold with its held-out precision and recall.
+
+    parts: host, path, ruled and the page's html, one row a page.
+    """
+    pairs = parts.groupBy("host", "path").agg(F.first("ruled").alias("ruled"), F.count(F.lit(1)).alias("n"))
+    y = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
+    pairs = materialize(pairs.select("host", "path", y.cast("int").alias("y"), "n", F.pmod(F.xxhash64("host", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")), "url-pairs")
+    hosts = materialize(segment_hosts(pairs.select("host").distinct(), unigrams(parts, title_col)), "url-hosts")
+    tag = lambda c, t: F.transform(c, lambda w: F.concat(F.lit(t), w))
+    path_words = F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}+)"), 1)
+    tokens = pairs.join(hosts, "host").select("host", "path", "y", "n", "fold", F.explode(F.array_distinct(F.concat(tag(F.col("words"), "h:"), tag(path_words, "p:")))).alias("token"))
+    tokens = materialize(tokens, "url-tokens")
+    decided = pairs.where("y is not null")
+    odds, priors = fit(tokens, decided)
+    sums = tokens.join(odds, "token").groupBy("host", "path").agg(F.sum(F.element_at("odds", -1)).alias("own"), F.sum(F.expr("odds[fold]")).alias("held"))
+    own = F.coalesce("own", F.lit(0)) + priors[-1]
+    held = F.coalesce("held", F.lit(0)) + F.element_at(F.array(*map(F.lit, priors)), F.col("fold") + 1)
+    scored = materialize(pairs.join(sums, ["host", "path"], "left").select("host", "path", "y", "n", own.alias("score"), held.alias("held")), "url-scores")
+    bin_ = F.least(F.greatest(F.floor(F.col("held") / 10_000), F.lit(-FAR // 10_000)), F.lit(FAR // 10_000))
+    curve = scored.where("y is not null").groupBy(bin_.alias("s")).agg(F.sum((1 - F.col("y")) * F.col("n")).alias("a"), F.sum(F.col("y") * F.col("n")).alias("b")).collect()
+    cut = threshold([(r.s * 10_000, r.a, r.b) for r in curve], precision)
+    return scored.join(hosts, "host").select("host", "path", "score", F.array_join("words", " ").alias("words")), cut
+
+
+def filter_urls(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", title_col: str = "html", precision: float = PRECISION) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block by the model), words (the host, segmented).
 
-    A rule that fits decides; the longest wins.  Other urls get the model's verdict: block if the score
-    is above zero.
+    A rule that fits decides; the longest wins.  Other urls get the model's verdict.  The model learns
+    from the pages that rules decide, from the words of host and path only: top-level domains are no
+    feature.  It blocks from the score at which, on hosts it has not seen (cross-validation over folds of
+    hosts), at least `precision` of what it blocks is blocked by a rule too; if no score has that, it
+    allows.  Everything the driver holds is of fixed size: priors, sums and a curve of 8,001 scores.
 
     Cases: a null url, or one without ://, has an empty host and path, fits no rule and scores the prior;
-    null ids and repeated rows are kept; an empty table gives no rows; other columns are ignored, even
-    if called host, path, rule or verdict.
+    of rules of one length that both fit, the later in order of verdict, host and path wins; urls of any
+    length are judged whole, but a host longer than 253 characters is not split into words; null ids and
+    repeated rows are kept; an empty table gives no rows; other columns are ignored, even if called host,
+    path, rule or verdict.
     """
+    urls, parts = decided_urls(pages, rules, id_col, url_col, title_col)
+    scored, (cut, _, _) = url_model(parts, "_title", precision)
+    method = F.when(F.col("score") >= cut, "block").otherwise("allow") if cut is not None else F.lit("allow")
+    out = urls.join(scored, ["host", "path"], "left")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), (F.col("score") / 1_000_000).alias("score"), "words")
+
+
+def decided_urls(pages: DataFrame, rules, id_col: str, url_col: str, title_col: str) -> tuple[DataFrame, DataFrame]:
     bound_batches(pages.sparkSession)
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("_url"), F.col(title_col).alias("_title"))
-    parts = split_url(slim, "_url")
     name, verdict = rule_of(rules)
-    urls = parts.select("page_id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    counts = word_counts(parts, "_title")
-    prior, odds = fit(urls.where("ruled is not null").select("host", "path", "ruled"), counts)
-    shared = pages.sparkSession.sparkContext.broadcast((counts, prior, odds))
-
-    def score(batches):
-        words, prior, odds = shared.value
-        seg = Segmenter(words)
-        for b in batches:
-            hosts, paths, ruled = (b.column(i).to_pylist() for i in (1, 2, 4))
-            scores, split = [], []
-            for h, p in zip(hosts, paths):
-                t = seg.tokens(h, p)
-                scores.append(prior + float(sum(odds[bucket(x)] for x in t)))
-                split.append(" ".join(x[2:] for x in t if x[0] == "h"))
-            final = [r or ("block" if s > 0 else "allow") for r, s in zip(ruled, scores)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(final, pa.string()), pa.array(scores, pa.float64()), pa.array(split, pa.string())], ["page_id", "host", "path", "rule", "verdict", "score", "words"])
-
-    return urls.mapInArrow(score, "page_id long, host string, path string, rule string, verdict string, score double, words string")
+    urls = split_url(slim, "_url").withColumn("rule", name).withColumn("ruled", verdict)
+    return urls.select("page_id", "host", "path", "rule", "ruled"), urls.select("host", "path", "ruled", "_title")
+
+
+def held_out(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", title_col: str = "html", precision: float = PRECISION) -> tuple[float, float, float]:
+    """Threshold (infinite where nothing is blocked), precision and recall of the model on hosts it has not seen."""
+    cut, p, r = url_model(decided_urls(pages, rules, id_col, url_col, title_col)[1], "_title", precision)[1]
+    return (math.inf if cut is None else cut / 1_000_000), p, r
 
 
 def op10_urls(spark, sf_dir: str) -> DataFrame:
