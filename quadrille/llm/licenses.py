@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_bytes, bound_batches, small_batches, text_of
+from .decontaminate import lcs, masks
+from .license_texts import TEMPLATES, Template
 
 #: Base phrases and their labels; every place counts.
 BASE = {
@@ -18,23 +20,11 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Licence templates: label, words, mandatory key phrases.
-TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted", "free of charge")),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms", "conditions are met")),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee",)),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
-    ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
-)
 #: Words: runs of digits, lower-case letters and non-ASCII bytes, after A-Z are lower-cased.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-ANCHORS = 4
-LEAST_SCORE = 0.6
+ANCHORS = 12  # rarest words of a template that are indexed
+AGREE = 2  # of them, so many different ones must name one start
+DRIFT = 4  # words that may be lost or added between two that agree
 
 
 def words_of(text: str) -> list[bytes]:
@@ -42,7 +32,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def vocabulary(templates=TEMPLATES, base=BASE) -> list[str]:
-    return sorted({w for t in [*base, *(x[1] for x in templates)] for w in t.split()})
+    return sorted({w.decode() for t in [*base, *(x.text for x in templates)] for w in words_of(t)})
 
 
 def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[dict[bytes, int], int]:
@@ -65,67 +55,84 @@ def document_frequencies(docs: DataFrame, vocab: list[str]) -> tuple[dict[bytes,
 
 
 class LicenseIndex:
-    """Postings (template, position) of each template's rarest words, and what a match must show."""
+    """Postings (template, position) of the rarest words of base phrases and templates, and what a match must show."""
 
-    def __init__(self, df: dict[bytes, int], n_docs: int, base=BASE, templates=TEMPLATES, anchors: int = ANCHORS, least: float = LEAST_SCORE):
+    def __init__(self, df: dict[bytes, int], n_docs: int, base=BASE, templates: tuple[Template, ...] = TEMPLATES, anchors: int = ANCHORS):
         idf = lambda w: math.log((n_docs + 1) / (df.get(w, 0) + 1))
-        self.least = least
-        self.words: list[list[bytes]] = []
-        self.label: list[str] = []
-        self.keys: list[list[list[bytes]]] = []
-        self.base = len(base)
-        for words, label, keys in [(p, lab, (p,)) for p, lab in base.items()] + [(t, lab, k) for lab, t, k in templates]:
-            self.words.append(words.encode().split())
-            self.label.append(label)
-            self.keys.append([k.encode().split() for k in keys])
+        rarest = lambda words: sorted(set(words), key=lambda w: (-idf(w), w))
+        self.base = [(words_of(p), label) for p, label in base.items()]
+        self.templates = templates
+        self.words = [words_of(t.text) for t in templates]
+        self.masks = [masks(w) for w in self.words]
+        self.must = [[words_of(p) for p in t.must] for t in templates]
+        self.never = [[words_of(p) for p in t.never] for t in templates]
+        self.agree: list[int] = []
+        self.phrases: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for k, (words, _) in enumerate(self.base):
+            w = rarest(words)[0]
+            self.phrases[w] += [(k, i) for i, x in enumerate(words) if x == w]
         for t, words in enumerate(self.words):
-            rare = sorted(set(words), key=lambda w: (-idf(w), w))[: 1 if t < self.base else anchors]
-            for w in rare:
-                self.postings[w] += [(t, i) for i, x in enumerate(words) if x == w]
-        self.rare = frozenset(self.postings)
-        self.weight = {w: idf(w) + 0.1 for ws in self.words for w in ws}
+            rare = rarest(words)[:anchors]
+            self.agree.append(min(AGREE, len(rare)))
+            for i, w in enumerate(words):
+                if w in rare:
+                    self.postings[w].append((t, i))
+        self.rare = frozenset(self.phrases) | frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """Places (first word, label) of base phrases, and the best score of each label.
 
-        All occurrences of a rare word are looked up, and every start that one of them names for a template
-        is tried: postings aren't intersected, so a copy that keeps only one rare word is still met.  A start
-        counts once its mandatory phrases stand in the text where the template has
-        them, give or take a word a line break or list mark adds; its score is the share of the template's
-        IDF weight that the words there carry.
+        Each occurrence of an indexed word names a start (its place less its position in the template) for
+        every posting.  Postings are intersected: a start counts only where AGREE different rare words of
+        the template name it, give or take DRIFT words.  There the template's mandatory phrases must stand
+        word by word, forbidden ones must not, and the score is the share of the template's words that the
+        text has in the template's order (longest common subsequence).
         """
-        starts: Counter = Counter()
+        places, starts = [], defaultdict(list)
         for i, w in enumerate(words):
             if w in self.rare:
-                for t, p in self.postings[w]:
-                    starts[t, i - p] += 1
-        places, scores = [], {}
-        for t, s in sorted(starts):
-            template = self.words[t]
-            if t < self.base:
-                if s >= 0 and words[s : s + len(template)] == template:
-                    places.append((s, self.label[t]))
-                    scores[self.label[t]] = 1.0
-                continue
-            window = words[max(0, s - 2) : s + len(template) + 4]
-            if not all(self.holds(window, k) for k in self.keys[t]):
-                continue
-            left = Counter(window)
-            got = 0.0
-            for w in template:
-                if left[w]:
-                    left[w] -= 1
-                    got += self.weight[w]
-            score = got / sum(self.weight[w] for w in template)
-            if score >= self.least:
-                scores[self.label[t]] = max(scores.get(self.label[t], 0.0), min(1.0, score))
+                for k, p in self.phrases.get(w, ()):
+                    phrase, label = self.base[k]
+                    if i >= p and words[i - p : i - p + len(phrase)] == phrase:
+                        places.append((i - p, label))
+                for t, p in self.postings.get(w, ()):
+                    starts[t].append((i - p, w))
+        scores = {label: 1.0 for _, label in places}
+        for t, named in starts.items():
+            template = self.templates[t]
+            for s in agreed(sorted(named), self.agree[t]):
+                n = len(self.words[t])
+                region = words[max(0, s - DRIFT) : s + n + n // 8 + 2 * DRIFT]
+                if not all(self.holds(region, k) for k in self.must[t]) or any(self.holds(region, k) for k in self.never[t]):
+                    continue
+                score = lcs(self.masks[t], n, region) / n
+                if score >= template.least:
+                    scores[template.label] = max(scores.get(template.label, 0.0), score)
         return sorted(places), scores
 
     @staticmethod
     def holds(window: list[bytes], phrase: list[bytes]) -> bool:
         n = len(phrase)
-        return any(window[i : i + n] == phrase for i in range(len(window) - n + 1))
+        return any(window[i] == phrase[0] and window[i : i + n] == phrase for i in range(len(window) - n + 1))
+
+
+def agreed(named: list[tuple[int, bytes]], least: int) -> list[int]:
+    """Starts, more than DRIFT apart, that `least` different words name within DRIFT of each other; named is sorted."""
+    out: list[int] = []
+    inside: Counter = Counter()
+    first = 0
+    for s, w in named:
+        inside[w] += 1
+        while named[first][0] < s - DRIFT:
+            v = named[first][1]
+            inside[v] -= 1
+            if not inside[v]:
+                del inside[v]
+            first += 1
+        if len(inside) >= least and (not out or named[first][0] > out[-1] + DRIFT):
+            out.append(named[first][0])
+    return out
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base=BASE, templates=TEMPLATES) -> DataFrame:
@@ -135,7 +142,9 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     vocabulary), which picks each template's rarest words; one scans whole texts through the index.
 
     Cases: a null text has no words and no licence; null ids and repeated rows are kept; texts of any
-    length are scanned whole; an empty table gives no rows; other columns are ignored.
+    length are scanned whole, in linear time; of words equally rare the first in order is indexed; every
+    label whose template fits is reported, and a label's best score counts; an empty table gives no rows;
+    other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -161,8 +170,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             places, licenses = [], []
             for i in range(len(ends) - 1):
                 own = text[ends[i] : ends[i + 1]]
-                words = own.split() if any(w in own for w in ix.rare) else []
-                p, s = ix.scan(words) if not ix.rare.isdisjoint(words) else ([], {})
+                words = own.split()
+                p, s = ([], {}) if ix.rare.isdisjoint(words) else ix.scan(words)
                 places.append([{"word": w, "label": lab} for w, lab in p])
                 licenses.append([{"label": k, "score": s[k]} for k in sorted(s)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(places, place), pa.array(licenses, found)], ["doc_id", "n_words", "places", "licenses"])
