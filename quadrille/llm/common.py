@@ -20,9 +20,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where that is unset and the driver does all the work (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quadrille-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quadrille-{spark.sparkContext.applicationId}"
@@ -46,16 +48,51 @@ def shuffle_cleanup(spark: SparkSession):
             spark.conf.set(CLEANUP, old)
 
 
-def materialize(df: DataFrame, name: str, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+_open: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Deletes at its end the scratch tables written inside, but for those marked `keep`, which the next outer one takes over."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _open.pop():
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def scratch_table(spark: SparkSession, name: str, keep: bool) -> str:
     path = scratch_path(spark, name)
+    level = len(_open) - (2 if keep else 1)
+    if level >= 0:
+        _open[level].append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Write df to the shared scratch folder and read it back: cuts lineage, survives lost executors.  keep: see temporary()."""
+    spark = df.sparkSession
+    path = scratch_table(spark, name, keep)
     with shuffle_cleanup(spark):
-        w = df.write
-        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_table(df: DataFrame, name: str, key: str, files: int, *, keep: bool = False) -> DataFrame:
+    """Like materialize(), but with the rows of each key in one of `files` buckets, so that grouping by the key moves no row again."""
+    spark = df.sparkSession
+    path, own = scratch_table(spark, name, keep), f"scratch_{uuid.uuid4().hex}"
+    with shuffle_cleanup(spark):
+        df.repartition(files, key).write.format("parquet").bucketBy(files, key).option("path", path).saveAsTable(own)
+    out = spark.table(own)
+    out.schema  # resolved, so that the name isn't needed any more
+    spark.sql(f"DROP TABLE {own}")
+    return out
+
+
 def bound_batches(spark: SparkSession, records: int = 2_000, bytes_: int = 8 << 20) -> None:
     """Small Arrow batches for this session, as texts are long and executor and Python worker each hold a batch; ships the package."""
     ship(spark)

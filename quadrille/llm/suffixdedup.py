@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, bound_batches, materialize, small_batches, text_of
+from .common import arrow_bytes, bound_batches, dealt_table, materialize, small_batches, temporary, text_of
 from .neardup import mix
 
 U = np.uint64
@@ -18,7 +18,8 @@ _rng = np.random.default_rng(20250102)
 TABLES = [_rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1) for _ in range(2)]
 BASES = [int(x) * 2 + 1 for x in _rng.integers(2**61, 2**62, 2)]
 NO_ID = np.iinfo(np.int64).max
-SIDE = "part int, kind int, bucket int, doc_id long, text_hash long, starts array<long>, ends array<long>, body binary"
+SIDE = "part int, kind int, bucket int, rid long, s long, e long, body binary"
+COPY, AGAIN, WINDOWS = range(3)  # kinds of rows that a part gets: a copied phrase, bits for its anchors, bits for its windows
 
 
 def rolling(data: np.ndarray, lengths: list[int], which: int = 0) -> list[np.ndarray]:
@@ -42,6 +43,31 @@ def rolling(data: np.ndarray, lengths: list[int], which: int = 0) -> list[np.nda
     return out
 
 
+def suffix_array(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of data that begin at starts, compared to `depth` bytes, and the LCP array.
+
+    Bytes are compared eight at a time, as big-endian numbers.  lcp[i] is the length, at most `depth`, of
+    what the suffixes of order[i - 1] and order[i] have in common; lcp[0] is 0.  Every suffix must have
+    `depth` bytes.
+    """
+    n = len(starts)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    wide = np.zeros((n, -(-depth // 8) * 8), np.uint8)
+    wide[:, :depth] = np.lib.stride_tricks.sliding_window_view(data, depth)[starts]
+    words = wide.view(">u8").astype(U)
+    order = np.lexsort(words.T[::-1])
+    words = words[order]
+    apart = words[1:] ^ words[:-1]
+    at = np.argmax(apart != 0, 1)
+    differs = apart[np.arange(n - 1), at]
+    same = np.zeros(n - 1, np.int64)
+    for k in range(1, 8):  # equal leading bytes of the first word that differs
+        same += differs < U(1 << 8 * k)
+    lcp = np.where(differs == 0, depth, at * 8 + same)
+    return order, np.concatenate([[0], np.minimum(lcp, depth)])
+
+
 def sliding_min(v: np.ndarray, span: int) -> np.ndarray:
     n = 1
     while 2 * n <= span:
@@ -100,25 +126,23 @@ class Part(Texts):
     """The rows of one part with what earlier passes found about them."""
 
     def __init__(self, left: pa.Table, side: pa.Table, width: int, gram: int):
+        left = left.sort_by("rid").combine_chunks()
         super().__init__(left.column("doc_id"), left.column("text"), width)
-        self.gram = gram
-        hashes = left.column("text_hash").to_pylist()
-        self.copied: list[tuple[int, int]] = []
-        where: dict[tuple, list[int]] = {}
-        for r, key in enumerate(zip(self.ids.tolist(), hashes)):
-            where.setdefault(key, []).append(r)
-        self.replies: dict[int, dict[int, bytes]] = {1: {}, 2: {}, 3: {}}
-        for row in side.to_pylist():
-            if row["kind"] == 0:
-                for r in where.get((row["doc_id"], row["text_hash"]), ()):
-                    self.copied += [(int(self.off[r]) + a, int(self.off[r]) + b) for a, b in zip(row["starts"], row["ends"])]
-            else:
-                self.replies[row["kind"]][row["bucket"]] = row["body"]
+        self.gram, self.doc_ids = gram, left.column("doc_id")
+        rids = left.column("rid").to_numpy()
+        kind = side.column("kind").to_numpy()
+        copied = side.filter(pa.array(kind == COPY))
+        base = self.off[np.searchsorted(rids, copied.column("rid").to_numpy())]
+        self.copied = (base + copied.column("s").to_numpy(), base + copied.column("e").to_numpy())
+        replies = side.filter(pa.array(kind != COPY))
+        self.replies: dict[int, dict[int, bytes]] = {AGAIN: {}, WINDOWS: {}}
+        for k, b, body in zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "body"))):
+            self.replies[k][b] = body
         step = np.zeros(len(self.raw) + 1, np.int32)
-        for a, b in self.copied:
-            step[a] += 1
-            step[b - width + 1] -= 1
+        np.add.at(step, self.copied[0], 1)
+        np.add.at(step, self.copied[1] - (width - 1), -1)
         self.fine = self.valid & (np.cumsum(step, dtype=np.int32)[:-1] == 0)
+        self.runs = self.anchors()
 
     def anchors(self):
         """Runs of windows that share their least-hashed gram: (hash, row, first window, end)."""
@@ -139,79 +163,103 @@ class Part(Texts):
         begin = cat(begin, np.int64)
         return cat(hashes, U), self.row_of(begin), begin, cat(end, np.int64)
 
-    def anchor_list(self, runs):
-        """Distinct anchor hashes in order, which of them several documents of this part have, and each run's entry."""
-        distinct, inverse = np.unique(runs[0], return_inverse=True)
-        doc = self.ids[runs[1]]
+    def anchor_list(self):
+        """Distinct anchor hashes in order, which of them several documents of this part have, how many runs have each, and each run's entry."""
+        distinct, inverse, count = np.unique(self.runs[0], return_inverse=True, return_counts=True)
+        doc = self.ids[self.runs[1]]
         low, high = np.full(len(distinct), NO_ID), np.full(len(distinct), -(2**63), np.int64)
         np.minimum.at(low, inverse, doc)
         np.maximum.at(high, inverse, doc)
-        return distinct, low != high, inverse
-
-    def needed(self, buckets: int):
-        """Windows whose anchor occurs in several documents: position and two hashes."""
-        runs = self.anchors()
-        distinct, again, inverse = self.anchor_list(runs)
-        again |= unpack(distinct, self.replies[1], buckets)
-        take = again[inverse]
+        return distinct, low != high, count, inverse
+
+    def wanted(self, buckets: int):
+        """The runs whose anchor several documents have: those that are sent whole, and those of common anchors."""
+        distinct, again, _, inverse = self.anchor_list()
+        common = np.zeros(len(distinct), bool)
+        for b, i, j in slices(distinct, buckets):
+            if b in self.replies[AGAIN]:
+                bits = np.unpackbits(np.frombuffer(self.replies[AGAIN][b], np.uint8), count=2 * (j - i)).astype(bool)
+                again[i:j] |= bits[: j - i]
+                common[i:j] = bits[j - i :]
+        return np.flatnonzero(again[inverse] & ~common[inverse]), np.flatnonzero(again[inverse] & common[inverse])
+
+    def strings(self, buckets: int):
+        """What this part sends to the dictionary: [(entries, first window and entry of each of this part's strings, first bucket)].
+
+        Runs of windows are sent whole, by anchor; the windows of common anchors one by one, by their own
+        hash.  Each distinct string is sent once, with the least document that has it here.
+        """
+        whole, single = self.wanted(buckets)
+        h, _, begin, end = self.runs
+        begin, end = begin[whole], end[whole]
+        runs = Entries.of(self, h[whole], begin, end - begin, 2 * self.width - self.gram)
         step = np.zeros(len(self.raw) + 1, np.int32)
-        step[runs[2][take]] += 1  # runs don't overlap
-        np.add.at(step, runs[3][take], -1)
-        need = (np.cumsum(step, dtype=np.int32)[:-1] > 0) & self.fine
-        pos, h, g = [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.uint32)]
+        np.add.at(step, self.runs[2][single], 1)
+        np.add.at(step, self.runs[3][single], -1)
+        need = np.cumsum(step, dtype=np.int32)[:-1] > 0
+        pos, key = [np.empty(0, np.int64)], [np.empty(0, U)]
         for lo, n, data in self.chunks(need):
             own = np.flatnonzero(need[lo : lo + n])
             pos.append(lo + own)
-            h.append(mix(rolling(data, [self.width])[0][own]))
-            g.append((mix(rolling(data, [self.width], 1)[0][own]) >> U(32)).astype(np.uint32))
-        return np.concatenate(pos), np.concatenate(h), np.concatenate(g)
+            key.append(mix(rolling(data, [self.width])[0][own]))
+        pos = np.concatenate(pos)
+        windows = Entries.of(self, np.concatenate(key), pos, np.ones(len(pos), np.int64), self.width)
+        return [(runs, 0), (windows, buckets)]
 
-    def units(self, pos: np.ndarray, h: np.ndarray, g: np.ndarray):
-        """Second parse, of needed windows only: the unit of each window, -1 outside; the units' hashes and first windows.
 
-        A unit is a stretch of needed windows from one trigger of a finer modulus up to the next; equal
-        hashes mean equal bytes, so a unit that an earlier document has goes as a whole too.
-        """
-        if not len(pos):
-            return np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.uint32), pos
-        cut = h < U((1 << 64) // UNIT)
-        apart = np.concatenate([[True], pos[1:] != pos[:-1] + 1])
-        first = np.flatnonzero(cut | apart)
-        uid = np.cumsum(cut | apart) - 1
-        rel = (pos - pos[first][uid]).astype(U)
-        uh = np.add.reduceat(mix(h + rel * U(0xA24BAED4963EE407)), first)
-        ug = np.add.reduceat(mix((h ^ (g.astype(U) << U(16))) * U(0x9FB21C651E98DF25) + rel), first)
-        closed = cut[first] & np.append(cut[first[1:]] & ~apart[first[1:]], False)
-        number = np.cumsum(closed) - 1
-        return np.where(closed, number, -1)[uid], mix(uh[closed]), (mix(ug[closed]) >> U(32)).astype(np.uint32), pos[first[closed]]
-
-    def unit_entries(self, buckets: int):
-        pos, h, g = self.needed(buckets)
-        uid, uh, ug, at = self.units(pos, h, g)
-        return (pos, h, g, uid), distinct_entries(uh, ug, self.ids[self.row_of(at)]), at
-
-    def windows(self, buckets: int, unit_buckets: int):
-        """Windows of copied units; then the other needed windows' positions and their entries."""
-        (pos, h, g, uid), (entry, uh, _, least), at = self.unit_entries(buckets)
-        if len(at):
-            copied = unpack(uh, self.replies[3], unit_buckets)[entry] | (self.ids[self.row_of(at)] > least[entry])
-            gone = (uid >= 0) & copied[uid]
-        else:
-            gone = np.zeros(len(pos), bool)
-        rest = ~gone
-        return pos[gone], pos[rest], distinct_entries(h[rest], g[rest], self.ids[self.row_of(pos[rest])])
-
-
-def distinct_entries(h: np.ndarray, g: np.ndarray, doc: np.ndarray):
-    """Entry of each item in the sorted list of distinct hash pairs; that list; the least document of each entry."""
-    if not len(h):
-        return np.empty(0, np.int64), h, g, doc
-    order = np.lexsort((g, h))
-    hs, gs = h[order], g[order]
-    fresh = np.concatenate([[True], (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])])
-    entry = np.empty(len(h), np.int64)
-    entry[order] = np.cumsum(fresh) - 1
-    return entry, hs[fresh], gs[fresh], np.minimum.reduceat(doc[order], np.flatnonzero(fresh))
+class Entries:
+    """Distinct strings of a part, ordered by hash: the part of the dictionary that may occur elsewhere.
+
+    hash, windows (how many window starts each has), least (document), at (where it stands in the part's
+    bytes); and begin, inverse: the first window and the entry of each string that was put in.
+    """
+
+    @classmethod
+    def of(cls, part: Part, h: np.ndarray, begin: np.ndarray, windows: np.ndarray, longest: int) -> Entries:
+        out = cls()
+        out.width, out.begin, out.inverse = part.width, begin, np.empty(len(h), np.int64)
+        order = np.argsort(h, kind="stable")
+        fresh = np.zeros(len(h), bool)
+        at, entries = np.arange(longest), 0
+        for lo in range(0, len(h), 8192):  # a string that is met in two of these is sent twice, which does no harm
+            own = order[lo : lo + 8192]
+            grid = part.raw[np.minimum(begin[own, None] + at, len(part.raw) - 1)]
+            grid[at >= (windows[own] + part.width - 1)[:, None]] = 0
+            key = np.concatenate([h[own].astype(">u8").view(np.uint8).reshape(-1, 8), windows[own, None].astype(np.uint8), grid], 1)
+            _, first, inverse = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            out.inverse[own] = entries + inverse.ravel()
+            fresh[own[first]] = True
+            entries += len(first)
+        number = np.empty(entries, np.int64)
+        number[out.inverse[fresh]] = np.flatnonzero(fresh)
+        out.hash, out.windows, out.at = h[number], windows[number], begin[number]
+        out.least = np.full(len(number), NO_ID)
+        out.doc = part.ids[part.row_of(begin)]
+        np.minimum.at(out.least, out.inverse, out.doc)
+        return out
+
+    def messages(self, raw: np.ndarray, own: int, buckets: int, first: int):
+        for b, i, j in slices(self.hash, buckets):
+            n = self.windows[i:j] + self.width - 1
+            yield first + b, own, (j - i).to_bytes(8, "little") + self.least[i:j].tobytes() + self.windows[i:j].astype(np.uint8).tobytes() + raw[spread(self.at[i:j], n)].tobytes()
+
+    def gone(self, replies: dict[int, bytes], buckets: int, first: int) -> np.ndarray:
+        """Window starts of the part's strings that an earlier document has too."""
+        before = np.concatenate([[0], np.cumsum(self.windows)])
+        hit = np.zeros(before[-1], bool)
+        for b, i, j in slices(self.hash, buckets):
+            if first + b in replies:
+                n = int(before[j] - before[i])
+                hit[before[i] : before[j]] = np.unpackbits(np.frombuffer(replies[first + b], np.uint8), count=n).astype(bool)
+        n = self.windows[self.inverse]
+        later = np.repeat(self.doc > self.least[self.inverse], n)
+        return spread(self.begin, n)[later | hit[spread(before[self.inverse], n)]]
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (n of them) for each start."""
+    before = np.cumsum(n) - n
+    return np.repeat(start - before, n) + np.arange(int(n.sum()))
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -225,182 +273,167 @@ def slices(h: np.ndarray, buckets: int):
     return [(int(b[i]), int(i), int(j)) for i, j in zip(cut, [*cut[1:], len(h)])]
 
 
-def unpack(h: np.ndarray, replies: dict[int, bytes], buckets: int) -> np.ndarray:
-    out = np.zeros(len(h), bool)
-    for b, i, j in slices(h, buckets):
-        if b in replies:
-            out[i:j] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=j - i).astype(bool)
-    return out
-
-
 def message(parts: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([x[0] for x in parts], pa.int32()), "part": pa.array([x[1] for x in parts], pa.int32()), "body": pa.array([x[2] for x in parts], pa.binary())})
 
 
 def reply(kind: int, bucket: int, parts: list[int], bodies: list[bytes]) -> pa.Table:
     n = len(parts)
-    null = lambda t: pa.nulls(n, t)
-    longs = pa.list_(pa.int64())
-    return pa.table(
-        [pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), null(pa.int64()), null(pa.int64()), null(longs), null(longs), pa.array(bodies, pa.binary())],
-        names=["part", "kind", "bucket", "doc_id", "text_hash", "starts", "ends", "body"],
-    )
-
-
-def meet_anchors(table: pa.Table) -> pa.Table:
-    """For each part's anchor hashes of a bucket: a bit for those that another part has too."""
-    parts = table.column("part").to_pylist()
-    lists = [np.frombuffer(x, U) for x in table.column("body").to_pylist()]
-    every = np.concatenate(lists)
-    order = np.argsort(every)
-    same = every[order][1:] == every[order][:-1]
-    twice = np.zeros(len(every), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    return reply(1, table.column("bucket")[0].as_py(), *packed(parts, [len(x) for x in lists], twice))
-
-
-def packed(parts: list[int], counts: list[int], hit: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """The parts that have a hit, and the bits of each."""
+    null = pa.nulls(n, pa.int64())
+    return pa.table([pa.array(parts, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), null, null, null, pa.array(bodies, pa.binary())], names=["part", "kind", "bucket", "rid", "s", "e", "body"])
+
+
+def meet_anchors(table: pa.Table, common: int) -> pa.Table:
+    """For each part's anchors of a bucket: a bit for those that another part has too, then one for those of more than `common` runs in all."""
+    parts, bodies = table.column("part").to_pylist(), table.column("body").to_pylist()
+    counts = [len(b) // 10 for b in bodies]
+    every = np.concatenate([np.frombuffer(b, U, n) for b, n in zip(bodies, counts)])
+    runs = np.concatenate([np.frombuffer(b, np.uint16, n, 8 * n) for b, n in zip(bodies, counts)]).astype(np.int64)
+    _, inverse, times = np.unique(every, return_inverse=True, return_counts=True)
+    again = times[inverse] > 1
+    often = np.bincount(inverse, runs)[inverse] > common
     out, at = [], 0
     for p, n in zip(parts, counts):
-        if hit[at : at + n].any():
-            out.append((p, np.packbits(hit[at : at + n]).tobytes()))
+        bits = np.concatenate([again[at : at + n], often[at : at + n]])
         at += n
-    return [x[0] for x in out], [x[1] for x in out]
-
-
-UNIT = 16  # modulus of the second parse
-ENTRY = 20  # bytes a window takes: hash, least document, second hash
-
-
-def meet_strings(table: pa.Table, kind: int) -> pa.Table:
-    """For each part's strings of a bucket: a bit for those that a document before the part's own first has."""
-    parts = table.column("part").to_pylist()
-    bodies = table.column("body").to_pylist()
-    counts = [len(b) // ENTRY for b in bodies]
-    split = lambda b, n: (np.frombuffer(b, U, n), np.frombuffer(b, np.int64, n, 8 * n), np.frombuffer(b, np.uint32, n, 16 * n))
-    h, doc, g = (np.concatenate(c) for c in zip(*(split(b, n) for b, n in zip(bodies, counts))))
-    order = np.lexsort((g, h))
-    hs, gs = h[order], g[order]
-    first = np.flatnonzero(np.concatenate([[True], (hs[1:] != hs[:-1]) | (gs[1:] != gs[:-1])]))
-    least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(hs))))
-    hit = np.empty(len(h), bool)
-    hit[order] = least < doc[order]
-    return reply(kind, table.column("bucket")[0].as_py(), *packed(parts, counts, hit))
+        if bits.any():
+            out.append((p, np.packbits(bits).tobytes()))
+    return reply(AGAIN, table.column("bucket")[0].as_py(), [x[0] for x in out], [x[1] for x in out])
 
 
-def meet_windows(table: pa.Table) -> pa.Table:
-    return meet_strings(table, 2)
+def meet_strings(table: pa.Table, width: int) -> pa.Table:
+    """For each part's strings of a bucket: a bit for each window that a document before the string's own first has.
 
-
-def meet_units(table: pa.Table) -> pa.Table:
-    return meet_strings(table, 3)
+    The strings are a piece of the dictionary; its suffix array, to a depth of `width` bytes, puts equal
+    windows side by side, where the LCP array is `width`.
+    """
+    parts, bodies = table.column("part").to_pylist(), table.column("body").to_pylist()
+    least, windows, text = [], [], []
+    for b in bodies:
+        n = int.from_bytes(b[:8], "little")
+        least.append(np.frombuffer(b, np.int64, n, 8))
+        windows.append(np.frombuffer(b, np.uint8, n, 8 + 8 * n).astype(np.int64))
+        text.append(np.frombuffer(b, np.uint8, offset=8 + 9 * n))
+    every = np.concatenate(windows)
+    length = every + width - 1
+    starts = spread(np.cumsum(length) - length, every)
+    doc = np.repeat(np.concatenate(least), every)
+    order, lcp = suffix_array(np.concatenate(text), starts, width)
+    first = np.flatnonzero(lcp < width)
+    lowest = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+    hit = np.empty(len(order), bool)
+    hit[order] = lowest < doc[order]
+    out, at = [], 0
+    for p, w in zip(parts, windows):
+        n = int(w.sum())
+        if hit[at : at + n].any():
+            out.append((p, np.packbits(hit[at : at + n]).tobytes()))
+        at += n
+    return reply(WINDOWS, table.column("bucket")[0].as_py(), [x[0] for x in out], [x[1] for x in out])
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 256, gram: int = 20, part_bytes: int = 4 << 20, bucket_entries: int = 1 << 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id", text_col: str = "text", modulus: int = 256, gram: int = 20, part_bytes: int = 4 << 20, bucket_bytes: int = 1 << 20, common: int = 1 << 12) -> DataFrame:
     """Removes every byte covered by a `width`-byte string that also starts in a document with a smaller id.
 
     1. Parse: a rolling hash over `width`-byte windows cuts texts into phrases that overlap in the trigger
-       string, so that every window lies in one phrase.  A phrase that a smaller document has too goes as a
-       whole; only the dictionary, each phrase in the first document that has it, is looked at further.
-    2. Dictionary: its suffixes need to be ordered to a depth of `width` bytes only.  Documents are dealt to
-       parts; each part sends the distinct hashes of its windows' least-hashed grams to hash buckets and
-       learns which occur elsewhere.
-    3. A second, finer parse of the windows at such grams: its units go to buckets by a 96-bit hash, with
-       the part's first document; sorted there, equal neighbours meet, and each part learns which units an
-       earlier document has.  The windows left over go the same way, one by one.
-    Parts send each distinct string once however often they hold it, and only bits come back, so a string
-    that a third of all documents share is one entry a part.  Texts cross the network once a pass.
+       string, so that every window lies in one phrase.  The dictionary has each distinct phrase once, in
+       the first document that has it; the parse, sorted by phrase, gives each phrase's interval of
+       documents, and one that a smaller document has too goes as a whole.  As triggers are as wide as the
+       strings sought, the order of suffixes to that depth is settled by the dictionary and a suffix's
+       first phrase; corpus_order() carries the combination on to whole suffixes.
+    2. Dictionary: its suffix array, to a depth of `width` bytes, is made in pieces that hold equal suffixes
+       together.  A window's piece is that of its least-hashed gram, its anchor.  Parts of the documents
+       first learn which anchors occur elsewhere; the rest of their windows is unique.
+    3. Runs of windows of such an anchor go to the anchor's piece as strings of bytes, each distinct one
+       once a part, with the first document that has it there.  A piece sorts their suffixes and finds
+       equal neighbours in the LCP array; each part learns which windows an earlier document has.
+    An anchor with more than `common` runs, such as one in a line that a third of all documents share, is
+    split: its windows go singly, to pieces by their own hash, each once a part.  So a piece holds
+    about `bucket_bytes` windows at most, however often a string occurs.  Texts cross the network once, to
+    parts that are written so that later passes find them in place; only bits come back.
 
     Returns doc_id, n_bytes, spans (array of start, end: maximal removed runs of bytes) and kept (the
-    remaining bytes).  Cases: a null text is empty; texts shorter than `width` are kept whole; a null id
-    neither removes nor loses anything; rows that repeat an id don't remove each other; an empty table
-    gives no rows; other columns are ignored.
+    remaining bytes).  Cases: a null text is empty; texts shorter than `width` are kept whole; a text of
+    any length is one row of one part; a null id neither removes nor loses anything; rows that repeat an
+    id don't remove each other, and equal rows are dealt to parts like any others; an empty table gives no
+    rows; other columns are ignored, whatever their names.
     """
-    bound_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-
-    def parse(batches):
-        for b in small_batches(batches, 1):
-            t = Texts(b.column(0), b.column(1), width)
-            row, start, end, key = [], [], [], []
-            for r, s, e in t.phrases(modulus):
-                row.append(r), start.append(s - int(t.off[r])), end.append(e - int(t.off[r]))
-                key.append(hashlib.blake2b(t.raw[s:e].tobytes(), digest_size=16).digest())
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), b.column(0).take(at), b.column(2).take(at), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["key", "doc_id", "text_hash", "s", "e"])
-
-    phrases = materialize(slim.mapInArrow(parse, "key binary, doc_id long, text_hash long, s long, e long"), "pfp-parse")
-    total = phrases.agg(F.sum(F.col("e") - F.col("s"))).first()[0] or 0
+    spark = docs.sparkSession
+    if not gram <= width < gram + 255:
+        raise ValueError("width must be at least gram and less than gram + 255")
+    bound_batches(spark)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    total = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_parts = max(8, -(-total // part_bytes))
-    part = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n_parts)).cast("int").alias("part")
-    owners = materialize(phrases.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "pfp-owner")
-    copied = phrases.join(owners, "key").where("doc_id > owner").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("x"))
-    none = lambda t: F.lit(None).cast(t)
-    side = materialize(copied.select(part, F.lit(0).alias("kind"), none("int").alias("bucket"), "doc_id", "text_hash", F.col("x.s").alias("starts"), F.col("x.e").alias("ends"), none("binary").alias("body")), "pfp-copied")
-    dealt = slim.select(part, "doc_id", "text_hash", "text")
-    n_buckets = max(8, total // 18 // bucket_entries)
-    n_units, n_windows = n_buckets, n_buckets
-
-    def send_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return message([])
-        p = Part(left, right, width, gram)
-        distinct = p.anchor_list(p.anchors())[0]
-        return message([(b, left.column("part")[0].as_py(), distinct[i:j].tobytes()) for b, i, j in slices(distinct, n_buckets)])
-
-    def strings(left: pa.Table, buckets: int, h, g, doc) -> pa.Table:
-        own = left.column("part")[0].as_py()
-        return message([(b, own, h[i:j].tobytes() + doc[i:j].tobytes() + g[i:j].tobytes()) for b, i, j in slices(h, buckets)])
-
-    def send_units(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return message([])
-        _, h, g, doc = Part(left, right, width, gram).unit_entries(n_buckets)[1]
-        return strings(left, n_units, h, g, doc)
-
-    def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return message([])
-        _, h, g, doc = Part(left, right, width, gram).windows(n_buckets, n_units)[2]
-        return strings(left, n_windows, h, g, doc)
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        p = Part(left, right, width, gram) if left.num_rows else None
-        if p is None:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int64())), "ends": pa.array([], pa.list_(pa.int64())), "kept": pa.array([], pa.binary())})
-        gone, pos, (entry, h, _, least) = p.windows(n_buckets, n_units)
-        hit = pos[:0] if not len(pos) else pos[unpack(h, p.replies[2], n_windows)[entry] | (p.ids[p.row_of(pos)] > least[entry])]
-        hit = np.concatenate([gone, hit])
-        step = np.zeros(len(p.raw) + 1, np.int32)
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + width, -1)
-        for a, b in p.copied:
-            step[a] += 1
-            step[b] -= 1
-        gone = np.cumsum(step, dtype=np.int32)[:-1] > 0
-        starts, ends, kept = [], [], []
-        for s, e in zip(p.off[:-1].tolist(), p.off[1:].tolist()):
-            own = gone[s:e]
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
-            starts.append(edge[::2])
-            ends.append(edge[1::2])
-            kept.append((p.raw[s:e] if not len(edge) else p.raw[s:e][~own]).tobytes())
-        longs = pa.list_(pa.int64())
-        return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(np.diff(p.off), pa.int64()), "starts": pa.array(starts, longs), "ends": pa.array(ends, longs), "kept": pa.array(kept, pa.binary())})
-
-    def with_side(f, schema, *sides: DataFrame) -> DataFrame:
-        every = sides[0]
-        for s in sides[1:]:
-            every = every.unionByName(s)
-        return dealt.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(f, schema)
-
-    sent = "bucket int, part int, body binary"
-    anchors = materialize(with_side(send_anchors, sent, side).groupBy("bucket").applyInArrow(meet_anchors, SIDE), "pfp-anchors")
-    units = materialize(with_side(send_units, sent, side, anchors).groupBy("bucket").applyInArrow(meet_units, SIDE), "pfp-units")
-    windows = materialize(with_side(send_windows, sent, side, anchors, units).groupBy("bucket").applyInArrow(meet_windows, SIDE), "pfp-windows")
-    out = with_side(finish, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary", side, anchors, units, windows)
+    n_buckets = max(8, -(-total // bucket_bytes))
+    files = min(n_parts, max(-(-n_parts // 32), 4 * spark.sparkContext.defaultParallelism), 100_000)
+    dealt = slim.withColumn("rid", F.monotonically_increasing_id()).select(F.pmod(F.xxhash64("rid"), F.lit(n_parts)).cast("int").alias("part"), "rid", "doc_id", "text")
+    with temporary(spark):
+        dealt = dealt_table(dealt, "pfp-parts", "part", files, keep=True)
+
+        def parse(batches):
+            for b in small_batches(batches, 3):
+                t = Texts(b.column(2), b.column(3), width)
+                row, start, end, key = [], [], [], []
+                for r, s, e in t.phrases(modulus):
+                    row.append(r), start.append(s - int(t.off[r])), end.append(e - int(t.off[r]))
+                    key.append(hashlib.blake2b(t.raw[s:e].tobytes(), digest_size=16).digest())
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *(b.column(i).take(at) for i in (2, 0, 1)), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["key", "doc_id", "part", "rid", "s", "e"])
+
+        phrases = materialize(dealt.mapInArrow(parse, "key binary, doc_id long, part int, rid long, s long, e long"), "pfp-parse")
+        owners = materialize(phrases.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last"), "pfp-owner")
+        none = lambda t: F.lit(None).cast(t)
+        copied = phrases.join(owners, "key").where("doc_id > owner")
+        side = materialize(copied.select("part", F.lit(COPY).alias("kind"), none("int").alias("bucket"), "rid", "s", "e", none("binary").alias("body")), "pfp-copied", keep=True)
+
+        def send_anchors(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return message([])
+            distinct, _, count, _ = Part(left, right, width, gram).anchor_list()
+            count = np.minimum(count, 65535).astype(np.uint16)
+            return message([(b, left.column("part")[0].as_py(), distinct[i:j].tobytes() + count[i:j].tobytes()) for b, i, j in slices(distinct, n_buckets)])
+
+        def send_strings(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return message([])
+            p = Part(left, right, width, gram)
+            return message([m for e, first in p.strings(n_buckets) for m in e.messages(p.raw, left.column("part")[0].as_py(), n_buckets, first)])
+
+        def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+            longs = pa.list_(pa.int64())
+            if not left.num_rows:
+                return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "starts": pa.array([], longs), "ends": pa.array([], longs), "kept": pa.array([], pa.binary())})
+            p = Part(left, right, width, gram)
+            step = np.zeros(len(p.raw) + 1, np.int32)
+            np.add.at(step, p.copied[0], 1)
+            np.add.at(step, p.copied[1], -1)
+            for e, first in p.strings(n_buckets):
+                hit = e.gone(p.replies[WINDOWS], n_buckets, first)
+                np.add.at(step, hit, 1)
+                np.add.at(step, hit + width, -1)
+            gone = np.cumsum(step, dtype=np.int32)[:-1] > 0
+            starts, ends, kept = [], [], []
+            for s, e in zip(p.off[:-1].tolist(), p.off[1:].tolist()):
+                own = gone[s:e]
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
+                starts.append(edge[::2])
+                ends.append(edge[1::2])
+                kept.append((p.raw[s:e] if not len(edge) else p.raw[s:e][~own]).tobytes())
+            return pa.table({"doc_id": p.doc_ids, "n_bytes": pa.array(np.diff(p.off), pa.int64()), "starts": pa.array(starts, longs), "ends": pa.array(ends, longs), "kept": pa.array(kept, pa.binary())})
+
+        def with_side(f, schema, *sides: DataFrame) -> DataFrame:
+            every = sides[0]
+            for s in sides[1:]:
+                every = every.unionByName(s)
+            return dealt.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(f, schema)
+
+        sent = "bucket int, part int, body binary"
+        anchors = with_side(send_anchors, sent, side).groupBy("bucket").applyInArrow(lambda t: meet_anchors(t, common), SIDE)
+        anchors = materialize(anchors, "pfp-anchors", keep=True)
+        windows = with_side(send_strings, sent, side, anchors).groupBy("bucket").applyInArrow(lambda t: meet_strings(t, width), SIDE)
+        windows = materialize(windows, "pfp-windows", keep=True)
+        out = with_side(finish, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary", side, anchors, windows)
     return out.select("doc_id", "n_bytes", F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), "kept")
 
 

@@ -1,9 +1,11 @@
 import hashlib
+import os
 import random
 
+import numpy as np
 import pytest
 
-from quadrille.llm.suffixdedup import op2_suffix_dedup, remove_repeats
+from quadrille.llm.suffixdedup import op2_suffix_dedup, remove_repeats, suffix_array
 
 
 def brute(texts, width=50):
@@ -39,7 +41,7 @@ def corpus():
     return [*texts, *texts[:20], "x" * 200, "x" * 49, "x" * 50, "x" * 5000, "ab" * 300, "ab" * 25, None, "", "short"]
 
 
-@pytest.mark.parametrize("options", [{}, {"modulus": 16, "part_bytes": 2000, "bucket_entries": 500}, {"modulus": 1 << 40}])
+@pytest.mark.parametrize("options", [{}, {"modulus": 16, "part_bytes": 2000, "bucket_bytes": 500}, {"modulus": 1 << 40, "part_bytes": 3000}, {"part_bytes": 2000, "common": 2}])
 def test_equals_brute_force(spark, options):
     texts = dict(enumerate(corpus()))
     order = list(texts.items())
@@ -48,6 +50,16 @@ def test_equals_brute_force(spark, options):
     assert result(remove_repeats(d, **options)) == brute(texts)
 
 
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 50])
+def test_suffix_array_and_common_prefixes(depth):
+    data = np.frombuffer(bytes(random.Random(depth).choices(b"ab\x00\xff", k=400)) + b"ab" * 120, np.uint8)
+    starts = np.random.default_rng(1).permutation(len(data) - depth + 1)[:300]
+    order, lcp = suffix_array(data, starts, depth)
+    suffix = [data[i : i + depth].tobytes() for i in starts[order]]
+    assert suffix == sorted(suffix) and sorted(order) == list(range(300))
+    assert list(lcp[1:]) == [len(os.path.commonprefix([a, b])) for a, b in zip(suffix, suffix[1:])]
+
+
 def test_other_widths(spark):
     texts = dict(enumerate(corpus()[:40]))
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
