@@ -153,19 +153,27 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def gapless(df: DataFrame, groups: list[str], order: list[str], n_rows: int, out: str, rows_per_bucket: int = 10_000) -> DataFrame:
+def numbered_rows(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """df as a scratch table with a column _row that no two rows share, which gapless() deals rows by."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), name, keep=keep)
+
+
+def gapless(df: DataFrame, group: str, order: list[str], sizes: dict, out: str, rows_per_bucket: int = 2_000, most: int = 1 << 17) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without sorting a whole group in one task.
 
-    A group's rows are dealt to hash buckets of `order`; buckets are counted, running sums of the counts
-    give each bucket its first number, and a row's number is that plus its rank in the bucket.  A group
-    with a third of all rows is spread over as many buckets as any other.  df must be cheap to read
-    twice (a scratch table).
+    df comes from numbered_rows(); sizes has the rows of each of the (few) groups.  A group is dealt to
+    buckets by row, as many as its size asks for, so that rows that are equal in everything spread too;
+    buckets are counted, running sums of the counts give each bucket its first number, and a row's number
+    is that plus its rank in the bucket by `order`.  A group has at most `most` buckets, whose rows are
+    sorted with spilling, so running sums stay small at any size.
     """
-    nb = max(1, math.ceil(n_rows / rows_per_bucket))
-    d = df.withColumn("_nb", F.pmod(F.xxhash64(*order), F.lit(nb)).cast("int"))
-    counts = d.groupBy(*groups, "_nb").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*groups).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(*groups, "_nb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy(*groups, "_nb").orderBy(*order))
+    nb = F.lit(1)
+    for value, n in sizes.items():
+        nb = F.when(F.col(group) == value, F.lit(min(most, max(1, math.ceil(n / rows_per_bucket))))).otherwise(nb)
+    d = df.withColumn("_nb", F.pmod(F.xxhash64("_row"), nb).cast("int"))
+    counts = d.groupBy(group, "_nb").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(group, "_nb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy(group, "_nb").orderBy(*order, "_row"))
     ranked = d.withColumn("_rank", rank)
-    return ranked.join(first, [*groups, "_nb"]).withColumn(out, F.col("_first") + F.col("_rank") - 1).drop("_nb", "_first", "_rank")
+    return ranked.join(first, [group, "_nb"]).withColumn(out, F.col("_first") + F.col("_rank") - 1).drop("_nb", "_first", "_rank", "_row")

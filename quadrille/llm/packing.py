@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, gapless, materialize, text_of
+from .common import bound_batches, gapless, numbered_rows, text_of
 
 #: Texts with other characters, or with what may be a special token, go to the slower reference library.
 UNUSUAL = re.compile(r"[^\x00-ɏ‐-‧€]|<\|")
@@ -103,18 +103,18 @@ def pack(docs: DataFrame, longest: int = 1024, *, keep_ids: bool = True, **optio
     together and a trainer can draw whole batches of a length.  Returns the columns of pieces() and
     ids_crc32, sequence_id, offset (always 0).
 
-    Cases: a null or empty text is the closing id alone; a document of any length is cut in its own
-    task; null ids are kept; repeated rows give sequences of their own; an empty table gives no rows;
-    other columns are ignored.
+    Cases: a null or empty text is the closing id alone; a text of any length is cut whole, in the task
+    that reads it; null ids are kept; repeated rows give sequences of their own, and pieces equal in id
+    and start are numbered in any order; an empty table gives no rows; other columns are ignored.
     """
     cut = pieces(docs, longest, **options).withColumn("ids_crc32", F.crc32("ids"))
-    cut = materialize(cut if keep_ids else cut.drop("ids"), "pieces")
+    cut = numbered_rows(cut if keep_ids else cut.drop("ids"), "pieces", keep=True)
     held = {r.length: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     first, at = F.lit(0), 0
     for length in sorted(held, reverse=True):
         first = F.when(F.col("length") == length, F.lit(at)).otherwise(first)
         at += held[length]
-    numbered = gapless(cut, ["length"], ["doc_id", "start"], at, "_slot")
+    numbered = gapless(cut, "length", ["doc_id", "start"], held, "_slot")
     return numbered.withColumn("sequence_id", (first + F.col("_slot")).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("_slot")
 
 

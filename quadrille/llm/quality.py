@@ -173,8 +173,9 @@ def fit_trees(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3,
 def train(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, label_col: str = "quality") -> Trees:
     """Trees fitted on at most `most` labelled documents, those with the smallest hash of doc_id.
 
-    The bound keeps the ids that are broadcast, and the rows that reach the driver, of fixed size.  A
-    document labelled twice counts with its worst label; unlabelled documents don't count.  Without
+    The bound keeps the ids that are broadcast, and the rows that reach the driver, of fixed size: one a
+    label, of several texts under its id that with the least statistics.  A document labelled twice
+    counts with its worst label; unlabelled documents don't count.  Without
     labels of both kinds the model keeps what the base rules keep.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label_col).cast("double").alias("_y"))
@@ -186,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, *, most: int = 20_000, label_col:
             _, x = statistics(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x.tolist(), pa.list_(pa.float64()))], ["_id", "_y", "x"])
 
-    rows = sorted((r._id, r._y, r.x) for r in texts.mapInArrow(run, "_id long, _y double, x array<double>").collect())
+    one = texts.mapInArrow(run, "_id long, _y double, x array<double>").groupBy("_id").agg(F.min(F.struct("_y", "x")).alias("a"))
+    rows = sorted((r._id, r.a._y, r.a.x) for r in one.collect())
     x = np.array([r[2] for r in rows], float).reshape(-1, len(FEATURES))
     y = np.array([r[1] for r in rows], float)
     if not 0 < y.sum() < len(y):
@@ -202,7 +204,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, *, id_col: str = "d
     documents, no shuffle.
 
     Cases: a null text has no words and fails; null ids and repeated rows are kept as rows; texts of any
-    length are read whole; an empty table gives no rows; columns not in `carry` are ignored.
+    length are read whole; a score that ties with `cut` is kept; an empty table gives no rows; columns not
+    in `carry` are ignored.
     """
     bound_batches(docs.sparkSession)
     model = model or train(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)

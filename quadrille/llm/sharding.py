@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, materialize, text_of
+from .common import gapless, numbered_rows, text_of
 
 BITS = 63
 
@@ -172,8 +172,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id"
     than it must be; within it the smallest shard is made as large as can be.  A group larger than an even share sets the
     capacity and stays whole.
 
-    Cases: null ids are kept and ordered first; repeated rows are rows of their own; an empty table gives
-    an empty result; other columns are ignored, whatever their names.  Returns id, size, text_crc32,
+    Cases: null ids are kept and ordered first; repeated rows are rows of their own, of equal rows any may
+    come first; texts of any length count whole; of several cuts as even as each other the one nearest to
+    even shares is taken; an empty table gives an empty result; other columns are ignored, whatever their
+    names.  Returns id, size, text_crc32,
     group_key, shard, slot (0.. without gaps in each shard).
     """
     slim = docs.select(
@@ -182,14 +184,15 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id"
         F.crc32(text_of(text_col).cast("binary")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 1).alias("h"),
     )
-    slim = materialize(slim, "shard-slim")
+    slim = numbered_rows(slim, "shard-slim", keep=True)
     cells, capacity = minimax_cells(slim.select("h", "size"), shards)
     cuts = even_cuts(cells, capacity, shards) if len(cells.size) else [0] * (shards - 1)
     shard = F.lit(0)
     for key in cuts:
         shard = shard + (F.col("h") >= F.lit(key)).cast("int")
     placed = slim.withColumn("shard", shard)
-    return gapless(placed, ["shard"], ["doc_id", "h"], slim.count(), "slot").withColumnRenamed("h", "group_key")
+    rows = {r.shard: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return gapless(placed, "shard", ["doc_id", "h"], rows, "slot").withColumnRenamed("h", "group_key")
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

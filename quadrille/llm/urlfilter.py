@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, materialize
+from .common import bound_batches, materialize, temporary
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = (
@@ -148,7 +148,7 @@ def url_model(parts: DataFrame, title_col: str, precision: float) -> tuple[DataF
     pairs = parts.groupBy("host", "path").agg(F.first("ruled").alias("ruled"), F.count(F.lit(1)).alias("n"))
     y = F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
     pairs = materialize(pairs.select("host", "path", y.cast("int").alias("y"), "n", F.pmod(F.xxhash64("host", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")), "url-pairs")
-    hosts = materialize(segment_hosts(pairs.select("host").distinct(), unigrams(parts, title_col)), "url-hosts")
+    hosts = materialize(segment_hosts(pairs.select("host").distinct(), unigrams(parts, title_col)), "url-hosts", keep=True)
     tag = lambda c, t: F.transform(c, lambda w: F.concat(F.lit(t), w))
     path_words = F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}+)"), 1)
     tokens = pairs.join(hosts, "host").select("host", "path", "y", "n", "fold", F.explode(F.array_distinct(F.concat(tag(F.col("words"), "h:"), tag(path_words, "p:")))).alias("token"))
@@ -158,7 +158,7 @@ def url_model(parts: DataFrame, title_col: str, precision: float) -> tuple[DataF
     sums = tokens.join(odds, "token").groupBy("host", "path").agg(F.sum(F.element_at("odds", -1)).alias("own"), F.sum(F.expr("odds[fold]")).alias("held"))
     own = F.coalesce("own", F.lit(0)) + priors[-1]
     held = F.coalesce("held", F.lit(0)) + F.element_at(F.array(*map(F.lit, priors)), F.col("fold") + 1)
-    scored = materialize(pairs.join(sums, ["host", "path"], "left").select("host", "path", "y", "n", own.alias("score"), held.alias("held")), "url-scores")
+    scored = materialize(pairs.join(sums, ["host", "path"], "left").select("host", "path", "y", "n", own.alias("score"), held.alias("held")), "url-scores", keep=True)
     bin_ = F.least(F.greatest(F.floor(F.col("held") / 10_000), F.lit(-FAR // 10_000)), F.lit(FAR // 10_000))
     curve = scored.where("y is not null").groupBy(bin_.alias("s")).agg(F.sum((1 - F.col("y")) * F.col("n")).alias("a"), F.sum(F.col("y") * F.col("n")).alias("b")).collect()
     cut = threshold([(r.s * 10_000, r.a, r.b) for r in curve], precision)
@@ -181,7 +181,8 @@ def filter_urls(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_c
     path, rule or verdict.
     """
     urls, parts = decided_urls(pages, rules, id_col, url_col, title_col)
-    scored, (cut, _, _) = url_model(parts, "_title", precision)
+    with temporary(pages.sparkSession):
+        scored, (cut, _, _) = url_model(parts, "_title", precision)
     method = F.when(F.col("score") >= cut, "block").otherwise("allow") if cut is not None else F.lit("allow")
     out = urls.join(scored, ["host", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), (F.col("score") / 1_000_000).alias("score"), "words")

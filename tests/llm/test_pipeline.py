@@ -66,3 +66,30 @@ def test_cases(spark, sf001):
     kept = cp.secrets(spark, d, sf001).collect()
     assert sorted(map(str, kept)) == sorted(map(str, d.collect()))
     assert cp.decontaminate(spark, d, sf001).count() == 5
+
+
+def test_every_stage_takes_odd_rows(spark, sf001):
+    """A null id, repeated rows, a very long text, columns whose names the stages use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _c0 string, part int, redacted string, _text_hash long"
+    extra = ("k", "c", 1, "r", 2)
+    t = " ".join(f"word{i}" for i in range(80))
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(150_000))
+    rows = [(1, t), (1, t), (None, t), (None, None), (3, ""), (4, long), (None, long)]
+    d = spark.createDataFrame([(i, x, "en", "s", len(x or ""), *extra) for i, x in rows], schema)
+    want = {"near-dedup": 6, "decontamination": 7, "secret scan": 7}
+    for name, f in cp.STAGES:
+        out = f(spark, d, sf001)
+        got = out.collect()
+        if name == "packing":
+            assert sum(p.start == 0 for p in got) == 7 and {p.sequence_id for p in got} == set(range(len(got)))
+            continue
+        assert out.columns == list(cp.COLUMNS)
+        assert len(got) == want.get(name, len(got)) and all(r.text for r in got) == (name == "quality rules")
+
+
+def test_leaks_go_by_row_and_not_by_id_alone(spark, sf001):
+    item = spark.read.parquet(f"{sf001}/benchmark.parquet").orderBy("item_id").first().text
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    other = " ".join(f"word{i}" for i in range(80))
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((None, item), (1, item), (1, other), (None, other), (2, other + " " + item))], schema)
+    assert sorted((r.doc_id or -1, r.text) for r in cp.decontaminate(spark, d, sf001).collect()) == [(-1, other), (1, other)]
