@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
     total = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_parts = max(8, -(-total // part_bytes))
     n_buckets = max(8, -(-total // bucket_bytes))
-    files = min(n_parts, max(-(-n_parts // 32), 4 * spark.sparkContext.defaultParallelism), 100_000)
+    files = min(n_parts, max(-(-n_parts // 4), spark.sparkContext.defaultParallelism), 100_000)
     dealt = slim.withColumn("rid", F.monotonically_increasing_id()).select(F.pmod(F.xxhash64("rid"), F.lit(n_parts)).cast("int").alias("part"), "rid", "doc_id", "text")
     with temporary(spark):
         dealt = dealt_table(dealt, "pfp-parts", "part", files, keep=True)
