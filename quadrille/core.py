@@ -39,7 +39,8 @@ def join(a: str, b: str) -> str | None:
 
 
 def is_finer(a: str, b: str) -> bool:
-    return set(LATTICE[a]) > set(LATTICE[b])
+    """Whether a has every axis of b, as it has if they are equal."""
+    return set(LATTICE[a]) >= set(LATTICE[b])
 
 
 def dropped_axes(a: str, b: str) -> tuple[str, ...]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core import Refusal, need
 from ..functions.reducers import reduce_column
+from .ordered import numbered
 
 
 def reindex(df: DataFrame, axis: str, keep: Sequence[int]) -> DataFrame:
@@ -204,7 +205,7 @@ def merge_frames(frames: DataFrame) -> DataFrame:
     """file, t, clock -> the frames' new t in order of clock, each file's own order kept, ties by file."""
     own = Window.partitionBy("file").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     d = frames.withColumn("_c", F.max("clock").over(own))
-    return d.withColumn("new_t", (F.row_number().over(Window.orderBy("_c", "file", "t")) - 1).cast("long")).drop("_c")
+    return numbered(d, ["_c", "file", "t"], "new_t", 0).drop("_c")
 
 
 def batch(parts: Sequence[DataFrame]) -> DataFrame:

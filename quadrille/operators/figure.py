@@ -14,6 +14,7 @@ from ..core import Refusal, need
 from ..functions import special
 from ..functions.missing import finite, or_nan
 from ..functions.reducers import reduce_column
+from .ordered import percentiles, running
 
 
 def half_width(error: str, sd: Column, n: Column) -> Column:
@@ -102,7 +103,8 @@ def histogram(df: DataFrame, value: str, group_by: Sequence[str] = (), bins: int
 def box(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 interquartile ranges, and the number beyond."""
     d = df.select(*group_by, finite(value).alias("_v")).where("_v is not null")
-    q = d.groupBy(*group_by).agg(*[F.percentile("_v", p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))], F.count(F.lit(1)).alias("n"))
+    q, n = percentiles(d, group_by, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}), d.groupBy(*group_by).agg(F.count(F.lit(1)).alias("n"))
+    q = q.join(n, list(group_by)) if group_by else q.crossJoin(F.broadcast(n))
     d = d.join(q, list(group_by)) if group_by else d.crossJoin(F.broadcast(q))
     lo, hi = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_v").between(lo, hi)
@@ -112,9 +114,8 @@ def box(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFrame:
 def ecdf(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFrame:
     """Share of each group's values at or below each distinct value; counts are combined before they are ordered."""
     d = df.select(*group_by, finite(value).alias("x")).where("x is not null").groupBy(*group_by, "x").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group_by) if group_by else Window.partitionBy(F.lit(0))
-    below = F.sum("_n").over(w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    return d.select(*group_by, "x", (below / F.sum("_n").over(w)).alias("share"))
+    d = running(d, group_by, ["x"], "x", "_n", "_upto", "_total")
+    return d.select(*group_by, "x", (F.col("_upto") / F.col("_total")).alias("share"))
 
 
 def kde(df: DataFrame, value: str, group_by: Sequence[str] = (), points: int = 128) -> DataFrame:
@@ -239,8 +240,7 @@ def power_fit(curve: DataFrame, least: int = 10) -> DataFrame:
 def ranks(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Average ranks of ties; values are counted before they are ordered, so equal values travel once."""
     c = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn(name, F.sum("_c").over(w) - (F.col("_c") - 1) / 2).drop("_c")
+    c = running(c, keys, [value], value, "_c", "_upto").select(*keys, value, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
     return df.join(c, [*keys, value])
 
 

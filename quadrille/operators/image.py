@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..core import Refusal
 from ..functions import kernels as K
+from .ordered import percentiles, running
 
 UNITS = {"plane": ("b", "m", "t", "z", "c"), "volume": ("b", "m", "t", "c"), "series": ("b", "m", "c")}
 SPACE = {"plane": ("y", "x"), "volume": ("z", "y", "x"), "series": ("t", "z", "y", "x")}
@@ -110,6 +111,13 @@ def remove_blobs(df: DataFrame, min_radius: float, max_radius: float, threshold:
     return per_unit(df, run)
 
 
+def first_numbers(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds _first, the labels of all units before, to one row a unit with its number of labels _n."""
+    if not keys:
+        return counts.withColumn("_first", F.lit(0))
+    return running(counts, [], keys, keys[0], "_n", "_first").withColumn("_first", F.col("_first") - F.col("_n"))
+
+
 def label(df: DataFrame, connectivity: int | None = None, unit: str = "plane", value: str = "value", regions: str = "components") -> DataFrame:
     """label_id of the foreground, numbered over all units in their order; 0 elsewhere.
 
@@ -121,7 +129,7 @@ def label(df: DataFrame, connectivity: int | None = None, unit: str = "plane", v
     else:
         d = per_unit(df, lambda a: K.label(a > 0, connectivity), unit, value, "label_id", "long")
     n = d.groupBy(*keys).agg(F.max("label_id").alias("_n"))
-    first = n.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) if keys else n.withColumn("_first", F.lit(0))
+    first = first_numbers(n, keys)
     out = d.join(first.drop("_n"), keys) if keys else d.crossJoin(F.broadcast(first.drop("_n")))
     return out.withColumn("label_id", F.when(F.col("label_id") > 0, F.col("label_id") + F.col("_first")).otherwise(0)).drop("_first")
 
@@ -161,8 +169,12 @@ def histogram_threshold(df: DataFrame, method: str = "single", direction: str =
     lo, hi, d = F.lit(float(low)), F.lit(float(high)), df
     if method in ("percentile", "relative"):
         keys = scope_keys(df, scope)
-        agg = [F.percentile("value", low / 100).alias("_lo"), F.percentile("value", high / 100).alias("_hi")] if method == "percentile" else [(F.avg("value") * low).alias("_lo"), (F.avg("value") * high).alias("_hi")]
-        d = df.join(df.groupBy(*keys).agg(*agg), keys)
+        if method == "percentile" and scope == "dataset":
+            cuts = percentiles(df, keys, "value", {"_lo": low / 100, "_hi": high / 100})
+        else:
+            agg = [F.percentile("value", low / 100).alias("_lo"), F.percentile("value", high / 100).alias("_hi")] if method == "percentile" else [(F.avg("value") * low).alias("_lo"), (F.avg("value") * high).alias("_hi")]
+            cuts = df.groupBy(*keys).agg(*agg)
+        d = df.join(cuts, keys) if keys else df.crossJoin(F.broadcast(cuts))  # one row
         lo, hi = F.col("_lo"), F.col("_hi")
     v = F.col("value")
     test = {"above": v > lo, "below": v < hi, "between": v.between(lo, hi), "outside": (v < lo) | (v > hi)}[direction]
@@ -194,7 +206,7 @@ def segment(df: DataFrame, method: str = "threshold", level: str = "otsu", fixed
 
     keys, _ = units(df, unit)
     d = per_unit(df, run, unit, name="label_id", kind="long")
-    first = d.groupBy(*keys).agg(F.max("label_id").alias("_n")).withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    first = first_numbers(d.groupBy(*keys).agg(F.max("label_id").alias("_n")), keys).drop("_n")
     return d.join(first, keys).withColumn("label_id", F.when(F.col("label_id") > 0, F.col("label_id") + F.col("_first")).otherwise(0)).drop("_first")
 
 
@@ -211,24 +223,41 @@ def beads(df: DataFrame, diameter: float, min_snr: float = 5.0, slab: int = 3, o
 
 
 def drift(df: DataFrame, reference: str = "first", upsample: int = 20) -> DataFrame:
-    """drift_y, drift_x, confidence of each frame: the shift that brings it onto the first frame (or adds up from the previous)."""
+    """drift_y, drift_x, confidence of each frame: the shift that brings it onto the first frame (or adds up from the previous).
+
+    Measured on the middle plane of a stack.  Only frames that are there are compared, each with the one before it.
+    """
     keys = [k for k in ("b", "m", "c") if k in df.columns]
     schema = ", ".join([f"{k} long" for k in keys] + ["t long", "drift_y double", "drift_x double", "confidence double"])
 
     def run(table: pa.Table) -> pa.Table:
-        a, _, low = dense(table, ["t", "y", "x"])
-        rows, total = [], np.zeros(2)
-        for i in range(len(a)):
-            s, c = K.phase_shift(a[0 if reference == "first" else max(0, i - 1)], a[i], upsample)
+        a, idx, low = dense(table, ["t", "y", "x"])
+        there = np.unique(idx[0])
+        rows, total, before = [], np.zeros(2), there[0]
+        for i in there:
+            s, c = K.phase_shift(a[there[0] if reference == "first" else before], a[i], upsample)
             total = s if reference == "first" else total + s
             rows.append([*total, c])
+            before = i
         r = np.array(rows)
-        return pa.table([pa.array(np.full(len(r), table.column(k)[0].as_py()), pa.int64()) for k in keys] + [pa.array(np.arange(len(r)) + low[0], pa.int64())] + [pa.array(r[:, i]) for i in range(3)], names=[*keys, "t", "drift_y", "drift_x", "confidence"])
+        return pa.table([pa.array(np.full(len(r), table.column(k)[0].as_py()), pa.int64()) for k in keys] + [pa.array(there + low[0], pa.int64())] + [pa.array(r[:, i]) for i in range(3)], names=[*keys, "t", "drift_y", "drift_x", "confidence"])
 
-    d = df.where("z = 0") if "z" in df.columns else df
+    d = df
+    if "z" in df.columns:
+        d = df.where(F.col("z") == ((df.agg(F.max("z")).first()[0] or 0) + 1) // 2)
     return d.select(*[F.col(k).cast("long").alias(k) for k in keys], *[F.col(a).cast("long").alias(a) for a in ("t", "y", "x")], F.col("value").cast("double").alias("value")).groupBy(*keys).applyInArrow(run, schema)
 
 
+def align_drift(df: DataFrame, channel: int | None = None, reference: str = "first", upsample: int = 20, interp: str = "linear") -> dict[str, DataFrame]:
+    """image: every plane and channel moved onto its series' reference frame; drift: the shifts, measured on one channel (the least, if none is named)."""
+    d = df
+    if "c" in df.columns:
+        c = channel if channel is not None else df.agg(F.min("c")).first()[0]
+        d = df.where(F.col("c") == c).drop("c")
+    table = drift(d, reference, upsample)
+    return {"image": shift(df, table, interp=interp), "drift": table}
+
+
 def shift(df: DataFrame, shifts: DataFrame, invert: bool = False, interp: str = "linear") -> DataFrame:
     """Frames moved by their stored shift, joined on the frame."""
     on = [k for k in ("b", "m", "t") if k in df.columns and k in shifts.columns]
@@ -249,13 +278,14 @@ def rigid(df: DataFrame, dy: float = 0.0, dx: float = 0.0, angle: float = 0.0, i
 
 
 def resample(df: DataFrame, scale: float) -> DataFrame:
-    """Planes at another scale, round(size * scale) pixels."""
+    """Planes at another scale, round(size * scale) pixels, that begin at the rounded scaled place of the plane's first."""
     keys, axes = units(df, "plane")
     schema = ", ".join([f"{c} long" for c in [*keys, *axes]] + ["value double"])
 
     def run(table: pa.Table) -> pa.Table:
-        out = K.resample(dense(table, axes)[0], scale)
-        at = np.indices(out.shape).reshape(2, -1)
+        a, _, low = dense(table, axes)
+        out = K.resample(a, scale)
+        at = np.indices(out.shape).reshape(2, -1) + np.rint(low * scale).astype(np.int64)[:, None]
         return pa.table([pa.array(np.full(out.size, table.column(k)[0].as_py()), pa.int64()) for k in keys] + [pa.array(x, pa.int64()) for x in at] + [pa.array(out.ravel())], names=[*keys, *axes, "value"])
 
     return df.select(*[F.col(c).cast("long").alias(c) for c in [*keys, *axes]], F.col("value").cast("double").alias("value")).groupBy(*keys).applyInArrow(run, schema)

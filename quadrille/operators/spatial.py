@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..core import Refusal, need
 from ..functions.missing import finite
+from .ordered import numbered
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, axes=("y", "x"), on=(), suffix: str = "_r") -> DataFrame:
@@ -39,16 +40,26 @@ def within(left: DataFrame, right: DataFrame, radius: float, axes=("y", "x"), on
     return out.drop(*[f"_l{a}" for a in axes], *[f"_q{a}" for a in axes])
 
 
+def checkpoints(spark) -> None:
+    """Refuses to go on without a shared checkpoint folder, but where the driver does all the work (tests)."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise Refusal("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="quadrille-")
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def label_components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """id, component (least id reachable) of every node; large-star and small-star rounds, each written to the checkpoint folder."""
 
     def neighbours_least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
-    if not nodes.sparkSession.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        nodes.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quadrille-"))
+    checkpoints(nodes.sparkSession)
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     before = None
     for _ in range(rounds):
@@ -82,7 +93,9 @@ def unique_objects(df: DataFrame, tolerance: float, x: str = "stage_x_um", y: st
     own = Window.partitionBy("component")
     d = d.withColumn("sighting", F.dense_rank().over(own.orderBy(*order)).cast("long")).withColumn("sightings", F.max("sighting").over(own).cast("long"))
     firsts = d.groupBy("component").agg(F.min(F.struct(*[F.struct(F.col(o).isNull().alias("null"), F.col(o).alias("v")).alias(f"o{i}") for i, o in enumerate(order_by)], "id")).alias("_first"))
-    uid = firsts.select("component", F.row_number().over(Window.orderBy("_first")).cast("long").alias("object_uid"))
+    o0, key = F.col("_first.o0.v"), F.struct("_first", "component")
+    firsts = firsts.withColumn("_o", o0 if d.schema[order_by[0]].dataType.simpleString() == "string" else o0.cast("double")).withColumn("_key", key)
+    uid = numbered(firsts, ["_o", "_key"], "object_uid").select("component", "object_uid")
     out = d.join(uid, "component").select(*df.columns, "object_uid", "sighting", "sightings")
     return out.where(F.col("sighting") <= keep_first) if keep_first else out
 
@@ -111,8 +124,8 @@ def number_tracks(rows: DataFrame, links: DataFrame) -> DataFrame:
     """track_id, t, member_id: components of the links, numbered 1..K by first appearance (t, id)."""
     comp = label_components(rows.select("id"), links.select("a", "b"))
     d = rows.select("id", "t").join(comp, "id")
-    first = d.groupBy("component").agg(F.min(F.struct("t", "id")).alias("_f"))
-    number = first.select("component", F.row_number().over(Window.orderBy("_f")).cast("long").alias("track_id"))
+    first = d.groupBy("component").agg(F.min(F.struct("t", "id")).alias("_f")).select("component", "_f.t", "_f.id")
+    number = numbered(first, ["t", "id"], "track_id").select("component", "track_id")
     return d.join(number, "component").select("track_id", "t", F.col("id").alias("member_id"))
 
 
@@ -154,12 +167,42 @@ def link_labels(raster: DataFrame, iou_threshold: float = 0.0, keys=("m", "c"))
     return number_tracks(area.select(F.col("label_id").alias("id"), "t"), links)
 
 
-def knn(df: DataFrame, k: int, radius: float, axes=("y", "x"), keys=("m", "t", "z", "c")) -> DataFrame:
-    """The k nearest other rows of each row's own group within a radius: columns of both, dist and rank (ties by id)."""
+def knn(df: DataFrame, k: int, axes=("y", "x"), keys=("m", "t", "z", "c")) -> DataFrame:
+    """The k nearest other rows of each row in its own group, all of them where there are fewer: columns of both, dist and rank (ties by id).
+
+    The first search radius of a group is that of a disc which holds k + 1 rows on average, so most rows
+    find theirs in the nine cells around them; those that don't look again twice as far, until every row
+    has k neighbours or all of its group.  A round's findings are checkpointed.
+    """
     on = [c for c in keys if c in df.columns]
-    pairs = within(df, df, radius, axes=axes, on=on).where("id != id_r")
-    w = Window.partitionBy("id").orderBy("dist", "id_r")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    checkpoints(df.sparkSession)
+    d = df
+    for a in axes:
+        d = d.where(finite(a).isNotNull())
+    ends = [f(a).alias(f"_{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]
+    size = d.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), *ends)
+    widest = F.greatest(*[F.col(f"_hi{a}") - F.col(f"_lo{a}") for a in axes]) if len(axes) > 1 else F.col(f"_hi{axes[0]}") - F.col(f"_lo{axes[0]}")
+    radius = widest * F.pow((F.lit(float(k + 1)) / F.col("_n")), F.lit(1.0 / len(axes)))
+    size = size.select(*on, F.when(radius > 0, radius).otherwise(1.0).alias("_radius"), F.least(F.lit(k), F.col("_n") - 1).alias("_most"))
+    d = (d.join(size, on) if on else d.crossJoin(F.broadcast(size))).checkpoint()
+    own = [c for c in d.columns if c in df.columns]
+    around = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"d{a}") for a, v in zip(axes, step)]) for step in itertools.product((-1, 0, 1), repeat=len(axes))])
+    out, left, reach = None, d.where("_most > 0"), 1.0
+    while True:
+        cell = lambda a, r=reach: F.floor(F.col(a) / (F.col("_radius") * r)).cast("long")
+        right = d.withColumn("_d", F.explode(around)).select(*[F.col(c).alias(c + "_r") for c in own], *[(cell(a) + F.col(f"_d.d{a}")).alias(f"_q{a}") for a in axes])
+        at = left.select("*", *[cell(a).alias(f"_l{a}") for a in axes])
+        cond = [F.col(f"_l{a}") == F.col(f"_q{a}") for a in axes] + [F.col(c) == F.col(c + "_r") for c in on] + [F.col("id") != F.col("id_r")]
+        dist = F.sqrt(sum((F.pow(F.col(a) - F.col(a + "_r"), 2) for a in axes), F.lit(0.0)))
+        near = at.join(right, cond).withColumn("dist", dist).where(F.col("dist") <= F.col("_radius") * reach)
+        w = Window.partitionBy("id", *on)
+        near = near.withColumn("rank", F.row_number().over(w.orderBy("dist", "id_r"))).where(F.col("rank") <= k).withColumn("_found", F.count(F.lit(1)).over(w))
+        near = near.where("_found >= _most").select(*own, *[c + "_r" for c in own], "dist", "rank").checkpoint()
+        out = near if out is None else out.union(near)
+        left = left.join(near.select("id", *on).distinct(), ["id", *on], "left_anti").checkpoint()
+        if left.isEmpty():
+            return out
+        reach *= 2
 
 
 def voronoi(seeds: DataFrame, voxels: DataFrame, reach: float, axes=("y", "x"), on=("m", "t")) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import COORDS, Refusal, kind, need
 from ..functions.missing import divide, finite, key, num, or_nan
 from ..functions.reducers import reduce_column
 from ..functions.units import Unit, UnitError
+from .ordered import numbered, percentiles
 
 DEFAULT_REDUCERS = ("mean", "sem", "count")
 
@@ -39,8 +40,7 @@ def aggregate(df: DataFrame, group_by="t", value: str = "area", reducers="mean,s
     out = d.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("n"), *shared, *[reduce_column(r, "_v").alias(f"{value}_{r}") for r in wanted])
     if not keys:
         out = out.where("n > 0")
-    order = [F.col(f"_k{i}").asc_nulls_last() for i in range(len(keys))] or [F.lit(0)]
-    out = out.withColumn("id", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    out = numbered(out, [f"_k{i}" for i in range(len(keys))], "id") if keys else out.withColumn("id", F.lit(1).cast("long"))
     coords = {c: F.lit(0.0 if c in "zyx" else 0).cast("double" if c in "zyx" else "long").alias(c) for c in ("m", "t", "c", "z", "y", "x")}
     cols: list[Column] = []
     for i, k in enumerate(keys):
@@ -176,7 +176,11 @@ def filter_labels(df: DataFrame, column: str, method: str = "otsu", keep: str =
     if method == "fixed":
         return df.where(condition(column, ">=" if keep == "above" else "<=", float(level), kind(df, column))).withColumn("cut", F.lit(float(level)))
     d = df.withColumn("_v", finite(column))
-    cuts = d.groupBy(*keys).agg(F.percentile("_v", percentile / 100).alias("cut")) if method == "percentile" else group_levels(d, "_v", keys, method)
+    if method == "percentile":
+        # a plane or series is of bounded size; a whole table is not
+        cuts = percentiles(d, keys, "_v", {"cut": percentile / 100}) if scope == "dataset" else d.groupBy(*keys).agg(F.percentile("_v", percentile / 100).alias("cut"))
+    else:
+        cuts = group_levels(d, "_v", keys, method)
     d = d.join(cuts, keys) if keys else d.crossJoin(F.broadcast(cuts))
     side = F.col("_v") >= F.col("cut") if keep == "above" else F.col("_v") <= F.col("cut")
     return d.where(side).select(*df.columns, "cut")

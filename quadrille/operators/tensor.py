@@ -52,6 +52,12 @@ def inverse2(a: Matrix) -> Matrix:
     return [[a[1][1] / d, -a[0][1] / d], [-a[1][0] / d, a[0][0] / d]]
 
 
+def inverse3(a: Matrix) -> Matrix:
+    d = F.nullif(det(a), F.lit(0.0))
+    minor = lambda i, j: a[(i + 1) % 3][(j + 1) % 3] * a[(i + 2) % 3][(j + 2) % 3] - a[(i + 1) % 3][(j + 2) % 3] * a[(i + 2) % 3][(j + 1) % 3]
+    return [[minor(j, i) / d for j in range(3)] for i in range(3)]
+
+
 def scale(a: Matrix, s) -> Matrix:
     return [[x * s for x in r] for r in a]
 
@@ -93,6 +99,28 @@ def log_sym2(c: Matrix) -> Matrix:
     return [[mean + k * d, k * c[0][1]], [k * c[0][1], mean - k * d]]
 
 
+def log_sym3(c: Matrix) -> Matrix:
+    """Logarithm of a symmetric positive 3 x 3 matrix, by its eigenvectors in Arrow batches: powers of the matrix lose too much where two of its values meet."""
+    import numpy as np
+    import pandas as pd
+
+    at = [(i, j) for i in range(3) for j in range(i, 3)]
+
+    @F.pandas_udf("array<double>")
+    def run(*columns: pd.Series) -> pd.Series:
+        m = np.empty((len(columns[0]), 3, 3))
+        for (i, j), v in zip(at, columns):
+            m[:, i, j] = m[:, j, i] = v.to_numpy(float)
+        good = np.isfinite(m).all((1, 2))
+        w, v = np.linalg.eigh(np.where(good[:, None, None], m, np.eye(3)))
+        good &= w[:, 0] > 0
+        out = (v * np.log(np.maximum(w, 1e-300))[:, None, :]) @ v.transpose(0, 2, 1)
+        return pd.Series([[float(x[i, j]) for i, j in at] if ok else None for x, ok in zip(out, good)])
+
+    flat = run(*[c[i][j] for i, j in at])
+    return [[flat[at.index((min(i, j), max(i, j)))] for j in range(3)] for i in range(3)]
+
+
 def strain_tensor(g: Matrix, measure: str) -> Matrix:
     n = len(g)
     if measure == "infinitesimal":
@@ -100,13 +128,12 @@ def strain_tensor(g: Matrix, measure: str) -> Matrix:
     f = add(g, eye(n))
     if measure == "green_lagrange":
         return scale(add(mul(t(f), f), eye(n), -1), 0.5)
-    if n != 2:
-        raise ValueError(f"{measure} strain is for two dimensions")
     if measure == "euler_almansi":
-        inv = inverse2(f)
-        return scale(add(eye(2), mul(t(inv), inv), -1), 0.5)
+        inv = inverse2(f) if n == 2 else inverse3(f)
+        return scale(add(eye(n), mul(t(inv), inv), -1), 0.5)
     if measure == "hencky":
-        return scale(log_sym2(mul(t(f), f)), 0.5)
+        c = mul(t(f), f)
+        return scale(log_sym2(c) if n == 2 else log_sym3(c), 0.5)
     raise ValueError(f"unknown measure {measure!r}")
 
 
@@ -145,32 +172,93 @@ def volume_change(df: DataFrame) -> DataFrame:
     return df.withColumn("jacobian", or_nan(j)).withColumn("dilatation", or_nan(j - 1)).withColumn("divergence", or_nan(tr(g)))
 
 
+def embed(a: Matrix, zz: Column) -> Matrix:
+    """A plane tensor in (y, x) as one in (z, y, x), with zz and no coupling to z."""
+    zero = F.lit(0.0)
+    return [[zz, zero, zero], *[[zero, *row] for row in a]]
+
+
+def named(df: DataFrame, prefix: str, a: Matrix) -> tuple[DataFrame, Matrix]:
+    """The tensor's entries as columns of their own, so that what is built on them is computed once."""
+    n = len(a)
+    df = df.select("*", *[a[i][j].alias(f"{prefix}{i}{j}") for i in range(n) for j in range(n)])
+    return df, [[F.col(f"{prefix}{i}{j}") for j in range(n)] for i in range(n)]
+
+
+def free_stretch(j: Column, lam: float, mu: float) -> Column:
+    """The stretch s across a neo-Hookean sheet that leaves its faces free: mu (s^2 - 1) + lam log(j s) = 0.
+
+    Newton's method in log s: the left side is convex and rising there, so every start converges.
+    """
+    step = lambda u, _: u - (mu * (F.exp(2 * u) - 1) + lam * (F.log(j) + u)) / (2 * mu * F.exp(2 * u) + lam)
+    return F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0.0), step))
+
+
 def stress(df: DataFrame, model: str = "linear_elastic", young: float = 1000.0, poisson: float = 0.45, viscosity: float = 1e-3, plane: str = "strain") -> DataFrame:
-    """stress_<ij> and von Mises stress in a plane, from the gradient."""
+    """Cauchy stress from the gradient of a displacement, or of a velocity (newtonian_fluid).
+
+    Adds stress_<ij>, principal stresses stress_p1..p3 (largest first), pressure, von_mises, max_shear and
+    energy (strain energy density).  A field in a plane is a thick block (`plane` strain: nothing moves
+    along z) or a thin sheet (stress: its faces are free), and all of these come from the tensor in space,
+    whose stress_zz is given too.  A fluid has a deviator only and no energy.  NaN where the
+    gradient is missing or turns space inside out.
+    """
     g, n = grad(df)
-    if n != 2:
-        raise ValueError("stress is for two dimensions")
+    if plane not in ("strain", "stress"):
+        raise ValueError(f"plane is strain or stress, not {plane!r}")
     mu, lam = young / (2 * (1 + poisson)), young * poisson / ((1 + poisson) * (1 - 2 * poisson))
-    if plane == "stress":
-        lam = 2 * lam * mu / (lam + 2 * mu)
-    f = add(g, eye(2))
-    j = F.nullif(det(f), F.lit(0.0))
-    if model == "linear_elastic":
-        e = strain_tensor(g, "infinitesimal")
-        s = add(scale(eye(2), lam * tr(e)), e, 2 * mu)
-    elif model == "saint_venant_kirchhoff":
-        e = strain_tensor(g, "green_lagrange")
-        s = scale(mul(mul(f, add(scale(eye(2), lam * tr(e)), e, 2 * mu)), t(f)), 1 / j)
-    elif model == "neo_hookean":
-        s = add(scale(add(mul(f, t(f)), eye(2), -1), mu / j), scale(eye(2), lam * F.when(j > 0, F.log(j)) / j))
-    elif model == "newtonian_fluid":
+    sheet = plane == "stress" and n == 2
+    own = df.columns
+    energy = F.lit(None).cast("double")
+    if model in ("linear_elastic", "newtonian_fluid"):
         e = strain_tensor(g, "infinitesimal")
-        s = scale([[e[i][k] - (tr(e) / 3 if i == k else 0.0) for k in range(2)] for i in range(2)], 2 * viscosity)
+        if model == "newtonian_fluid":
+            zz = F.lit(0.0)
+        else:
+            zz = -lam / (lam + 2 * mu) * tr(e) if sheet else F.lit(0.0)
+        df, e = named(df, "_e", e if n == 3 else embed(e, zz))
+        if model == "newtonian_fluid":
+            s = scale(add(e, scale(eye(3), tr(e) / 3), -1), 2 * viscosity)
+        else:
+            s = add(scale(eye(3), lam * tr(e)), e, 2 * mu)
+            energy = sum((s[i][j] * e[i][j] for i in range(3) for j in range(3)), F.lit(0.0)) / 2
+    elif model in ("saint_venant_kirchhoff", "neo_hookean"):
+        f = add(g, eye(n))
+        if n == 2:
+            if not sheet:
+                zz = F.lit(1.0)
+            elif model == "neo_hookean":
+                zz = free_stretch(F.when(det(f) > 0, det(f)), lam, mu)
+            else:
+                left = 1 - 2 * lam / (lam + 2 * mu) * tr(strain_tensor(g, "green_lagrange"))
+                zz = F.sqrt(F.when(left > 0, left))
+            f = embed(f, zz)
+        df, f = named(df, "_f", f)
+        df = df.withColumn("_j", F.when(det(f) > 0, det(f)))
+        j = F.col("_j")
+        if model == "neo_hookean":
+            df, b = named(df, "_e", mul(f, t(f)))
+            s = scale(add(scale(add(b, eye(3), -1), mu), scale(eye(3), lam * F.log(j))), 1 / j)
+            energy = mu / 2 * (tr(b) - 3) - mu * F.log(j) + lam / 2 * F.log(j) * F.log(j)
+        else:
+            df, e = named(df, "_e", scale(add(mul(t(f), f), eye(3), -1), 0.5))
+            df, second = named(df, "_s", add(scale(eye(3), lam * tr(e)), e, 2 * mu))
+            s = scale(mul(mul(f, second), t(f)), 1 / j)
+            energy = lam / 2 * tr(e) * tr(e) + mu * sum((e[i][k] * e[i][k] for i in range(3) for k in range(3)), F.lit(0.0))
+            energy = F.when(j.isNotNull(), energy)
     else:
         raise ValueError(f"unknown model {model!r}")
-    out = df.withColumn("stress_yy", or_nan(s[0][0])).withColumn("stress_yx", or_nan(s[0][1])).withColumn("stress_xx", or_nan(s[1][1]))
-    yy, xx, yx = F.col("stress_yy"), F.col("stress_xx"), F.col("stress_yx")
-    return out.withColumn("von_mises", F.sqrt(yy * yy - yy * xx + xx * xx + 3 * yx * yx))
+    at = [(i, k) for i in range(3) for k in range(i, 3)]
+    name = lambda i, k: f"stress_{'zyx'[min(i, k)]}{'zyx'[max(i, k)]}"
+    out = df.select(*own, *[s[i][k].alias(name(i, k)) for i, k in at], energy.alias("energy"))
+    c = [[F.col(name(i, k)) for k in range(3)] for i in range(3)]
+    p1, p2, p3 = eigen3(c)
+    shear = c[0][1] * c[0][1] + c[0][2] * c[0][2] + c[1][2] * c[1][2]
+    apart = sum((F.pow(c[i][i] - c[k][k], 2) for i, k in ((0, 1), (1, 2), (0, 2))), F.lit(0.0))
+    out = out.withColumn("stress_p1", p1).withColumn("stress_p2", p2).withColumn("stress_p3", p3).withColumn("pressure", -tr(c) / 3).withColumn("von_mises", F.sqrt(apart / 2 + 3 * shear))
+    out = out.withColumn("max_shear", (F.col("stress_p1") - F.col("stress_p3")) / 2)
+    shown = [name(i, k) for i, k in at if n == 3 or i == k or i > 0]
+    return out.select(*own, *[or_nan(F.col(x)).alias(x) for x in (*shown, "stress_p1", "stress_p2", "stress_p3", "pressure", "von_mises", "max_shear", "energy")])
 
 
 def lattice_gradient(df: DataFrame, field: Sequence[str] = ("disp_y", "disp_x"), keys: Sequence[str] = ("m", "t"), y: str = "gy", x: str = "gx", h: float = 1.0) -> DataFrame:

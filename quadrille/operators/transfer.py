@@ -199,7 +199,7 @@ def measure(raster: DataFrame, image: DataFrame, stats=("mean", "max", "min", "c
         agg += [F.var_pop("y").alias("_yy"), F.var_pop("x").alias("_xx"), F.covar_pop("y", "x").alias("_yx"), *[f(a).alias(f"_{n}{a}") for a in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))]]
     out = d.groupBy(F.col("label_id").alias("id")).agg(*agg)
     if shape:
-        yy, xx, yx = F.col("_yy") + 1 / 12, F.col("_xx") + 1 / 12, F.col("_yx")
+        yy, xx, yx = F.col("_yy") + 1 / 12, F.col("_xx") + 1 / 12, F.when(F.abs("_yx") > 1e-12, F.col("_yx")).otherwise(0.0)
         root = F.sqrt(F.pow((yy - xx) / 2, 2) + yx * yx)
         l1, l2 = (yy + xx) / 2 + root, F.greatest((yy + xx) / 2 - root, F.lit(0.0))
         out = out.withColumn("axis_major", 4 * F.sqrt(l1)).withColumn("axis_minor", 4 * F.sqrt(l2)).withColumn("eccentricity", F.sqrt(F.greatest(1 - F.try_divide(l2, l1), F.lit(0.0))))

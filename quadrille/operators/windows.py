@@ -46,10 +46,10 @@ def self_fold(df: DataFrame, value: str, name: str = "self_fold", track: str = "
     return df.withColumn(name, F.when(F.col(track) > 0, fold(finite(value), F.avg(finite(value)).over(w))).otherwise(NAN))
 
 
-def neighbour_metrics(df: DataFrame, k: int, radius: float) -> DataFrame:
-    """Mean and population spread of the distance to the k nearest others, and local divergence and curl of velocity."""
-    near = knn(df, k, radius)
-    r2 = F.greatest(F.pow("dist", 2), F.lit(1.0))
+def neighbour_metrics(df: DataFrame, k: int, least: float = 1.0) -> DataFrame:
+    """Mean and population spread of the distance to the k nearest others of the frame, and local divergence and curl of velocity; distances count as `least` at least in the latter."""
+    near = knn(df, k)
+    r2 = F.pow(F.greatest(F.col("dist"), F.lit(float(least))), 2)
     dy, dx = F.col("y_r") - F.col("y"), F.col("x_r") - F.col("x")
     agg = [F.avg("dist").alias("nn_dist_mean"), F.stddev_pop("dist").alias("nn_dist_std")]
     if {"vy", "vx"} <= set(df.columns):

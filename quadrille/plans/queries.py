@@ -105,10 +105,10 @@ def _(spark, sf):
     return T.aggregate(labels(spark, sf), "", "area", "mean,median")
 
 
-@q("join_left_lookup", "SELECT o.o_orderkey AS key, o.o_custkey AS id, o.o_totalprice AS total, coalesce(c.c_acctbal, 'nan'::DOUBLE) AS cust_balance, coalesce(c.c_mktsegment, '') AS cust_segment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey AND c.c_custkey % 3 <> 0")
+@q("join_left_lookup", "SELECT o.o_orderkey AS key, o.o_custkey AS id, o.o_totalprice AS total, coalesce(c.c_acctbal, 'nan'::DOUBLE) AS cust_balance, coalesce(c.c_mktsegment, '') AS cust_segment FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey")
 def _(spark, sf):
     left = read(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("total"))
-    right = read(spark, sf, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    right = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
     return T.join(left, right, on="id", prefix="cust_")
 
 
@@ -131,11 +131,15 @@ def _(spark, sf):
     return T.join(p, p.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")), on="track", prefix="track_")
 
 
-@q("concat_conditions", "SELECT o_orderkey AS id, o_totalprice AS value, '1' AS condition, 0::BIGINT AS input, 1.0::DOUBLE AS condition_value FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders WHERE o_orderpriority = '1-URGENT'), o_totalprice, '2.5', 1, 2.5 FROM orders WHERE o_orderpriority = '5-LOW'")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+NAMES = ("1", "2.5", "3", "4", "5")
+
+
+@q("concat_conditions", "SELECT o_orderkey + coalesce((SELECT sum(top) FROM (SELECT o_orderpriority AS p, max(o_orderkey) AS top FROM orders GROUP BY 1) WHERE p < o_orderpriority), 0)::BIGINT AS id, o_totalprice AS value, CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN '{n}'" for p, n in zip(PRIORITIES, NAMES)) + " END AS condition, CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(PRIORITIES)) + " END::BIGINT AS input, CASE o_orderpriority " + " ".join(f"WHEN '{p}' THEN {n}" for p, n in zip(PRIORITIES, NAMES)) + " END::DOUBLE AS condition_value FROM orders")
 def _(spark, sf):
     o = read(spark, sf, "orders")
     part = lambda p: o.where(F.col("o_orderpriority") == p).select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
-    return T.concat([part("1-URGENT"), part("5-LOW")], ["1", "2.5"])
+    return T.concat([part(p) for p in PRIORITIES], list(NAMES))
 
 
 CONDITIONS = [("area", ">=", 10.0), ("mean_intensity", "<", 40000.0), ("grp", "!=", "A")]
@@ -299,19 +303,32 @@ def _(spark, sf):
     return A.timeseries([v.where("m % 2 = 0"), v.where("m % 2 = 1")], [8, 8], ["run10.nd2", "run9.nd2"], "y")
 
 
-@q("merge_frames", "SELECT file, t, clock, row_number() OVER (ORDER BY c, file, t) - 1 AS new_t FROM (SELECT *, max(clock) OVER (PARTITION BY file ORDER BY t) AS c FROM (SELECT event_type AS file, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS t, epoch(ts) AS clock FROM events WHERE user_id = 3))")
+@q("merge_frames", "SELECT file, t, clock, row_number() OVER (ORDER BY c, file, t) - 1 AS new_t FROM (SELECT *, max(clock) OVER (PARTITION BY file ORDER BY t) AS c FROM (SELECT event_type AS file, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS t, epoch(ts) AS clock FROM events))")
 def _(spark, sf):
     from pyspark.sql import Window
 
-    e = read(spark, sf, "events").where("user_id = 3")
+    e = read(spark, sf, "events")
     return A.merge_frames(e.select(F.col("event_type").alias("file"), F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long").alias("t"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("clock")))
 
 
-@q("select_group", "SELECT n.n_nationkey AS m, n.n_regionkey AS specimen FROM nation n WHERE n.n_nationkey < 0")
+GROUPS = """stage AS (SELECT s_suppkey AS m, s_suppkey * 10.0 + (s_suppkey // 4) * 500 + s_nationkey * 0.01 AS x FROM supplier),
+steps AS (SELECT *, x - lag(x) OVER (ORDER BY m) AS step FROM stage),
+spec AS (SELECT m, coalesce(sum(CASE WHEN step > 3 * typical THEN 1 ELSE 0 END) OVER (ORDER BY m), 0)::BIGINT AS specimen FROM steps, (SELECT median(step) AS typical FROM steps))"""
+
+
+def stage(spark, sf):
+    s = read(spark, sf, "supplier")
+    return s.select(F.col("s_suppkey").alias("m"), F.lit(0.0).alias("y"), (F.col("s_suppkey") * 10.0 + F.floor(F.col("s_suppkey") / 4) * 500 + F.col("s_nationkey") * 0.01).alias("x"))
+
+
+@q("position_groups", "SELECT m, specimen FROM spec", GROUPS)
 def _(spark, sf):
-    # positions on a line with one wide gap: only the second specimen is asked for
-    p = spark.range(8).select(F.col("id").alias("m"), F.lit(0.0).alias("y"), (F.col("id") * 10.0 + F.when(F.col("id") >= 5, 500.0).otherwise(0.0)).alias("x"))
-    return A.position_groups(p).where("specimen = 7").select(F.col("m").cast("int").alias("m"), F.col("specimen").cast("int").alias("specimen"))
+    return A.position_groups(stage(spark, sf)).select("m", F.col("specimen").cast("long").alias("specimen"))
+
+
+@q("select_group", "SELECT l.id, n.k - 1 AS m, l.area FROM lab l JOIN (SELECT m, row_number() OVER (ORDER BY m) AS k FROM spec WHERE specimen IN (0, 2)) n ON l.m = n.m", LAB, GROUPS)
+def _(spark, sf):
+    return A.select_group(labels(spark, sf).select("id", "m", "area"), stage(spark, sf), [0, 2])
 
 
 @q("crop_region_fit", "SELECT v.m, v.y - b.ly AS y, v.x - b.lx AS x, v.value FROM vox v JOIN (SELECT m, min(y) AS ly, max(y) AS hy, min(x) AS lx, max(x) AS hx FROM vox WHERE value > 0.2 GROUP BY m) b ON v.m = b.m WHERE v.y BETWEEN ly AND hy AND v.x BETWEEN lx AND hx", VOX)
@@ -369,11 +386,11 @@ def _(spark, sf):
 for _bl, _sql in (("mean", "avg(value)"), ("max", "max(value)"), ("overwrite", "max_by(value, m)"), ("feather", "sum(value * w) / sum(w)")):
 
     def _stitch(spark, sf, b=_bl):
-        v = voxels(spark, sf).where("m < 16").select("m", "y", "x", "value")
-        tiles = spark.range(16).select(F.col("id").alias("m"), (F.floor(F.col("id") / 4) * 6).alias("oy"), ((F.col("id") % 4) * 6).alias("ox"))
+        v = voxels(spark, sf).select("m", "y", "x", "value")
+        tiles = read(spark, sf, "embeddings").select(F.col("vec_id").alias("m"), (F.floor(F.col("vec_id") / 40) * 6).alias("oy"), ((F.col("vec_id") % 40) * 6).alias("ox"))
         return A.stitch(v, tiles, b, (8, 8))
 
-    q(f"stitch_{_bl}", f"SELECT y + (m // 4) * 6 AS y, x + (m % 4) * 6 AS x, round({_sql}, 6) AS value FROM (SELECT *, least(y + 1, 8 - y, x + 1, 8 - x)::DOUBLE AS w FROM vox WHERE m < 16) GROUP BY 1, 2", VOX)(_stitch)
+    q(f"stitch_{_bl}", f"SELECT y + (m // 40) * 6 AS y, x + (m % 40) * 6 AS x, round({_sql}, 6) AS value FROM (SELECT *, least(y + 1, 8 - y, x + 1, 8 - x)::DOUBLE AS w FROM vox) GROUP BY 1, 2", VOX)(_stitch)
 
 
 # --- domain transfer --------------------------------------------------------------------------------
@@ -483,10 +500,13 @@ def _(spark, sf):
     return D.measure(r, v, ("mean", "max", "min", "sum", "median"))
 
 
-@q("measure_shape", "SELECT label_id AS id, count(*) AS area, round(avg(y), 6) AS y, round(avg(x), 6) AS x, round(4 * sqrt((var_pop(y) + var_pop(x) + 1/6.0) / 2 + sqrt(((var_pop(y) - var_pop(x)) / 2) ** 2 + covar_pop(y, x) ** 2)), 5) AS axis_major, round(count(*) / ((max(y) - min(y) + 1) * (max(x) - min(x) + 1))::DOUBLE, 6) AS extent FROM ras WHERE label_id > 0 GROUP BY 1", VOX, RASTER)
+SHAPE = "shp AS (SELECT label_id AS id, count(*) AS area, avg(y) AS y, avg(x) AS x, avg(value) AS v, var_pop(y) + 1/12.0 AS yy, var_pop(x) + 1/12.0 AS xx, covar_pop(y, x) AS yx, (max(y) - min(y) + 1) * (max(x) - min(x) + 1) AS box FROM ras WHERE label_id > 0 GROUP BY 1), axs AS (SELECT *, (yy + xx) / 2 + sqrt(((yy - xx) / 2) ** 2 + yx ** 2) AS l1, greatest((yy + xx) / 2 - sqrt(((yy - xx) / 2) ** 2 + yx ** 2), 0) AS l2 FROM shp)"
+
+
+@q("measure_shape", "SELECT id, area, round(y, 5) AS y, round(x, 5) AS x, round(4 * sqrt(l1), 5) AS axis_major, round(4 * sqrt(l2), 5) AS axis_minor, round(sqrt(greatest(1 - l2 / l1, 0)), 5) AS eccentricity, round(atan2(2 * CASE WHEN abs(yx) > 1e-12 THEN yx ELSE 0 END, yy - xx) / 2, 5) AS orientation, round(area / box::DOUBLE, 5) AS extent FROM axs", VOX, RASTER, SHAPE, digits=5)
 def _(spark, sf):
     r, v = raster(spark, sf)
-    return D.measure(r, v, (), True).select("id", "area", "y", "x", F.round("axis_major", 5).alias("axis_major"), "extent")
+    return D.measure(r, v, (), True).select("id", "area", "y", "x", "axis_major", "axis_minor", "eccentricity", "orientation", "extent")
 
 
 @q("measure_pixels", "SELECT r.m, r.y, r.x, r.label_id, r.value AS intensity, round(sqrt((r.y - c.y) ** 2 + (r.x - c.x) ** 2), 6) AS centroid_dist FROM ras r JOIN (SELECT label_id, avg(y) AS y, avg(x) AS x FROM ras GROUP BY 1) c USING (label_id) WHERE label_id > 0", VOX, RASTER)
@@ -590,9 +610,15 @@ def _(spark, sf):
     return S.within(v, v, 3.0, on=["m"]).where("id < id_r").select(F.col("id").alias("a"), F.col("id_r").alias("b"), "dist")
 
 
-@q("knn_distance", "SELECT id, round(avg(d), 6) AS nn_dist_mean, round(stddev_pop(d), 6) AS nn_dist_std FROM (SELECT a.id, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.y - b.y) ** 2 + (a.x - b.x) ** 2, b.id) AS k FROM emb a JOIN emb b ON a.m = b.m AND a.id <> b.id AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 100) WHERE k <= 3 GROUP BY id UNION ALL SELECT id, 'nan'::DOUBLE, 'nan'::DOUBLE FROM emb a WHERE NOT EXISTS (SELECT 1 FROM emb b WHERE a.m = b.m AND a.id <> b.id AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 <= 100)", EMB)
+@q("knn_distance", "SELECT id, round(coalesce(avg(d), 'nan'::DOUBLE), 6) AS nn_dist_mean, round(coalesce(stddev_pop(d), 'nan'::DOUBLE), 6) AS nn_dist_std FROM (SELECT a.id, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d, row_number() OVER (PARTITION BY a.id ORDER BY (a.y - b.y) ** 2 + (a.x - b.x) ** 2, b.id) AS k FROM emb a LEFT JOIN emb b ON a.m = b.m AND a.id <> b.id) WHERE k <= 6 GROUP BY id", EMB)
 def _(spark, sf):
-    return W.neighbour_metrics(vectors(spark, sf).select("id", "m", "y", "x"), 3, 10.0).select("id", "nn_dist_mean", "nn_dist_std")
+    return W.neighbour_metrics(vectors(spark, sf).select("id", "m", "y", "x"), 6).select("id", "nn_dist_mean", "nn_dist_std")
+
+
+@q("knn_flow", "SELECT id, round(coalesce(CASE WHEN count(*) >= 2 THEN avg((dy * dvy + dx * dvx) / r2) END, 'nan'::DOUBLE), 6) AS divergence, round(coalesce(CASE WHEN count(*) >= 2 THEN avg((dy * dvx - dx * dvy) / r2) END, 'nan'::DOUBLE), 6) AS curl FROM (SELECT a.id, b.y - a.y AS dy, b.x - a.x AS dx, b.v - a.v AS dvy, b.w - a.w AS dvx, greatest((a.y - b.y) ** 2 + (a.x - b.x) ** 2, 1) AS r2, row_number() OVER (PARTITION BY a.id ORDER BY (a.y - b.y) ** 2 + (a.x - b.x) ** 2, b.id) AS k FROM emb a JOIN emb b ON a.m = b.m AND a.id <> b.id) WHERE k <= 6 GROUP BY id", EMB)
+def _(spark, sf):
+    d = vectors(spark, sf).withColumnRenamed("v", "vy").withColumnRenamed("w", "vx")
+    return W.neighbour_metrics(d, 6).select("id", "divergence", "curl")
 
 
 @q("voronoi_nearest", "SELECT v.y, v.x, coalesce(arg_min(e.id, (round((v.y - e.y) ** 2 + (v.x - e.x) ** 2, 9), e.id)), 0) AS seed FROM (SELECT a.range - 20 AS y, b.range - 20 AS x FROM range(40) a, range(40) b) v LEFT JOIN emb e ON (v.y - e.y) ** 2 + (v.x - e.x) ** 2 <= 16 GROUP BY v.y, v.x", EMB)
@@ -626,7 +652,7 @@ def _(spark, sf):
 @q("register_shift", "SELECT id, round(y + 7.5, 4) AS reg_y, round(x - 3.25, 4) AS reg_x FROM emb", EMB, digits=4)
 def _(spark, sf):
     v = vectors(spark, sf).select("id", "y", "x")
-    marks = v.where("id < 40")
+    marks = v
     moved = marks.select("id", (F.col("y") + 7.5).alias("y"), (F.col("x") - 3.25).alias("x"))
     return S.register_positions(v, marks, moved, 12.0, 2.0, "shift").select("id", "reg_y", "reg_x")
 
@@ -690,14 +716,18 @@ def _(spark, sf):
     return N.strain(grads(spark, sf), "green_lagrange").select("id", "strain_yy", "strain_yx", "strain_xx")
 
 
-@q("strain_hencky")
+#: Half the logarithm of C = F'F by its principal directions.
+HENCKY = "hen AS (SELECT *, ln(c1) / 2 AS h1, ln(c2) / 2 AS h2, atan2(2 * cyx, cyy - cxx) / 2 AS a FROM (SELECT *, (cyy + cxx) / 2 + sqrt(((cyy - cxx) / 2) ** 2 + cyx ** 2) AS c1, (cyy + cxx) / 2 - sqrt(((cyy - cxx) / 2) ** 2 + cyx ** 2) AS c2 FROM (SELECT id, (1 + gyy) ** 2 + gxy ** 2 AS cyy, gyx ** 2 + (1 + gxx) ** 2 AS cxx, (1 + gyy) * gyx + gxy * (1 + gxx) AS cyx FROM grd)))"
+
+
+@q("strain_hencky", "SELECT id, round(h1 * cos(a) ** 2 + h2 * sin(a) ** 2, 5) AS strain_yy, round((h1 - h2) * sin(a) * cos(a), 5) AS strain_yx, round(h1 * sin(a) ** 2 + h2 * cos(a) ** 2, 5) AS strain_xx, round(h1, 5) AS principal_1, round(h2, 5) AS principal_2, round((h1 - h2) / 2, 5) AS max_shear, round(h1 + h2, 5) AS volumetric FROM hen", EMB, GRD, HENCKY, digits=5)
 def _(spark, sf):
-    return N.strain(grads(spark, sf), "hencky")
+    return N.strain(grads(spark, sf), "hencky").select("id", "strain_yy", "strain_yx", "strain_xx", "principal_1", "principal_2", "max_shear", "volumetric")
 
 
-@q("strain_euler_almansi")
+@q("strain_euler_almansi", "SELECT id, round((1 - (ixy ** 2 + iyy ** 2)) / 2, 5) AS strain_yy, round(-(iyy * iyx + ixy * ixx) / 2, 5) AS strain_yx, round((1 - (ixx ** 2 + iyx ** 2)) / 2, 5) AS strain_xx FROM (SELECT id, (1 + gxx) / j AS iyy, -gyx / j AS iyx, -gxy / j AS ixy, (1 + gyy) / j AS ixx FROM (SELECT *, (1 + gyy) * (1 + gxx) - gyx * gxy AS j FROM grd))", EMB, GRD, digits=5)
 def _(spark, sf):
-    return N.strain(grads(spark, sf), "euler_almansi")
+    return N.strain(grads(spark, sf), "euler_almansi").select("id", "strain_yy", "strain_yx", "strain_xx")
 
 
 @q("rotation_2d", "SELECT id, round(gxy - gyx, 6) AS curl, round(degrees(atan2(gxy - gyx, 2 + gyy + gxx)), 6) AS rotation FROM grd", EMB, GRD)
@@ -710,14 +740,30 @@ def _(spark, sf):
     return N.volume_change(grads(spark, sf)).select("id", "jacobian", "dilatation", "divergence")
 
 
-@q("stress_linear", "SELECT id, round(lam * (gyy + gxx) + 2 * mu * gyy, 4) AS stress_yy, round(mu * (gyx + gxy), 4) AS stress_yx, round(lam * (gyy + gxx) + 2 * mu * gxx, 4) AS stress_xx FROM grd, (SELECT 1000 / (2 * 1.3) AS mu, 1000 * 0.3 / (1.3 * 0.4) AS lam)", EMB, GRD, digits=4)
-def _(spark, sf):
-    return N.stress(grads(spark, sf), poisson=0.3).select("id", "stress_yy", "stress_yx", "stress_xx")
-
-
-@q("stress_neo_hookean")
-def _(spark, sf):
-    return N.stress(grads(spark, sf), "neo_hookean", poisson=0.3).select("id", "stress_yy", "stress_yx", "stress_xx", "von_mises")
+LAME = "(SELECT 1000 / (2 * 1.3) AS mu, 1000 * 0.3 / (1.3 * 0.4) AS lam)"
+#: From the tensor in space, s with a free or a held third axis: the invariants that every model reports.
+STRESS = """SELECT id, round(zz, 3) AS stress_zz, round(yy, 3) AS stress_yy, round(yx, 3) AS stress_yx, round(xx, 3) AS stress_xx, round(-(yy + xx + zz) / 3, 3) AS pressure,
+round(sqrt(((yy - xx) ** 2 + (xx - zz) ** 2 + (zz - yy) ** 2) / 2 + 3 * yx * yx), 3) AS von_mises, round(greatest(p1, zz), 3) AS stress_p1, round(least(p2, zz), 3) AS stress_p3, round(p1 + p2 + zz - greatest(p1, zz) - least(p2, zz), 3) AS stress_p2,
+round((greatest(p1, zz) - least(p2, zz)) / 2, 3) AS max_shear, round(energy, 3) AS energy
+FROM (SELECT *, (yy + xx) / 2 + sqrt(((yy - xx) / 2) ** 2 + yx * yx) AS p1, (yy + xx) / 2 - sqrt(((yy - xx) / 2) ** 2 + yx * yx) AS p2 FROM ({})) q"""
+LINEAR = "SELECT id, 2 * mu * gyy + l * (gyy + gxx) AS yy, 2 * mu * gxx + l * (gyy + gxx) AS xx, mu * (gyx + gxy) AS yx, {zz} AS zz, ((2 * mu * gyy + l * (gyy + gxx)) * gyy + (2 * mu * gxx + l * (gyy + gxx)) * gxx + mu * (gyx + gxy) ** 2) / 2 AS energy FROM grd, (SELECT mu, lam, {l} AS l FROM " + LAME + ")"
+#: Left Cauchy-Green tensor b and determinant of I + G in a plane.
+FINITE = "fin AS (SELECT id, (1 + gyy) ** 2 + gyx ** 2 AS byy, gxy ** 2 + (1 + gxx) ** 2 AS bxx, (1 + gyy) * gxy + gyx * (1 + gxx) AS byx, (1 + gyy) * (1 + gxx) - gyx * gxy AS j2, (1 + gyy) ** 2 + gxy ** 2 AS cyy, gyx ** 2 + (1 + gxx) ** 2 AS cxx, (1 + gyy) * gyx + gxy * (1 + gxx) AS cyx, mu, lam FROM grd, " + LAME + ")"
+#: Stretch across a free sheet, by halving an interval forty-five times.
+SHEET = "sht AS (SELECT *, exp(list_reduce(list_concat([0.0::DOUBLE], list_transform(range(45), lambda k: 16.0 / 2 ** k)), lambda u, w: u + CASE WHEN mu * (exp(2 * u) - 1) + lam * (ln(j2) + u) < 0 THEN w ELSE -w END)) AS s FROM fin)"
+HOOKEAN = "SELECT id, (mu * (byy - 1) + lam * ln(j)) / j AS yy, (mu * (bxx - 1) + lam * ln(j)) / j AS xx, mu * byx / j AS yx, (mu * (s * s - 1) + lam * ln(j)) / j AS zz, mu / 2 * (byy + bxx + s * s - 3) - mu * ln(j) + lam / 2 * ln(j) ** 2 AS energy FROM (SELECT *, j2 * s AS j FROM {})"
+#: Second Piola-Kirchhoff stress pushed forward: F S F' = lam tr(E) b + mu (b b - b) in the plane.
+KIRCHHOFF = "SELECT id, (lam * te * byy + mu * (byy ** 2 + byx ** 2 - byy)) / j AS yy, (lam * te * bxx + mu * (bxx ** 2 + byx ** 2 - bxx)) / j AS xx, (lam * te * byx + mu * (byx * (byy + bxx) - byx)) / j AS yx, s * s * (lam * te + mu * (s * s - 1)) / j AS zz, lam / 2 * te ** 2 + mu * (((cyy - 1) / 2) ** 2 + ((cxx - 1) / 2) ** 2 + cyx ** 2 / 2 + ((s * s - 1) / 2) ** 2) AS energy FROM (SELECT *, j2 * s AS j, (cyy + cxx + s * s - 3) / 2 AS te FROM (SELECT *, {} AS s FROM fin))"
+
+for _model, _plane, _sql, _ctes in (
+    ("linear_elastic", "strain", LINEAR.format(l="lam", zz="lam * (gyy + gxx)"), ()),
+    ("linear_elastic", "stress", LINEAR.format(l="2 * lam * mu / (lam + 2 * mu)", zz="0.0"), ()),
+    ("neo_hookean", "strain", HOOKEAN.format("(SELECT *, 1.0 AS s FROM fin)"), (FINITE,)),
+    ("neo_hookean", "stress", HOOKEAN.format("sht"), (FINITE, SHEET)),
+    ("saint_venant_kirchhoff", "strain", KIRCHHOFF.format("1.0"), (FINITE,)),
+    ("saint_venant_kirchhoff", "stress", KIRCHHOFF.format("sqrt(1 - lam / (lam + 2 * mu) * (cyy + cxx - 2))"), (FINITE,)),
+):
+    q(f"stress_{_model}_{_plane}", STRESS.format(_sql), EMB, GRD, *_ctes, digits=3)(lambda spark, sf, m=_model, p=_plane: N.stress(grads(spark, sf), m, poisson=0.3, plane=p).drop("grad_yy", "grad_yx", "grad_xy", "grad_xx"))
 
 
 @q("lattice_gradient", "SELECT m, gy, gx, round(CASE WHEN gy = 0 THEN lead(u) OVER wy - u WHEN gy = 7 THEN u - lag(u) OVER wy ELSE (lead(u) OVER wy - lag(u) OVER wy) / 2 END, 6) AS grad_uy, round(CASE WHEN gx = 0 THEN lead(u) OVER wx - u WHEN gx = 7 THEN u - lag(u) OVER wx ELSE (lead(u) OVER wx - lag(u) OVER wx) / 2 END, 6) AS grad_ux FROM pv WINDOW wy AS (PARTITION BY m, gx ORDER BY gy), wx AS (PARTITION BY m, gy ORDER BY gx)", VOX, PIV)
