@@ -79,6 +79,7 @@ FILTERS: dict[str, Callable] = {
     "enhance.clahe": lambda a, clip_limit=0.01, tile_grid=8: K.clahe(a, clip_limit, tile_grid),
     "enhance.nlm": lambda a, h=0.1, patch_size=3, patch_distance=3: K.nlm(a, h, patch_size, patch_distance),
     "enhance.tv_denoise": lambda a, weight=0.1: K.tv_denoise(a, weight),
+    "enhance.wavelet_denoise": lambda a, **o: K.wavelet_denoise(a, **o),
     "enhance.deconvolve": lambda a, sigma=1.5, iterations=10: K.richardson_lucy(a, sigma, iterations),
     "enhance.subtract_background": lambda a, **o: K.subtract_background(a, **o),
     "enhance.flatten_field": lambda a, **o: K.flatten_field(a, **o),

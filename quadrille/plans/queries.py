@@ -633,12 +633,6 @@ def _(spark, sf):
     return S.grow_points(vectors(spark, sf).select("id", "y", "x"), g, 2.0)
 
 
-@q("unique_objects")
-def _(spark, sf):
-    v = vectors(spark, sf).withColumn("t", F.col("id") % 5)
-    return S.unique_objects(v, 1.5, "x", "y", ("t", "m")).select("id", "object_uid", "sighting", "sightings")
-
-
 @q("link_points")
 def _(spark, sf):
     return S.link_points(tracks(spark, sf).select("id", "m", "t", "y", "x"), 3.0)
@@ -771,12 +765,6 @@ def _(spark, sf):
     return N.lattice_gradient(pivs(spark, sf), ["u"], ["m"]).select("m", "gy", "gx", "grad_uy", "grad_ux")
 
 
-@q("local_gradient")
-def _(spark, sf):
-    v = vectors(spark, sf).select("id", "m", "y", "x", F.col("v").alias("disp_y"), F.col("w").alias("disp_x"))
-    return W.local_gradient(v, 12.0)
-
-
 @q("track_field", "SELECT id, round(y - first_value(y) OVER w, 6) AS disp_y FROM (SELECT *, count(*) OVER (PARTITION BY track_id) AS n FROM trk WHERE track_id > 0) WHERE n >= 3 WINDOW w AS (PARTITION BY track_id ORDER BY t)", PTS, TRK)
 def _(spark, sf):
     return W.track_displacement(tracks(spark, sf), min_length=3).select("id", "disp_y")
@@ -823,11 +811,6 @@ def _(spark, sf):
     return G.box(points(spark, sf), "value", ["condition"])
 
 
-@q("kde")
-def _(spark, sf):
-    return G.kde(points(spark, sf), "value", ["condition"])
-
-
 @q("heatmap", "SELECT t AS row, condition AS \"column\", round(coalesce(stddev_samp(value), 0), 6) AS value, count(*) AS n FROM pts GROUP BY t, condition", PTS)
 def _(spark, sf):
     return G.heatmap(points(spark, sf), "t", "condition", "value", "std")
@@ -848,11 +831,6 @@ def _(spark, sf):
     return G.rose_series(vectors(spark, sf).select((F.col("y") * 10).alias("a"), F.abs("v").alias("w")), "a", 12, "w")
 
 
-@q("hexbin")
-def _(spark, sf):
-    return G.hexbin_series(vectors(spark, sf), "x", "y", 5.0)
-
-
 @q("normalize_series", "SELECT condition, t, round(v / max(v) OVER (PARTITION BY condition), 6) AS v FROM (SELECT condition, t, sum(value) AS v FROM pts GROUP BY ALL)", PTS)
 def _(spark, sf):
     d = points(spark, sf).groupBy("condition", "t").agg(F.sum("value").alias("v"))
@@ -894,11 +872,6 @@ def _(spark, sf):
     return spark.createDataFrame([(float(G.compare(points(spark, sf), "value", "condition", "anova")[0]["statistic"]),)], "statistic double")
 
 
-@q("kruskal_h")
-def _(spark, sf):
-    return spark.createDataFrame([(float(r["statistic"]), float(r["p"])) for r in G.compare(points(spark, sf), "value", "condition", "kruskal")], "statistic double, p double")
-
-
 @q("coded_projection", "SELECT t, y, x, max(value) AS value, arg_min(m, (-value, m)) AS z FROM (SELECT label AS t, m, y, x, round(value, 6) AS value FROM vox) GROUP BY ALL", VOX)
 def _(spark, sf):
     v = voxels(spark, sf).select(F.col("label").cast("int").alias("t"), F.col("m").alias("z"), "y", "x", F.round("value", 6).alias("value"))
@@ -987,10 +960,6 @@ def _(spark, sf):
     return I.enhance(plane(spark, sf), "enhance.morphological_gradient", radius=1)
 
 
-for _op, _par in (("gaussian", {}), ("median", {}), ("tophat", {"radius": 1}), ("dog", {}), ("unsharp", {}), ("bilateral", {}), ("nlm", {"patch_distance": 1}), ("tv_denoise", {}), ("deconvolve", {"iterations": 3}), ("subtract_background", {"method": "polynomial"}), ("flatten_field", {"sigma": 2.0}), ("clahe", {"tile_grid": 2})):
-    q(f"enhance_{_op}")(lambda spark, sf, op=_op, par=_par: I.enhance(plane(spark, sf).withColumn("value", F.col("value") + 1), f"enhance.{op}", **par))
-
-
 @q("threshold_fixed", "SELECT m, y, x, CASE WHEN value > 0.1 THEN 1 ELSE 0 END::DOUBLE AS value FROM vox", VOX)
 def _(spark, sf):
     return I.threshold(plane(spark, sf), "fixed", level=0.1)
@@ -1001,35 +970,16 @@ def _(spark, sf):
     return I.threshold(plane(spark, sf), "mean", "series")
 
 
-for _mth in ("otsu", "li", "yen", "triangle"):
-    q(f"threshold_{_mth}")(lambda spark, sf, m=_mth: I.threshold(plane(spark, sf).withColumn("value", F.col("value") + 1), m, "series"))
-
-
 @q("histogram_threshold", "SELECT v.m, y, x, CASE WHEN value > lo THEN 1 ELSE 0 END::DOUBLE AS value FROM vox v JOIN (SELECT m, quantile_cont(value, 0.9) AS lo FROM vox GROUP BY m) p ON v.m = p.m", VOX)
 def _(spark, sf):
     return I.histogram_threshold(plane(spark, sf), "percentile", "above", 90, 100, "series")
 
 
-@q("multiotsu")
-def _(spark, sf):
-    return I.multiotsu(plane(spark, sf))
-
-
-@q("label_components")
-def _(spark, sf):
-    return I.label(plane(spark, sf).withColumn("value", (F.col("value") > 0.1).cast("double")))
-
-
 @q("segment_watershed")
 def _(spark, sf):
     return I.segment(plane(spark, sf), "watershed", min_distance=1)
 
 
-@q("edt")
-def _(spark, sf):
-    return I.enhance(plane(spark, sf).withColumn("value", (F.col("value") > 0).cast("double")), "analysis.edt").withColumn("value", F.when(F.col("value") < 1e9, F.col("value")).otherwise(-1.0))
-
-
 @q("spots")
 def _(spark, sf):
     return I.spots(plane(spark, sf), 1.0, 2.0, 0.1)
@@ -1055,11 +1005,6 @@ def _(spark, sf):
     return I.optical_flow(stack(spark, sf), 3, 2)
 
 
-@q("resample")
-def _(spark, sf):
-    return I.resample(plane(spark, sf), 0.5)
-
-
 @q("tessellate")
 def _(spark, sf):
     return I.tessellate(vectors(spark, sf).withColumn("cluster", F.col("m")).withColumn("t", F.lit(0)))
@@ -1073,12 +1018,6 @@ def _(spark, sf):
     return I.rasterize_mesh(v, g)
 
 
-@q("accumulate_field")
-def _(spark, sf):
-    v = stack(spark, sf).select("m", "t", (F.col("y") * 8 + F.col("x")).alias("id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("value").alias("disp_y"), F.col("value").alias("disp_x"))
-    return W.accumulate_field(v)
-
-
 # --- compositions -----------------------------------------------------------------------------------
 
 
@@ -1099,11 +1038,6 @@ def _(spark, sf):
     return C.xy(labels(spark, sf), "area", "mean_intensity", ["grp"], fit="langmuir")
 
 
-@q("track_strain")
-def _(spark, sf):
-    return C.track_field(tracks(spark, sf), 5.0, strain_type="green_lagrange").select("id", "strain_yy", "strain_yx", "strain_xx")
-
-
 @q("field_strain_fd", "SELECT m, gy, gx, round(CASE WHEN gy = 0 THEN lead(u) OVER wy - u WHEN gy = 7 THEN u - lag(u) OVER wy ELSE (lead(u) OVER wy - lag(u) OVER wy) / 2 END, 6) AS strain_yy FROM pv WINDOW wy AS (PARTITION BY m, gx ORDER BY gy)", VOX, PIV)
 def _(spark, sf):
     d = pivs(spark, sf).withColumnRenamed("u", "disp_y").withColumnRenamed("v", "disp_x")

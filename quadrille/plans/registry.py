@@ -121,7 +121,7 @@ OPERATORS: dict[str, Callable] = {
     "analysis.threshold": I.threshold, "analysis.threshold_local": enhance("analysis.threshold_local"), "analysis.multiotsu": I.multiotsu, "analysis.histogram_threshold": I.histogram_threshold, "analysis.label": I.label, "analysis.segment": I.segment, "analysis.edt": enhance("analysis.edt"), "analysis.roi_mask": S.roi_mask,
     "analysis.draw_regions": S.draw_regions, "analysis.extract_boundary": S.extract_boundary, "analysis.tessellate": I.tessellate, "detect.spots": I.spots, "detect.particles": I.particles, "detect.beads": I.beads,
     # enhancement and registration
-    **{k: enhance(k) for k in I.FILTERS if k.startswith("enhance.")}, "enhance.remove_blobs": I.remove_blobs, "enhance.wavelet_denoise": needs("a wavelet library"), "enhance.zs_deconvnet": needs("a neural network library"), "align.drift": I.align_drift, "align.shift": I.shift, "registration.stabilize": only(I.align_drift, "model", "translation", "translation"), "transform.rigid": I.rigid,
+    **{k: enhance(k) for k in I.FILTERS if k.startswith("enhance.")}, "enhance.remove_blobs": I.remove_blobs, "enhance.zs_deconvnet": needs("a neural network library"), "align.drift": I.align_drift, "align.shift": I.shift, "registration.stabilize": only(I.align_drift, "model", "translation", "translation"), "transform.rigid": I.rigid,
     # correlation and flow
     "analysis.optical_flow": only(I.optical_flow, "method", "ilk", "tvl1"), "analysis.piv": I.piv, "piv.first_pass": lambda df, **p: I.piv(df, passes=1, **p), "piv.deform_pass": lambda df, **p: I.piv(df, passes=2, **p), "dic.grid": N.grid, "dic.initial_guess": I.initial_guess, "dvc.grid": N.grid, "dvc.initial_guess": I.initial_guess,
     **{k: needs("an image correlation solver") for k in ("analysis.dic_correlate", "dic.refine_mesh", "dic.local_match", "dic.global_step", "analysis.dvc_field", "dvc.local_match", "dvc.global_step")},
