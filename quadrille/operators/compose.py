@@ -47,6 +47,32 @@ def rasterize_nearest(points: DataFrame, voxels: DataFrame, value: str, reach: f
     return voxels.join(best, voxels.columns, "left").select(*voxels.columns, or_nan(F.col("_v").cast("double")).alias(value))
 
 
+def rasterize_linear(points: DataFrame, voxels: DataFrame, value: str, on: Sequence[str] = ("m", "t")) -> DataFrame:
+    """Each voxel takes the points' value by linear interpolation over their Delaunay triangles, and the nearest point's outside their hull; a frame is one group."""
+    on = [k for k in on if k in points.columns and k in voxels.columns]
+    p = points.select(*[F.col(k).cast("long").alias(k) for k in on], *[F.col(c).cast("double").alias(c) for c in ("y", "x", value)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in voxels.schema.fields) + f", `{value}` double"
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not right.num_rows:
+            got = np.full(left.num_rows, np.nan)
+        else:
+            at, src = (np.stack([t.column(a).to_numpy().astype(float) for a in ("y", "x")], 1).reshape(-1, 2) for t in (left, right))
+            got = K.scatter_linear(src, right.column(value).to_numpy(), at)
+        return left.append_column(value, pa.array(got, pa.float64()))
+
+    both = lambda d: d.groupBy(*on) if on else d.groupBy(F.lit("all").alias("_all"))
+    return both(voxels).cogroup(both(p)).applyInArrow(run, schema)
+
+
+def rasterize_field(points: DataFrame, voxels: DataFrame, value: str, method: str = "linear", reach: float = 50.0, on: Sequence[str] = ("m", "t")) -> DataFrame:
+    if method == "linear":
+        return rasterize_linear(points, voxels, value, on)
+    if method == "nearest":
+        return rasterize_nearest(points, voxels, value, reach, on)
+    raise Refusal(f"unknown method {method!r}; linear or nearest")
+
+
 def align_to(df: DataFrame, reference: DataFrame, min_ncc: float = 0.3, highpass: float = 5.0, upsample: int = 20, frame: int = 0) -> DataFrame:
     """shift_y, shift_x, ncc of each position against the same field of a reference: what moves the reference's image onto it.
 

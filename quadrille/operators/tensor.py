@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,9 +103,6 @@ def log_sym2(c: Matrix) -> Matrix:
 
 def log_sym3(c: Matrix) -> Matrix:
     """Logarithm of a symmetric positive 3 x 3 matrix, by its eigenvectors in Arrow batches: powers of the matrix lose too much where two of its values meet."""
-    import numpy as np
-    import pandas as pd
-
     at = [(i, j) for i in range(3) for j in range(i, 3)]
 
     @F.pandas_udf("array<double>")

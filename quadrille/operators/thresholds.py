@@ -3,12 +3,34 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 256
 
 
+def li_level(x: np.ndarray, n: np.ndarray) -> float:
+    """The level that equals the logarithmic mean of the means on its two sides, for n values at each of x."""
+    low = x.min()
+    v, t = x - low, (x * n).sum() / n.sum() - low
+    for _ in range(1000):
+        a, b = n[v > t] @ v[v > t], n[v <= t] @ v[v <= t]
+        na, nb = n[v > t].sum(), n[v <= t].sum()
+        if not na or not nb or b <= 0:
+            break
+        hi, lo = a / na, b / nb
+        new = (hi - lo) / (np.log(hi) - np.log(lo)) if hi > lo > 0 else t
+        if abs(new - t) < 1e-9:
+            break
+        t = new
+    return float(t + low)
+
+
+def li_levels(x: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([li_level(np.asarray(a, float), np.asarray(b, float)) for a, b in zip(x, n)])
+
+
 def histogram(df: DataFrame, value: str, keys: list[str], bins: int = BINS) -> DataFrame:
     """keys, bin, n, center, lo, hi: counts over `bins` even bins between each group's least and greatest value."""
     d = df.where(F.col(value).isNotNull())
@@ -56,24 +78,6 @@ def group_levels(df: DataFrame, value: str, keys: list[str], method: str) -> Dat
         h = h.where(side).withColumn("score", dist)
         return h.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("bin")).alias("k"), "center")).alias("top")).select(*keys, F.col("top.center").alias("cut"))
     if method == "li":
-        lists = h.groupBy(*keys).agg(F.collect_list(F.struct("center", "n")).alias("h"), F.min("lo").alias("lo"))
-
-        @F.udf("double")
-        def level(pairs):
-            x, n = np.array([p[0] for p in pairs], float), np.array([p[1] for p in pairs], float)
-            low = x.min()
-            v, t = x - low, (x * n).sum() / n.sum() - low
-            for _ in range(1000):
-                a, b = n[v > t] @ v[v > t], n[v <= t] @ v[v <= t]
-                na, nb = n[v > t].sum(), n[v <= t].sum()
-                if not na or not nb or b <= 0:
-                    break
-                hi, lo = a / na, b / nb
-                new = (hi - lo) / (np.log(hi) - np.log(lo)) if hi > lo > 0 else t
-                if abs(new - t) < 1e-9:
-                    break
-                t = new
-            return float(t + low)
-
-        return lists.select(*keys, level("h").alias("cut"))
+        lists = h.groupBy(*keys).agg(F.collect_list("center").alias("x"), F.collect_list("n").alias("n"))
+        return lists.select(*keys, F.pandas_udf(li_levels, "double")("x", "n").alias("cut"))
     raise ValueError(f"unknown method {method!r}")

@@ -205,9 +205,51 @@ def measure(raster: DataFrame, image: DataFrame, stats=("mean", "max", "min", "c
         out = out.withColumn("axis_major", 4 * F.sqrt(l1)).withColumn("axis_minor", 4 * F.sqrt(l2)).withColumn("eccentricity", F.sqrt(F.greatest(1 - F.try_divide(l2, l1), F.lit(0.0))))
         out = out.withColumn("orientation", 0.5 * F.atan2(2 * yx, yy - xx)).withColumn("extent", F.col("area") / ((F.col("_hiy") - F.col("_loy") + 1) * (F.col("_hix") - F.col("_lox") + 1)))
         out = out.drop("_yy", "_xx", "_yx", "_loy", "_hiy", "_lox", "_hix")
+        out = out.join(perimeters(raster), "id").join(hull_areas(raster), "id").withColumn("solidity", F.col("area") / F.col("convex_area")).drop("convex_area")
     return out
 
 
+#: Length that a border pixel adds, by 1 + 2 x its edge neighbours + 10 x its corner neighbours on the border.
+BORDER = {5: 1.0, 7: 1.0, 15: 1.0, 17: 1.0, 25: 1.0, 27: 1.0, 21: 2**0.5, 33: 2**0.5, 13: (1 + 2**0.5) / 2, 23: (1 + 2**0.5) / 2}
+
+
+def perimeters(raster: DataFrame) -> DataFrame:
+    """id, perimeter of each label: its border pixels (those with a 4-neighbour outside), each weighted by how the border runs through it."""
+    own = [k for k in VOXEL_KEYS if k in raster.columns and k not in ("y", "x")]
+    d = raster.where("label_id > 0").select(*own, "label_id", "y", "x")
+    steps = lambda moves: F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx"), F.lit(w).alias("w")) for a, b, w in moves]))
+    place = [*own, "label_id", "y", "x"]
+
+    def gathered(pixels: DataFrame, moves) -> DataFrame:
+        """Sum of the weights of the moves that lead from other pixels to a place."""
+        m = pixels.withColumn("_m", steps(moves)).select(*own, "label_id", (F.col("y") + F.col("_m.dy")).alias("y"), (F.col("x") + F.col("_m.dx")).alias("x"), "_m.w")
+        return m.groupBy(*place).agg(F.sum("w").alias("_w"))
+
+    edge, corner = [(0, 1), (1, 0), (0, -1), (-1, 0)], [(1, 1), (1, -1), (-1, 1), (-1, -1)]
+    inner = gathered(d, [(a, b, 1) for a, b in edge]).where("_w = 4").select(*place)
+    border = d.join(inner, place, "left_anti")
+    code = border.join(gathered(border, [(0, 0, 1), *[(a, b, 2) for a, b in edge], *[(a, b, 10) for a, b in corner]]), place)
+    length = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in BORDER.items() for x in (k, v)]), F.col("_w").cast("int")), F.lit(0.0))
+    return code.groupBy(F.col("label_id").alias("id")).agg(F.sum(length).alias("perimeter"))
+
+
+def hull_areas(raster: DataFrame) -> DataFrame:
+    """id, convex_area of each label: pixels of its convex hull, one object a group."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions import kernels as K
+
+    def run(t: pa.Table) -> pa.Table:
+        p = np.stack([t.column(a).to_numpy() for a in ("y", "x")], 1)
+        return pa.table({"id": pa.array([t.column("label_id")[0].as_py()], pa.int64()), "convex_area": pa.array([K.hull_area(p)], pa.int64())})
+
+    # of each row of an object only the first and the last pixel can be a corner
+    ends = raster.where("label_id > 0").groupBy(F.col("label_id").cast("long").alias("label_id"), F.col("y").cast("long").alias("y")).agg(F.min("x").cast("long").alias("a"), F.max("x").cast("long").alias("b"))
+    ends = ends.select("label_id", "y", F.explode(F.array("a", "b")).alias("x"))
+    return ends.groupBy("label_id").applyInArrow(run, "id long, convex_area long")
+
+
 def measure_pixels(raster: DataFrame, image: DataFrame, max_rows: int = 5_000_000) -> DataFrame:
     """One row a voxel of every region, with its intensity and its distance to the region's centroid; refused beyond max_rows."""
     on = [k for k in VOXEL_KEYS if k in raster.columns and k in image.columns]

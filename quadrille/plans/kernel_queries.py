@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..core import AxisSizes, Dataset
+from ..functions import fields as E
 from ..operators import axes as A
 from ..operators import compose as C
 from ..operators import figure as G
@@ -216,6 +217,53 @@ def _(spark, sf):
     return D.timepoint_to_track(p.select("track_id", "t", F.col("id").alias("member_id")), p.groupBy("t").agg(F.sum("value").alias("value")), "value")
 
 
+#: Border pixels, and each one's weight by its neighbours on the border of its own label.
+BORDER = """lb AS (SELECT m, y, x, label_id FROM ras WHERE label_id > 0),
+bd AS (SELECT * FROM lb a WHERE (SELECT count(*) FROM lb b WHERE b.m = a.m AND b.label_id = a.label_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1) < 4),
+cd AS (SELECT a.label_id, 1 + 2 * count(*) FILTER (WHERE abs(a.y - b.y) + abs(a.x - b.x) = 1) + 10 * count(*) FILTER (WHERE abs(a.y - b.y) = 1 AND abs(a.x - b.x) = 1) AS c FROM bd a JOIN bd b ON b.m = a.m AND b.label_id = a.label_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.m, a.y, a.x, a.label_id)"""
+
+
+@q("measure_perimeter", "SELECT label_id AS id, round(sum(CASE WHEN c IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN c IN (21, 33) THEN sqrt(2) WHEN c IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END), 6) AS perimeter FROM cd GROUP BY 1", VOX, RASTER, BORDER)
+def _(spark, sf):
+    return D.perimeters(raster(spark, sf)[0])
+
+
+@q("measure_solidity")
+def _(spark, sf):
+    r, v = raster(spark, sf)
+    return D.measure(r, v, (), True).select("id", "area", "perimeter", "solidity")
+
+
+@q("field_expression", "SELECT v.m, v.t, v.y, v.x, round(CASE WHEN v.value > f.mean * 2 OR -v.value > g.top THEN v.value / f.mean ELSE sqrt(abs(v.value)) - 0.5 END, 5) AS field FROM stk v JOIN (SELECT m, t, avg(value) AS mean FROM stk GROUP BY m, t) f ON f.m = v.m AND f.t = v.t JOIN (SELECT m, max(value) AS top FROM stk GROUP BY m) g ON g.m = v.m", VOX, STK, digits=5)
+def _(spark, sf):
+    s = stack(spark, sf)
+    frames = s.groupBy("m", "t").agg(F.avg("value").alias("mean"))
+    data = Dataset(layers={("frame", ""): frames, ("voxel", ""): s})
+    v, mean, top = E.Input("v"), E.Attr("frame", "mean"), E.Attr("voxel", "value", reducer="max")
+    per_series = E.evaluate(top, data, s.select("m").distinct(), "multipoint", "top")
+    data = Dataset(layers={**data.layers, ("multipoint", ""): per_series})
+    f = E.Where((v > mean * 2) | (-v > E.Attr("multipoint", "top")), v / mean, E.UnaryOp("sqrt", E.UnaryOp("abs", v)) - 0.5)
+    return E.evaluate(f, data, s, "voxel", inputs={"v": F.col("value")}).drop("value")
+
+
+@q("object_field_density", "SELECT g.m, a.range * 10 AS y, b.range * 10 AS x, count(e.id) / 100.0::DOUBLE AS density FROM (SELECT DISTINCT m FROM emb) g CROSS JOIN range(5) a CROSS JOIN range(5) b LEFT JOIN emb e ON e.m = g.m AND greatest(0, least(4, trunc(abs(e.y) / 10))) = a.range AND greatest(0, least(4, trunc(abs(e.x) / 10))) = b.range GROUP BY ALL", EMB)
+def _(spark, sf):
+    d = vectors(spark, sf).select("id", "m", F.abs("y").alias("y"), F.abs("x").alias("x"))
+    return W.object_field(d, 50, 50, "density", 10, 0.0)
+
+
+@q("object_field_motion")
+def _(spark, sf):
+    d = tracks(spark, sf).withColumn("area", F.col("x") * 2)
+    return W.object_field(d, 60, 30, "mean_area,velocity,speed,divergence,curl", 10, 5.0).where("not isnan(speed)")
+
+
+@q("rasterize_linear")
+def _(spark, sf):
+    g = spark.range(40).select((F.col("id") - 20).alias("y")).crossJoin(spark.range(40).select((F.col("id") - 20).alias("x")))
+    return C.rasterize_linear(vectors(spark, sf).select("id", "y", "x", "v"), g, "v")
+
+
 # --- space, sequences, figures ------------------------------------------------------------------------
 
 

@@ -106,11 +106,11 @@ OPERATORS: dict[str, Callable] = {
     "util.trim": A.trim, "util.time_shift": A.time_shift_image, "analysis.filter_labels": T.filter_labels, "analysis.if_else": if_else, "table.curate_objects": T.curate_objects,
     # joins
     "table.join": T.join, "table.unique_objects": S.unique_objects, "table.register_positions": S.register_positions, "track.link": S.link_points, "track.objects": track_objects, "analysis.voronoi": S.voronoi, "analysis.boundary_band": S.boundary_band, "transform.transfer_structure": transfer_structure,
-    "transform.rasterize_field": only(C.rasterize_nearest, "method", "nearest", "linear"), "transform.rasterize_mesh": I.rasterize_mesh, "transform.grow_points": S.grow_points, "registration.align_to": C.align_to, "view.overlay": S.overlay, "view.canvas": S.canvas,
+    "transform.rasterize_field": C.rasterize_field, "transform.rasterize_mesh": I.rasterize_mesh, "transform.grow_points": S.grow_points, "registration.align_to": C.align_to, "view.overlay": S.overlay, "view.canvas": S.canvas,
     # unions
     "table.concat": lambda *t, **p: T.concat(t, **p), "util.merge": lambda *t, axis, sizes: A.merge(t, axis, sizes), "util.timeseries": lambda *t, **p: A.timeseries(t, **p), "util.batch": lambda *t: A.batch(t), "util.unbatch": lambda df, size: dict(enumerate(A.split(df, "b", size))), "math.mask": T.mask_math, "util.stitch": A.stitch,
     # aggregations
-    "table.aggregate": T.aggregate, "analysis.reduce_scalar": T.reduce_scalar, "transform.transfer_domain": D.lattice, "transform.label_to_points": D.label_to_points, "analysis.measure": D.measure, "util.zproject": A.zproject, "util.stack": A.stack, "util.resample": I.resample, "analysis.object_field": W.density_grid,
+    "table.aggregate": T.aggregate, "analysis.reduce_scalar": T.reduce_scalar, "transform.transfer_domain": D.lattice, "transform.label_to_points": D.label_to_points, "analysis.measure": D.measure, "util.zproject": A.zproject, "util.stack": A.stack, "util.resample": I.resample, "analysis.object_field": W.object_field,
     # sequences
     "analysis.object_metrics": detect_fold, "analysis.track_field": C.track_field, "analysis.accumulate_field": W.accumulate_field, "enhance.temporal_gain": W.temporal_gain, "enhance.normalize": W.normalize, "piv.validate": W.piv_validate, "piv.smooth": enhance("piv.smooth"),
     # arithmetic and tensors
