@@ -14,6 +14,7 @@ from ..functions import kernels as K
 from ..functions.missing import or_nan
 from . import figure as G
 from . import fits as X
+from . import image as I
 from . import spatial as S
 from . import tensor as N
 from . import windows as W
@@ -97,6 +98,14 @@ def align_to(df: DataFrame, reference: DataFrame, min_ncc: float = 0.3, highpass
     return d.groupBy(*keys).applyInArrow(run, ", ".join([f"{k} long" for k in keys] + ["shift_y double", "shift_x double", "ncc double"]))
 
 
+def align_image(df: DataFrame, reference: DataFrame, interp: str = "linear", **options) -> dict[str, DataFrame]:
+    """image: every plane moved onto its position's reference; shifts: what align_to() found."""
+    shifts = align_to(df, reference, **options)
+    on = [k for k in ("m",) if k in shifts.columns]
+    table = shifts.groupBy(*on).agg(F.min_by("shift_y", "c").alias("drift_y"), F.min_by("shift_x", "c").alias("drift_x")) if "c" in shifts.columns else shifts.select(*on, F.col("shift_y").alias("drift_y"), F.col("shift_x").alias("drift_x"))
+    return {"image": I.shift(df, table, invert=True, interp=interp), "shifts": shifts}
+
+
 def gradient_map(points: DataFrame, value: str, method: str = "idw", **options) -> DataFrame:
     """A field from scattered values: inverse distances, an exponential trend over distance, or a point source."""
     if method == "idw":

@@ -309,9 +309,13 @@ def frame_pairs(df: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.nda
     return d.groupBy(*keys, "t").applyInArrow(run, schema)
 
 
-def optical_flow(df: DataFrame, radius: int = 7, rounds: int = 10, **options) -> DataFrame:
+def optical_flow(df: DataFrame, method: str = "tvl1", radius: int = 7, rounds: int = 10, attachment: float = 15.0, tightness: float = 0.3, **options) -> DataFrame:
+    """Displacement of every pixel between frames: tvl1 (least total variation) or ilk (least squares in a window of `radius`)."""
+    if method not in ("tvl1", "ilk"):
+        raise Refusal(f"unknown method {method!r}; tvl1 or ilk")
+
     def run(a, b):
-        u = K.flow_ilk(a, b, radius, rounds)
+        u = K.flow_ilk(a, b, radius, rounds) if method == "ilk" else K.flow_tvl1(a, b, attachment, tightness, rounds=rounds)
         y, x = np.indices(a.shape)
         return np.stack([y.ravel(), x.ravel(), u[0].ravel(), u[1].ravel()], 1)
 

@@ -171,8 +171,8 @@ def knn(df: DataFrame, k: int, axes=("y", "x"), keys=("m", "t", "z", "c")) -> Da
     """The k nearest other rows of each row in its own group, all of them where there are fewer: columns of both, dist and rank (ties by id).
 
     The first search radius of a group is that of a disc which holds k + 1 rows on average, so most rows
-    find theirs in the nine cells around them; those that don't look again twice as far, until every row
-    has k neighbours or all of its group.  A round's findings are checkpointed.
+    find theirs in the nine cells around them; those that don't look again eight times as far, until every
+    row has k neighbours or all of its group.  A round's findings are checkpointed.
     """
     on = [c for c in keys if c in df.columns]
     checkpoints(df.sparkSession)
@@ -190,8 +190,8 @@ def knn(df: DataFrame, k: int, axes=("y", "x"), keys=("m", "t", "z", "c")) -> Da
     out, left, reach = None, d.where("_most > 0"), 1.0
     while True:
         cell = lambda a, r=reach: F.floor(F.col(a) / (F.col("_radius") * r)).cast("long")
-        right = d.withColumn("_d", F.explode(around)).select(*[F.col(c).alias(c + "_r") for c in own], *[(cell(a) + F.col(f"_d.d{a}")).alias(f"_q{a}") for a in axes])
-        at = left.select("*", *[cell(a).alias(f"_l{a}") for a in axes])
+        right = d.select(*[F.col(c).alias(c + "_r") for c in own], *[cell(a).alias(f"_q{a}") for a in axes])
+        at = left.withColumn("_d", F.explode(around)).select(*left.columns, *[(cell(a) + F.col(f"_d.d{a}")).alias(f"_l{a}") for a in axes])
         cond = [F.col(f"_l{a}") == F.col(f"_q{a}") for a in axes] + [F.col(c) == F.col(c + "_r") for c in on] + [F.col("id") != F.col("id_r")]
         dist = F.sqrt(sum((F.pow(F.col(a) - F.col(a + "_r"), 2) for a in axes), F.lit(0.0)))
         near = at.join(right, cond).withColumn("dist", dist).where(F.col("dist") <= F.col("_radius") * reach)
@@ -202,7 +202,7 @@ def knn(df: DataFrame, k: int, axes=("y", "x"), keys=("m", "t", "z", "c")) -> Da
         left = left.join(near.select("id", *on).distinct(), ["id", *on], "left_anti").checkpoint()
         if left.isEmpty():
             return out
-        reach *= 2
+        reach *= 8
 
 
 def voronoi(seeds: DataFrame, voxels: DataFrame, reach: float, axes=("y", "x"), on=("m", "t")) -> DataFrame:

@@ -207,7 +207,8 @@ def accumulate_field(df: DataFrame, keys: Sequence[str] = ("m", "c")) -> DataFra
                 start, cum = p, u.copy()
             else:
                 at = start + cum
-                near = ((at[:, None] - p[None]) ** 2).sum(-1).argmin(1)
+                # some nodes at a time, so that the distances stay small beside the frame
+                near = np.concatenate([((at[i : i + 256, None] - p[None]) ** 2).sum(-1).argmin(1) for i in range(0, len(at), 256)])
                 cum = cum + u[near]
             f = f.copy()
             n = min(len(f), len(cum))

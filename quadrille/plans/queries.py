@@ -1002,7 +1002,7 @@ def _(spark, sf):
 
 @q("optical_flow")
 def _(spark, sf):
-    return I.optical_flow(stack(spark, sf), 3, 2)
+    return I.optical_flow(stack(spark, sf), "ilk", 3, 2)
 
 
 @q("tessellate")

@@ -106,7 +106,7 @@ OPERATORS: dict[str, Callable] = {
     "util.trim": A.trim, "util.time_shift": A.time_shift_image, "analysis.filter_labels": T.filter_labels, "analysis.if_else": if_else, "table.curate_objects": T.curate_objects,
     # joins
     "table.join": T.join, "table.unique_objects": S.unique_objects, "table.register_positions": S.register_positions, "track.link": S.link_points, "track.objects": track_objects, "analysis.voronoi": S.voronoi, "analysis.boundary_band": S.boundary_band, "transform.transfer_structure": transfer_structure,
-    "transform.rasterize_field": C.rasterize_field, "transform.rasterize_mesh": I.rasterize_mesh, "transform.grow_points": S.grow_points, "registration.align_to": C.align_to, "view.overlay": S.overlay, "view.canvas": S.canvas,
+    "transform.rasterize_field": C.rasterize_field, "transform.rasterize_mesh": I.rasterize_mesh, "transform.grow_points": S.grow_points, "registration.align_to": C.align_image, "view.overlay": S.overlay, "view.canvas": S.canvas,
     # unions
     "table.concat": lambda *t, **p: T.concat(t, **p), "util.merge": lambda *t, axis, sizes: A.merge(t, axis, sizes), "util.timeseries": lambda *t, **p: A.timeseries(t, **p), "util.batch": lambda *t: A.batch(t), "util.unbatch": lambda df, size: dict(enumerate(A.split(df, "b", size))), "math.mask": T.mask_math, "util.stitch": A.stitch,
     # aggregations
@@ -123,7 +123,7 @@ OPERATORS: dict[str, Callable] = {
     # enhancement and registration
     **{k: enhance(k) for k in I.FILTERS if k.startswith("enhance.")}, "enhance.remove_blobs": I.remove_blobs, "enhance.zs_deconvnet": needs("a neural network library"), "align.drift": I.align_drift, "align.shift": I.shift, "registration.stabilize": only(I.align_drift, "model", "translation", "translation"), "transform.rigid": I.rigid,
     # correlation and flow
-    "analysis.optical_flow": only(I.optical_flow, "method", "ilk", "tvl1"), "analysis.piv": I.piv, "piv.first_pass": lambda df, **p: I.piv(df, passes=1, **p), "piv.deform_pass": lambda df, **p: I.piv(df, passes=2, **p), "dic.grid": N.grid, "dic.initial_guess": I.initial_guess, "dvc.grid": N.grid, "dvc.initial_guess": I.initial_guess,
+    "analysis.optical_flow": I.optical_flow, "analysis.piv": I.piv, "piv.first_pass": lambda df, **p: I.piv(df, passes=1, **p), "piv.deform_pass": lambda df, **p: I.piv(df, passes=2, **p), "dic.grid": N.grid, "dic.initial_guess": I.initial_guess, "dvc.grid": N.grid, "dvc.initial_guess": I.initial_guess,
     **{k: needs("an image correlation solver") for k in ("analysis.dic_correlate", "dic.refine_mesh", "dic.local_match", "dic.global_step", "analysis.dvc_field", "dvc.local_match", "dvc.global_step")},
     # figures
     "plot.xy": C.xy, "plot.timeseries": G.timeseries, "plot.distribution": distribution, "plot.heatmap": G.heatmap, "plot.field": G.field_limits,

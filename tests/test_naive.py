@@ -1,5 +1,6 @@
 """Queries that SQL can't express, and kernels, against slow versions written from the definition."""
 
+import functools
 import math
 
 import numpy as np
@@ -208,6 +209,7 @@ def test_solidity_and_perimeter(spark, sf001):
         assert abs(r.solidity - len(px[r.id]) / inside) < 1e-6
 
 
+@functools.lru_cache
 def scene(dy, dx, seed=0):
     r = np.random.default_rng(seed)
     y, x = np.mgrid[:48, :48]
@@ -231,6 +233,16 @@ def test_drift_is_measured_on_the_middle_plane_and_every_plane_moved(spark):
         assert np.array_equal(got[t][8:40, 8:40], np.eye(48)[8:40, 8:40])
 
 
+def test_align_to_moves_the_image(spark):
+    rows = [[(m, int(y), int(x), float(scene(*s)[y, x])) for m, s in ((0, a), (1, b)) for y in range(48) for x in range(48)] for a, b in (((0, 0), (0, 0)), ((2, -3), (-1, 4)))]
+    schema = "m long, y long, x long, value double"
+    fixed, moved = (spark.createDataFrame(r, schema) for r in rows)
+    out = C.align_image(moved, fixed, interp="nearest", highpass=0.0)["image"]
+    for r in out.collect():
+        if 10 <= r.y < 38 and 10 <= r.x < 38:
+            assert abs(r.value - scene(0, 0)[r.y, r.x]) < 1e-6
+
+
 # --- tensors in space ------------------------------------------------------------------------------------
 
 
