@@ -339,8 +339,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, *, id_col: str = "doc_id",
        string, so that every window lies in one phrase.  The dictionary has each distinct phrase once, in
        the first document that has it; the parse, sorted by phrase, gives each phrase's interval of
        documents, and one that a smaller document has too goes as a whole.  As triggers are as wide as the
-       strings sought, the order of suffixes to that depth is settled by the dictionary and a suffix's
-       first phrase; corpus_order() carries the combination on to whole suffixes.
+       strings sought, each lies in one phrase: corpus order to that depth is that of the dictionary's
+       suffixes, each with the interval of its phrase, and later phrases don't matter.
     2. Dictionary: its suffix array, to a depth of `width` bytes, is made in pieces that hold equal suffixes
        together.  A window's piece is that of its least-hashed gram, its anchor.  Parts of the documents
        first learn which anchors occur elsewhere; the rest of their windows is unique.

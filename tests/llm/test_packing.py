@@ -42,3 +42,17 @@ def test_empty_table_and_repeated_rows(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = pack(spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a")], "doc_id long, text string")).collect()
     assert sorted(r.sequence_id for r in rows) == list(range(len(rows)))
+
+
+def test_equal_rows_are_numbered_in_many_buckets(spark):
+    """A third of all rows equal in everything: the numbering deals them by row, not by what they hold."""
+    from pyspark.sql import functions as F
+
+    from quadrille.llm.common import gapless, numbered_rows
+
+    d = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit(0).alias("start"), (F.col("id") % 2).cast("int").alias("length"))
+    out = gapless(numbered_rows(d, "rows"), "length", ["doc_id", "start"], {0: 15_000, 1: 15_000}, "slot", 1_000)
+    got = out.groupBy("length").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("n")).collect()
+    assert sorted((r.length, r.a, r.b, r.n) for r in got) == [(0, 0, 14_999, 15_000), (1, 0, 14_999, 15_000)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(length" in plan and "_nb" in plan

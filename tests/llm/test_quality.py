@@ -64,3 +64,15 @@ def test_query_and_cases(spark, sf001):
     d = spark.createDataFrame([(None, None, "x"), (1, "w " * 300000, "x"), (1, "w " * 300000, "x")] + [(2, " ".join(f"w{i}" for i in range(60)), "x")], schema)
     rows = quality_rules(d, none, carry=["score", "text"]).collect()
     assert sorted(r.kept for r in rows) == [False, False, False, True] and {r._c0 for r in rows} == {"x"}
+
+
+def test_a_labelled_id_that_repeats_is_one_example(spark):
+    """However often the rows of a labelled document repeat, the trees see them once, and the driver gets one row a label."""
+    from quadrille.llm.quality import train
+
+    good, bad = (" ".join(f"{p}{i}" for i in range(60)) for p in ("word", "#*$"))
+    rows = [(i, good if i % 2 else bad) for i in range(40)]
+    schema, labels = "doc_id long, text string", spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = train(spark.createDataFrame(rows, schema), labels)
+    often = train(spark.createDataFrame(rows + rows[:1] * 5000, schema), labels)
+    assert np.array_equal(once.value, often.value) and np.array_equal(once.threshold, often.threshold)
