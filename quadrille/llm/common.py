@@ -158,7 +158,7 @@ def numbered_rows(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
     return materialize(df.withColumn("_row", F.monotonically_increasing_id()), name, keep=keep)
 
 
-def gapless(df: DataFrame, group: str, order: list[str], sizes: dict, out: str, rows_per_bucket: int = 2_000, most: int = 1 << 17) -> DataFrame:
+def gapless(df: DataFrame, group: str, order: list[str], sizes: dict, out: str, rows_per_bucket: int = 500, most: int = 1 << 17) -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... without sorting a whole group in one task.
 
     df comes from numbered_rows(); sizes has the rows of each of the (few) groups.  A group is dealt to
