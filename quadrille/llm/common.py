@@ -167,9 +167,9 @@ def gapless(df: DataFrame, group: str, order: list[str], sizes: dict, out: str,
     is that plus its rank in the bucket by `order`.  A group has at most `most` buckets, whose rows are
     sorted with spilling, so running sums stay small at any size.
     """
-    nb = F.lit(1)
-    for value, n in sizes.items():
-        nb = F.when(F.col(group) == value, F.lit(min(most, max(1, math.ceil(n / rows_per_bucket))))).otherwise(nb)
+    kind = df.schema[group].dataType
+    buckets = [x for value, n in sizes.items() for x in (F.lit(value).cast(kind), F.lit(min(most, max(1, math.ceil(n / rows_per_bucket)))))]
+    nb = F.element_at(F.create_map(*buckets), F.col(group)) if sizes else F.lit(1)  # names the group once, however long its expression is
     d = df.withColumn("_nb", F.pmod(F.xxhash64("_row"), nb).cast("int"))
     counts = d.groupBy(group, "_nb").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_nb").rowsBetween(Window.unboundedPreceding, -1)

@@ -187,9 +187,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id"
     slim = numbered_rows(slim, "shard-slim", keep=True)
     cells, capacity = minimax_cells(slim.select("h", "size"), shards)
     cuts = even_cuts(cells, capacity, shards) if len(cells.size) else [0] * (shards - 1)
-    shard = F.lit(0)
-    for key in cuts:
-        shard = shard + (F.col("h") >= F.lit(key)).cast("int")
+    shard = F.size(F.filter(F.array(*[F.lit(key).cast("long") for key in cuts]), lambda c: c <= F.col("h"))) if cuts else F.lit(0)
     placed = slim.withColumn("shard", shard)
     rows = {r.shard: r["n"] for r in placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     return gapless(placed, "shard", ["doc_id", "h"], rows, "slot").withColumnRenamed("h", "group_key")
