@@ -289,10 +289,10 @@ def _(spark, sf):
 MOVED = "fld AS (SELECT *, y * 8 + x AS id FROM stk), cum AS (SELECT m, t, y, x, value AS cy, value AS cx FROM fld WHERE t = 0 UNION ALL SELECT c.m, f.t, c.y, c.x, c.cy + f.value, c.cx + f.value FROM cum c JOIN fld f ON f.m = c.m AND f.t = c.t + 1 AND f.y = greatest(0, least(7, ceil(round(c.y + c.cy - 0.5, 9)))) AND f.x = greatest(0, least(7, ceil(round(c.x + c.cx - 0.5, 9)))))"
 
 
-@q("accumulate_field", "SELECT m, t, y * 8 + x AS id, round(cy, 5) AS cum_y, round(cx, 5) AS cum_x FROM cum", "RECURSIVE " + VOX, STK, MOVED, digits=5)
+@q("accumulate_field", "SELECT m, t, y * 8 + x AS id, y::DOUBLE AS y, x::DOUBLE AS x, round(cy, 5) AS cum_y, round(cx, 5) AS cum_x FROM cum", "RECURSIVE " + VOX, STK, MOVED, digits=5)
 def _(spark, sf):
     v = stack(spark, sf).select("m", "t", (F.col("y") * 8 + F.col("x")).alias("id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("value").alias("disp_y"), F.col("value").alias("disp_x"))
-    return W.accumulate_field(v).select("m", "t", "id", "cum_y", "cum_x")
+    return W.accumulate_field(v).select("m", "t", "id", "y", "x", "cum_y", "cum_x")
 
 
 @q("hexbin", "SELECT round(hx * 5, 6) AS x, round(hy * 5 * sqrt(3), 6) AS y, count(*) AS count FROM (SELECT CASE WHEN da < db THEN ax ELSE bx END AS hx, CASE WHEN da < db THEN ay ELSE by_ END AS hy FROM (SELECT *, (u - ax) ** 2 + 3 * (v - ay) ** 2 AS da, (u - bx) ** 2 + 3 * (v - by_) ** 2 AS db FROM (SELECT x / 5 AS u, y / (5 * sqrt(3)) AS v, round_even(x / 5, 0) AS ax, round_even(y / (5 * sqrt(3)), 0) AS ay, floor(x / 5) + 0.5 AS bx, floor(y / (5 * sqrt(3))) + 0.5 AS by_ FROM emb))) GROUP BY hx, hy", EMB)

@@ -16,15 +16,25 @@ from quadrille.sources import io as IO
 from quadrille.streaming import zones as Z
 
 
-@pytest.mark.parametrize(("key", "refused", "built"), [("analysis.optical_flow", {"method": "tvl1"}, {"method": "ilk"}), ("transform.rasterize_field", {"method": "linear"}, {"method": "nearest"}), ("registration.stabilize", {"model": "euclidean"}, {})])
-def test_modes_that_are_not_covered_refuse_by_name(spark, key, refused, built):
-    plane = spark.createDataFrame([(0, t, y, x, float((3 * y + x * x + t) % 5)) for t in range(2) for y in range(16) for x in range(16)], "m long, t long, y long, x long, value double")
+PLANE = [(0, t, y, x, float((3 * y + x * x + t) % 5)) for t in range(2) for y in range(16) for x in range(16)]
+
+
+def test_modes_that_are_not_covered_refuse_by_name(spark):
+    plane = spark.createDataFrame(PLANE, "m long, t long, y long, x long, value double")
+    with pytest.raises(Refusal, match="euclidean"):
+        OPERATORS["registration.stabilize"](plane, model="euclidean")
+    assert OPERATORS["registration.stabilize"](plane)["image"].count() == len(PLANE)
+
+
+@pytest.mark.parametrize(("key", "modes"), [("analysis.optical_flow", ({}, {"method": "tvl1"}, {"method": "ilk"})), ("transform.rasterize_field", ({}, {"method": "linear"}, {"method": "nearest", "reach": 2.0}))])
+def test_modes_run_and_others_are_refused(spark, key, modes):
+    plane = spark.createDataFrame(PLANE, "m long, t long, y long, x long, value double")
     points = plane.where("y = 3 and x = 3").select("m", "t", F.lit(1).cast("long").alias("id"), F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("value").alias("v"))
-    tables, more = ((points, plane.select("m", "t", "y", "x")), {"value": "v", "reach": 2.0}) if "rasterize" in key else ((plane,), {})
-    for asked in [refused] if key == "registration.stabilize" else [refused, {}]:  # of the two others the refused mode is the default
-        with pytest.raises(Refusal, match=next(iter(refused.values()))):
-            OPERATORS[key](*tables, **asked, **more)
-    assert OPERATORS[key](*tables, **built, **more).count() > 0
+    tables, more = ((points, plane.select("m", "t", "y", "x")), {"value": "v"}) if "rasterize" in key else ((plane,), {})
+    for asked in modes:
+        assert OPERATORS[key](*tables, **asked, **more).count() > 0
+    with pytest.raises(Refusal, match="other"):
+        OPERATORS[key](*tables, method="other", **more)
 
 
 def test_accumulate_field_takes_every_position(spark, sf001):
