@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import math
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -48,27 +49,34 @@ def shuffle_cleanup(spark: SparkSession):
             spark.conf.set(CLEANUP, old)
 
 
-_open: list[list[str]] = []
+#: Scratch paths of the open temporary() blocks, innermost last; of this thread's, as each query runs in one.
+_held = threading.local()
+
+
+def _open() -> list[list[str]]:
+    if not hasattr(_held, "levels"):
+        _held.levels = []
+    return _held.levels
 
 
 @contextlib.contextmanager
 def temporary(spark: SparkSession):
     """Deletes at its end the scratch tables written inside, but for those marked `keep`, which the next outer one takes over."""
-    _open.append([])
+    _open().append([])
     try:
         yield
     finally:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _open.pop():
+        for path in _open().pop():
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
 
 
 def scratch_table(spark: SparkSession, name: str, keep: bool) -> str:
     path = scratch_path(spark, name)
-    level = len(_open) - (2 if keep else 1)
+    level = len(_open()) - (2 if keep else 1)
     if level >= 0:
-        _open[level].append(path)
+        _open()[level].append(path)
     return path
 
 
