@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -140,7 +141,13 @@ def threshold(curve: list[tuple[int, int, int]], precision: float = PRECISION) -
     return best
 
 
-def url_model(parts: DataFrame, title_col: str, precision: float) -> tuple[DataFrame, tuple[int | None, float, float]]:
+def named_tokens(rules) -> list[str]:
+    """Labels and path words that the rules name: they say which rule fits and nothing of what a page is, so they are no features."""
+    hosts = {"h:" + label for _, host, _ in rules for label in host.lower().split(".")}
+    return sorted(hosts | {"p:" + w for _, _, path in rules for w in re.findall(r"[^\W\d_]+", path.lower())})
+
+
+def url_model(parts: DataFrame, title_col: str, precision: float, rules) -> tuple[DataFrame, tuple[int | None, float, float]]:
     """host, path, score, words of every distinct host and path; and the threshold with its held-out precision and recall.
 
     parts: host, path, ruled and the page's html, one row a page.
@@ -151,7 +158,7 @@ def url_model(parts: DataFrame, title_col: str, precision: float) -> tuple[DataF
     hosts = materialize(segment_hosts(pairs.select("host").distinct(), unigrams(parts, title_col)), "url-hosts", keep=True)
     tag = lambda c, t: F.transform(c, lambda w: F.concat(F.lit(t), w))
     path_words = F.regexp_extract_all(F.lower("path"), F.lit(r"(\p{L}+)"), 1)
-    tokens = pairs.join(hosts, "host").select("host", "path", "y", "n", "fold", F.explode(F.array_distinct(F.concat(tag(F.col("words"), "h:"), tag(path_words, "p:")))).alias("token"))
+    tokens = pairs.join(hosts, "host").select("host", "path", "y", "n", "fold", F.explode(F.array_distinct(F.concat(tag(F.col("words"), "h:"), tag(path_words, "p:")))).alias("token")).where(~F.col("token").isin(named_tokens(rules)))
     tokens = materialize(tokens, "url-tokens")
     decided = pairs.where("y is not null")
     odds, priors = fit(tokens, decided)
@@ -169,8 +176,8 @@ def filter_urls(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_c
     """page_id, host, path, rule, verdict, score (log odds of block by the model), words (the host, segmented).
 
     A rule that fits decides; the longest wins.  Other urls get the model's verdict.  The model learns
-    from the pages that rules decide, from the words of host and path only: top-level domains are no
-    feature.  It blocks from the score at which, on hosts it has not seen (cross-validation over folds of
+    from the pages that rules decide, from the words of host and path only: top-level domains, and words
+    that a rule names, are no features.  It blocks from the score at which, on hosts it has not seen (cross-validation over folds of
     hosts), at least `precision` of what it blocks is blocked by a rule too; if no score has that, it
     allows.  Everything the driver holds is of fixed size: priors, sums and a curve of 8,001 scores.
 
@@ -182,7 +189,7 @@ def filter_urls(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_c
     """
     urls, parts = decided_urls(pages, rules, id_col, url_col, title_col)
     with temporary(pages.sparkSession):
-        scored, (cut, _, _) = url_model(parts, "_title", precision)
+        scored, (cut, _, _) = url_model(parts, "_title", precision, rules)
     method = F.when(F.col("score") >= cut, "block").otherwise("allow") if cut is not None else F.lit("allow")
     out = urls.join(scored, ["host", "path"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), (F.col("score") / 1_000_000).alias("score"), "words")
@@ -198,7 +205,7 @@ def decided_urls(pages: DataFrame, rules, id_col: str, url_col: str, title_col:
 
 def held_out(pages: DataFrame, rules=RULES, *, id_col: str = "page_id", url_col: str = "url", title_col: str = "html", precision: float = PRECISION) -> tuple[float, float, float]:
     """Threshold (infinite where nothing is blocked), precision and recall of the model on hosts it has not seen."""
-    cut, p, r = url_model(decided_urls(pages, rules, id_col, url_col, title_col)[1], "_title", precision)[1]
+    cut, p, r = url_model(decided_urls(pages, rules, id_col, url_col, title_col)[1], "_title", precision, rules)[1]
     return (math.inf if cut is None else cut / 1_000_000), p, r
 
 

@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from quadrille.llm.urlfilter import RULES, filter_urls, held_out, op10_urls, threshold, viterbi
+from quadrille.llm.urlfilter import RULES, filter_urls, held_out, named_tokens, op10_urls, threshold, viterbi
 
 
 def brute(url):
@@ -97,9 +97,12 @@ def test_threshold():
 
 def test_held_out_precision_on_the_tables(spark):
     """The pages' rules go by top-level domain and language, which a host's words say little about: the model blocks only what it is sure of."""
-    cut, precision, recall = held_out(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
-    print(cut, precision, recall)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    cut, precision, recall = held_out(pages)
     assert precision >= 0.9 and 0 <= recall <= 1
+    verdicts = [r.verdict for r in filter_urls(pages).where("rule is null").collect()]
+    assert sum(v == "block" for v in verdicts) <= 0.1 * len(verdicts)
+    assert named_tokens(RULES) == ["h:com", "h:example", "h:net", "h:www", "p:en", "p:es", "p:fr"]
 
 
 def test_query_and_empty(spark, sf001):
