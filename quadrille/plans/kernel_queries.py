@@ -332,11 +332,10 @@ def _(spark, sf):
 
 def folder(spark) -> str:
     """A place for what a sink writes: the shared checkpoint folder."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-")
-    return f"{base}/sink-{uuid.uuid4().hex}"
+    S.checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/sink-{uuid.uuid4().hex}"
 
 
 ROUND_TRIP = "SELECT id, m, area FROM lab"
