@@ -145,28 +145,32 @@ def linked(size_a, size_b, both, percent: int):
     return 100 * both >= percent * (size_a + size_b - both)
 
 
-def confirm_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  b's text travels to a's; both joins split at hot ids."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(right, "b").select("a", "b", "text_b").join(left, "a").select("a", "b", "text_a", "text_b")
+def confirm_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int, block: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                x = batch.slice(at, 500)
-                a, b = x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)
-                known: dict[int, np.ndarray] = {}
-                for i, s in zip(b.tolist(), sets_of(x.column(3), k)):
-                    known.setdefault(i, s)
-                fresh = [i for i in dict.fromkeys(a.tolist()) if i not in known]
-                where = {i: j for j, i in reversed(list(enumerate(a.tolist())))}
-                for i, s in zip(fresh, sets_of(x.column(2).take(pa.array([where[i] for i in fresh], pa.int64())), k)):
-                    known[i] = s
-                keep = [linked(len(known[i]), len(known[j]), len(np.intersect1d(known[i], known[j], True)), percent) for i, j in zip(a.tolist(), b.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long")
+    The pairs of an a are dealt to shares of about `block`, and shares to groups of about four blocks of pairs; a's text goes to a
+    group once a share and b's text to the groups of its pairs, so a hub with a third of all rows is in as many groups
+    as any others, and its text travels once for every `block` members.
+    """
+    size = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "nd-size")
+    total = size.agg(F.sum("n")).first()[0] or 0
+    groups = max(1, -(-total // (4 * block)))
+    shares = F.ceil(F.col("n") / block)
+    group = F.pmod(F.xxhash64("a", "share"), F.lit(groups)).cast("int").alias("group")
+    dealt = pairs.join(size, "a").withColumn("share", F.pmod(F.xxhash64("b", F.lit(3)), shares))
+    own = size.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    hubs = own.select(group, F.col("a").alias("id")).distinct().join(texts, "id").select("group", F.lit(None).cast("long").alias("a"), "id", "text")
+    others = dealt.select(group, "a", F.col("b").alias("id")).join(texts, "id").select("group", "a", "id", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, sets = table.column("id").to_pylist(), list(sets_of(table.column("text"), k))
+        hub = table.column("a").to_pylist()
+        known = {i: s for i, s, h in zip(ids, sets, hub) if h is None}
+        keep = [(h, i) for i, s, h in zip(ids, sets, hub) if h is not None and linked(len(known[h]), len(s), len(np.intersect1d(known[h], s, True)), percent)]
+        return pa.table({"a": pa.array([h for h, _ in keep], pa.int64()), "b": pa.array([i for _, i in keep], pa.int64())})
+
+    return hubs.union(others).groupBy("group").applyInArrow(run, "a long, b long")
 
 
 def cut_blocks(d: DataFrame, key: list[str], size: DataFrame, block: int) -> DataFrame:
@@ -264,7 +268,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
     Nothing is capped or sampled; a pair at the threshold is missed by all bands with a chance of 1e-8.
 
     Cases: null or blank texts have no set and are linked with nothing; a text of fewer than k words is one
-    shingle; a null id is linked with nothing, has a null component and is kept; rows that repeat an id
+    shingle; texts of any length are compared whole; of classes that tie for a bucket's hub the smallest id is taken; a null id is linked with nothing, has a null component and is kept; rows that repeat an id
     are kept or dropped alike (an id stands for one text: of several texts under one id, one is linked); an empty table gives no rows; other columns are ignored.
     """
     bound_batches(docs.sparkSession)
@@ -286,7 +290,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
         chosen = materialize(chosen.select("id", (-F.col("top.neg")).alias("hub")), "nd-chosen")
         texts = materialize(slim.join(chosen.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "text"), "nd-texts")
         stars = chosen.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        first = materialize(confirm_pairs(stars, texts, k, percent), "nd-links")
+        first = materialize(confirm_pairs(stars, texts, k, percent, block), "nd-links")
 
         held = first.select(F.col("b").alias("id"), F.lit(True).alias("held"))
         cluster = chosen.where("id != hub").union(chosen.select(F.col("hub").alias("id"), "hub").distinct()).join(held, "id", "left").withColumn("loose", F.col("held").isNull() & (F.col("id") != F.col("hub"))).drop("held")
@@ -301,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 3, percent: int = 85, id_col: s
         open_ = materialize(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"), "nd-open")
         placed = materialize(placed.join(open_, "key"), "nd-placed")
         pairs = materialize(bucket_candidates(placed, values, threshold, block), "nd-pairs")
-        third = materialize(confirm_pairs(pairs, texts, k, percent), "nd-links")
+        third = materialize(confirm_pairs(pairs, texts, k, percent, block), "nd-links")
         if not third.isEmpty():
             comp = materialize(connected_components(links.union(third)), "nd-comp")
 
