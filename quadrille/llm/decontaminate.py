@@ -6,14 +6,14 @@ import copy
 import math
 import re
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_bytes, bound_batches, each_bytes, materialize, temporary, text_of
+from .common import arrow_bytes, bound_batches, each_bytes, materialize, small_batches, temporary, text_of
 
 #: Words: runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased; the rest separates them.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -23,7 +23,8 @@ RANK, EXTRA = 384, 16
 ITEM_WEIGHT = 8.0
 COSINE = 0.4
 LEAK, PARAPHRASE = 0.8, 0.6
-SAMPLE = 3_000
+SAMPLE = 3_000  # so many documents weigh as much in the fit as all of a larger table do, so that items keep their part at any size
+UNIT = 1 << 24
 BLOCK_WORDS = 200_000
 
 
@@ -123,71 +124,115 @@ def document_frequency(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     return df, total
 
 
-def passage_rows(items: Items, weight: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """TF-IDF rows of length 1 of passages given by their word numbers, over the features that occur in them."""
-    none = len(weight)
-    lengths = [len(x) for x in own]
-    flat = np.concatenate(own)
-    row = np.repeat(np.arange(len(own)), lengths)
-    row, flat = row[flat < none], flat[flat < none]
-    features, column = np.unique(flat, return_inverse=True)
-    x = np.bincount(row * len(features) + column, minlength=len(own) * len(features)).reshape(len(own), -1) * weight[features]
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12), features
+def summed(codes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, and the sum of each one's values."""
+    if not len(codes):
+        return codes, values
+    order = np.argsort(codes, kind="stable")
+    codes, values = codes[order], values[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[first], np.add.reduceat(values, first)
+
 
+def passage_pairs(flat: np.ndarray, lengths: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A'A of the passages A of texts given by their word numbers, one after another: codes a * features + b with a <= b, and sums in units of 1 / UNIT.
 
-def gram_times(sample: DataFrame, items: Items, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """A'A q over the TF-IDF passages A of the sample (text, weight of its passages); each task sums its own passages, and the sums are added by blocks of words."""
-    shared = sample.sparkSession.sparkContext.broadcast((items, idf, q))
-    step = 512
+    A passage is a TF-IDF row of length 1 over the features that occur in it.  Products are rounded to
+    whole units one by one, so that sums are the same in any order.
+    """
+    none = len(weight)
+    hits = np.flatnonzero(flat < none)
+    ends = np.cumsum(lengths)
+    doc = np.searchsorted(ends, hits, "right")
+    at = hits - (ends - lengths)[doc]
+    last = np.maximum(0, -((WINDOW - lengths) // STRIDE))  # of each text, the number of its last passage
+    first = np.cumsum(last + 1) - last - 1
+    within = [(at // STRIDE - back, (at // STRIDE >= back) & (at // STRIDE - back < last[doc]) & (at < (at // STRIDE - back) * STRIDE + WINDOW)) for back in range(-(-WINDOW // STRIDE))]
+    within.append((last[doc], at >= lengths[doc] - WINDOW))
+    key, n = np.unique(np.concatenate([((first[doc] + w) * none + flat[hits])[ok] for w, ok in within]), return_counts=True)
+    row, feature = np.divmod(key, max(1, none))
+    x = n * weight[feature]
+    own = np.cumsum(np.append(False, row[1:] != row[:-1])) if len(row) else row
+    x = x / np.maximum(np.sqrt(np.bincount(own, x * x)), 1e-12)[own]
+    codes, values = [key[:0]], [key[:0]]
+    for d in range(WINDOW):
+        same = np.flatnonzero(row[d:] == row[: len(row) - d])
+        if not len(same):
+            break
+        codes.append(feature[same] * none + feature[same + d])
+        values.append(np.rint(x[same] * x[same + d] * UNIT).astype(np.int64))
+    return summed(np.concatenate(codes), np.concatenate(values))
+
+
+def gram(docs: DataFrame, own: DataFrame, items: Items, weight: np.ndarray, share: float) -> DataFrame:
+    """A'A (a, b, v; both triangles) over the TF-IDF passages A of all documents, counted `share` times, and of the items; each column holds texts.
+
+    Each task sums its own passages, and sends on its sums when they are many.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((items, weight))
+    most = 1 << 20
 
     def run(batches):
-        it, weight, q = shared.value
-        none = len(weight)
-        out, q = np.zeros((none, q.shape[1])), q.astype(np.float32)
-        held: list[np.ndarray] = []
-        factor: list[float] = []
-
-        def flush() -> None:
-            if held:
-                x, features = passage_rows(it, weight, held)
-                x = (x * np.array(factor)[:, None]).astype(np.float32)
-                out[features] += x.T @ (x @ q[features])
-                held.clear()
-                factor.clear()
+        it, weight = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-        for b in batches:
-            for text, f in zip(each_bytes(b.column(0)), b.column(1).to_pylist()):
-                n = it.numbers(text.translate(FOLD).split())
-                for s, e in windows(len(n)):
-                    own = n[s:e]
-                    if own.min() < none:
-                        held.append(own)
-                        factor.append(f)
-                        if len(held) == 256:
-                            flush()
-        flush()
-        for i in range(0, none, step):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([out[i : min(i + step, none)].tobytes()], pa.binary())], ["at", "body"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x) for x in t.column("body").to_pylist()], axis=0)
-        return pa.table({"at": pa.array([t.column("at")[0].as_py()], pa.int32()), "body": pa.array([total.tobytes()], pa.binary())})
-
-    rows = sample.mapInArrow(run, "at int, body binary").groupBy("at").applyInArrow(add, "at int, body binary").collect()
-    out = np.zeros((len(idf), q.shape[1]))
-    for r in rows:
-        own = np.frombuffer(bytes(r.body)).reshape(-1, q.shape[1])
-        out[r.at : r.at + len(own)] = own
+        def batch() -> pa.RecordBatch:
+            codes, values = summed(*map(np.concatenate, zip(*held)))
+            a, b = np.divmod(codes, len(weight))
+            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(values)], ["a", "b", "n"])
+
+        for b in small_batches(batches, 0):
+            raw, off = arrow_bytes(b.column(0))
+            folded, off = raw.tobytes().translate(FOLD), off.tolist()
+            words = [folded[s:e].split() for s, e in zip(off[:-1], off[1:])]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            held.append(passage_pairs(it.numbers(list(chain.from_iterable(words))), lengths, weight))
+            size += len(held[-1][0])
+            if size > most:
+                held[:] = [summed(*map(np.concatenate, zip(*held)))]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield batch()
+                    held.clear()
+                    size = 0
+        if size:
+            yield batch()
+
+    parts = [d.mapInArrow(run, "a int, b int, n long").withColumn("own", F.lit(of_items)) for d, of_items in ((docs, False), (own, True))]
+    n = [F.sum(F.when(F.col("own") == of_items, F.col("n")).otherwise(F.lit(0))) for of_items in (False, True)]
+    v = (n[0] * F.lit(share) + n[1] * F.lit(ITEM_WEIGHT**2)) / F.lit(UNIT)
+    half = parts[0].union(parts[1]).groupBy("a", "b").agg(v.alias("v"))
+    there, back = F.struct("a", "b", "v"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "v")
+    return half.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(there)).otherwise(F.array(there, back))))
+
+
+def gram_times(a: DataFrame, q: np.ndarray, step: int = 64) -> np.ndarray:
+    """The product of the matrix a (a, b, v) and q, by blocks of rows of a."""
+    shared = a.sparkSession.sparkContext.broadcast(q)
+
+    def times(t: pa.Table) -> pa.Table:
+        at = t.column("at")[0].as_py()
+        row, column, v = (t.column(c).to_numpy() for c in ("a", "b", "v"))
+        known, column = np.unique(column, return_inverse=True)
+        block = np.zeros((step, len(known)))
+        block[row - at * step, column] = v
+        return pa.table({"at": pa.array([at], pa.int32()), "body": pa.array([(block @ shared.value[known]).tobytes()], pa.binary())})
+
+    out = np.zeros(q.shape)
+    for r in a.withColumn("at", F.floor(F.col("a") / step).cast("int")).groupBy("at").applyInArrow(times, "at int, body binary").collect():
+        own = out[r.at * step : (r.at + 1) * step]
+        own[:] = np.frombuffer(bytes(r.body)).reshape(step, -1)[: len(own)]
     return out
 
 
-def latent_space(sample: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, rounds: int = 2) -> np.ndarray:
-    """Right singular vectors (words x rank) of the passages of the sample, by randomised subspace iteration."""
-    wide = min(len(idf), rank + EXTRA)
-    y = q = np.linalg.qr(np.random.default_rng(0).standard_normal((len(idf), wide)))[0]
+def latent_space(a: DataFrame, features: int, rank: int = RANK, rounds: int = 2) -> np.ndarray:
+    """Right singular vectors (words x rank) of the passages A, from a = A'A, by randomised subspace iteration."""
+    wide = min(features, rank + EXTRA)
+    y = q = np.linalg.qr(np.random.default_rng(0).standard_normal((features, wide)))[0]
     before = q
     for _ in range(rounds):
-        y = gram_times(sample, items, idf, q)
+        y = gram_times(a, q)
         before, q = q, np.linalg.qr(y)[0]
     small = before.T @ y  # the matrix in the last basis, whose eigenvectors order the directions
     values, turn = np.linalg.eigh((small + small.T) / 2)
@@ -267,12 +312,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     The benchmark is taken in blocks of about `block_words` words, or of one longer item, all against all
     documents.  For a block: document frequencies of its words over all documents, which pick the rarest
-    words of each item passage as features; a randomised SVD of TF-IDF passages, fitted on about
-    `sample_docs` documents (those with the smallest hash of id) and the items themselves; then one scan
-    that projects every passage of every document, takes as candidates those whose cosine with a passage
-    of an item is `cosine` or more, and compares words: a candidate leaks if at least `leak` of the item's
-    words stand in order near the passage, or at least `paraphrase` of them and its answer too.  No row is
-    shuffled; only the model is broadcast, whose size the block bounds.
+    words of each item passage as features; a randomised SVD of TF-IDF passages, fitted on all passages of
+    all documents and of the items (beyond `sample_docs` documents, all together weigh as much as so many,
+    so that the items don't fade as the table grows; none is left out); then one scan that projects every
+    passage of every document, takes as candidates those whose cosine with a passage of an item is `cosine`
+    or more, and compares words: a candidate leaks if at least `leak` of the item's words stand in order
+    near the passage, or at least `paraphrase` of them and its answer too.  No row is shuffled, but sums
+    of pairs of features are; only the model is broadcast, whose size the block bounds.
 
     Cases: null texts are empty and match nothing; texts of any length are searched whole, passage by
     passage; an item without words is never found; of passages of a document that tie for an item the
@@ -295,9 +341,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     own_names = [*names, *[F.col(n).alias(c) for c, n in zip(carry, extra)]]
     if not n_words or not n_docs:
         return out.select(*own_names)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.lit(math.ceil((1 << 30) * min(1.0, sample_docs / n_docs)))
     with temporary(spark):
-        sample = materialize(slim.where(part).select("text", F.lit(1.0).alias("weight")).repartition(16), "lsa-sample")
         for block in range(blocks):
             own = known.where(F.pmod(F.xxhash64("item_id", F.lit(23)), F.lit(blocks)) == block) if blocks > 1 else known
             rows = sorted((r for r in own.collect()), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
@@ -308,8 +352,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
             df, total = document_frequency(slim.select("text"), items)
             # a word that no document has can't lead to one
             items, weight = items.narrowed(np.where(df > 0, np.log((total + 1) / (df + 1)) + 1, 0.0))
-            fitted = sample.union(own.select("text", F.lit(ITEM_WEIGHT).alias("weight")))
-            search = Searcher(items, weight, latent_space(fitted, items, weight, rank), cosine, leak, paraphrase)
+            pairs = materialize(gram(slim.select("text"), own.select("text"), items, weight, min(1.0, sample_docs / n_docs)), "lsa-pairs")
+            search = Searcher(items, weight, latent_space(pairs, len(weight), rank), cosine, leak, paraphrase)
             if not len(search.queries):
                 continue
             shared = spark.sparkContext.broadcast(search)

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from quadrille.llm.decontaminate import Items, Searcher, answer_of, find_leaks, lcs, masks, op1_decontaminate, windows, words_of
+from quadrille.llm.decontaminate import UNIT, Items, Searcher, answer_of, find_leaks, lcs, masks, op1_decontaminate, passage_pairs, windows, words_of
 
 
 def brute_lcs(a, b):
@@ -168,3 +168,35 @@ def test_query_and_empty(spark, sf001):
     b = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(spark.createDataFrame([], schema), b).count() == 0
     assert find_leaks(spark.createDataFrame([(1, "a")], schema), b).count() == 0
+
+
+def test_pairs_of_passages():
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        none = int(r.integers(1, 40))
+        lengths, weight = r.integers(0, 90, size=r.integers(1, 9)), r.random(none) * 5
+        texts = [r.integers(0, none * 3, n).clip(0, none) for n in lengths]
+        want, got = np.zeros((none, none)), np.zeros((none, none))
+        for text in texts:
+            for s, e in windows(len(text)):
+                x = np.bincount(text[s:e], minlength=none + 1)[:none] * weight
+                if x.any():
+                    x = x / np.linalg.norm(x)
+                    want += np.outer(x, x)
+        codes, sums = passage_pairs(np.concatenate(texts).astype(np.int32), lengths, weight)
+        got[np.divmod(codes, none)] = sums / UNIT
+        assert np.allclose(np.triu(want), got, atol=1e-5)
+
+
+def test_the_fit_takes_every_document_whatever_its_id(spark):
+    """Cosines come from all documents: other ids and other partitions leave each as it is."""
+    r = random.Random(41)
+    known = [word(r) for _ in range(60)]
+    items = [" ".join(r.choices(known, k=30)) + ". " + r.choice(known) for _ in range(12)]
+    texts = [" ".join(r.choices(known, k=r.randint(5, 60))) for _ in range(80)] + items
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = []
+    for shift, parts in ((0, 1), (1000, 3), (2000, 7)):
+        d = spark.createDataFrame([(i + shift, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(parts, "doc_id")
+        got.append({(x.doc_id - shift, x.item_id, x.share, x.cosine) for x in find_leaks(d, b, sample_docs=20, rank=6).collect()})
+    assert len(got[0]) >= 12 and got[0] == got[1] == got[2]
