@@ -167,22 +167,23 @@ def passage_pairs(flat: np.ndarray, lengths: np.ndarray, weight: np.ndarray) ->
 def gram(docs: DataFrame, own: DataFrame, items: Items, weight: np.ndarray, share: float) -> DataFrame:
     """A'A (a, b, v; both triangles) over the TF-IDF passages A of all documents, counted `share` times, and of the items; each column holds texts.
 
-    Each task sums its own passages, and sends on its sums when they are many.
+    Each task sums its own passages, and sends on its sums when they are many; small arrays, as a Python worker keeps what it once took.
     """
     shared = docs.sparkSession.sparkContext.broadcast((items, weight))
-    most = 1 << 20
+    most, rows = 1 << 18, 1 << 14
 
     def run(batches):
         it, weight = shared.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def batch() -> pa.RecordBatch:
+        def sent():
             codes, values = summed(*map(np.concatenate, zip(*held)))
-            a, b = np.divmod(codes, len(weight))
-            return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(values)], ["a", "b", "n"])
+            for i in range(0, len(codes), rows):
+                a, b = np.divmod(codes[i : i + rows], len(weight))
+                yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(values[i : i + rows])], ["a", "b", "n"])
 
-        for b in small_batches(batches, 0):
+        for b in small_batches(batches, 0, 1 << 19):
             raw, off = arrow_bytes(b.column(0))
             folded, off = raw.tobytes().translate(FOLD), off.tolist()
             words = [folded[s:e].split() for s, e in zip(off[:-1], off[1:])]
@@ -193,11 +194,11 @@ def gram(docs: DataFrame, own: DataFrame, items: Items, weight: np.ndarray, shar
                 held[:] = [summed(*map(np.concatenate, zip(*held)))]
                 size = len(held[0][0])
                 if size > most // 2:
-                    yield batch()
+                    yield from sent()
                     held.clear()
                     size = 0
         if size:
-            yield batch()
+            yield from sent()
 
     parts = [d.mapInArrow(run, "a int, b int, n long").withColumn("own", F.lit(of_items)) for d, of_items in ((docs, False), (own, True))]
     n = [F.sum(F.when(F.col("own") == of_items, F.col("n")).otherwise(F.lit(0))) for of_items in (False, True)]

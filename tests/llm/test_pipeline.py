@@ -2,6 +2,7 @@ import re
 import zlib
 
 import corpus_pipeline as cp
+from quadrille.llm import decontaminate
 from quadrille.llm.decontaminate import words_of
 from quadrille.llm.secrets import find_secrets
 from quadrille.llm.packing import binary_pieces
@@ -93,3 +94,22 @@ def test_leaks_go_by_row_and_not_by_id_alone(spark, sf001):
     other = " ".join(f"word{i}" for i in range(80))
     d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((None, item), (1, item), (1, other), (None, other), (2, other + " " + item))], schema)
     assert sorted((r.doc_id or -1, r.text) for r in cp.decontaminate(spark, d, sf001).collect()) == [(-1, other), (1, other)]
+
+
+def test_decontamination_fits_on_every_document(spark, sf001, monkeypatch):
+    """More documents than weigh singly in the fit: the model is the same whatever their ids, so none is left out by its id."""
+    items = [r.text for r in spark.read.parquet(f"{sf001}/benchmark.parquet").collect()]
+    words = [w for t in items for w in t.split()]
+    texts = [" ".join(words[(7 * i + 13 * j) % len(words)] for j in range(6)) for i in range(4_000)]
+    spaces = []
+    fit = decontaminate.latent_space
+
+    def seen(*given, **named):
+        spaces.append(fit(*given, **named))
+        return spaces[-1]
+
+    monkeypatch.setattr(decontaminate, "latent_space", seen)
+    for shift in (0, 10_000):
+        d = spark.createDataFrame([(i + shift, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+        cp.decontaminate(spark, d, sf001)
+    assert len(spaces) == 2 and np.array_equal(*spaces)
