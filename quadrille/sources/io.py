@@ -67,13 +67,17 @@ def write_table(data: Dataset, path: str, format: str = "parquet", layout: str =
 
 
 def write_trial(data: Dataset, path: str, unit: Sequence[str] = ("m",)) -> None:
-    """Saves tables for load_analysis: a Parquet folder a layer, partitioned by unit, and a manifest written last."""
+    """Saves tables for load_analysis: a Parquet folder a layer, and a manifest written last.
+
+    Rows are dealt to files by ranges of the unit and sorted by it, so that a reader of one unit skips the rest by the files'
+    statistics; the number of files goes with the data, not with the number of units, and a large unit takes several files.
+    """
     rows = []
     for (domain, layer), df in data.layers.items():
         if domain in ("label", "point", "track"):
             keys = [u for u in unit if u in df.columns]
-            w = df.write.mode("overwrite")
-            (w.partitionBy(*keys) if keys else w).parquet(f"{path}/{domain}/{layer}")
+            d = df.repartitionByRange(*keys, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])).sortWithinPartitions(*keys) if keys else df
+            d.write.mode("overwrite").parquet(f"{path}/{domain}/{layer}")
             rows.append((domain, layer))
     spark = next(iter(data.layers.values())).sparkSession
     spark.createDataFrame(rows, "domain string, layer string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")

@@ -106,6 +106,14 @@ def test_tables_and_trials(spark, tmp_path):
     assert IO.dock(data, str(tmp_path / "dock")).layer("label").count() == 2
 
 
+def test_files_of_a_trial_go_with_its_rows_not_its_units(spark, tmp_path):
+    d = spark.range(300, numPartitions=3).select("id", F.when(F.col("id") != 7, F.format_string("%03d", "id")).alias("m"))
+    IO.write_trial(Dataset().put("label", "cells", d), str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").rglob("*.parquet"))) <= 8
+    back = IO.load_analysis(spark, str(tmp_path / "t")).layer("label", "cells")
+    assert sorted(map(tuple, back.select("id", "m").collect())) == [(i, None if i == 7 else f"{i:03d}") for i in range(300)]
+
+
 def test_images(spark, tmp_path):
     planes = [np.arange(12, dtype=np.uint16).reshape(3, 4) + i for i in range(3)]
     for c in (False, True):
