@@ -168,6 +168,14 @@ def test_scatter_linear_reproduces_planes_and_fills_outside():
     assert np.isnan(K.scatter_linear(np.empty((0, 2)), np.empty(0), far)).all()
 
 
+def test_rasterize_linear_of_many_points(spark):
+    u = lambda i: F.rand(i) * 40 - 20
+    p = spark.range(100_000).select("id", u(1).alias("y"), u(2).alias("x")).withColumn("v", F.col("y") * 3 - F.col("x"))
+    g = spark.range(-19, 20).select(F.col("id").alias("y")).crossJoin(spark.range(-19, 20).select(F.col("id").alias("x")))
+    got = C.rasterize_linear(p, g, "v").collect()
+    assert len(got) == 39 * 39 and all(abs(r.v - (3 * r.y - r.x)) < 1e-6 for r in got)  # a plane is its own interpolation
+
+
 def test_rasterize_linear(spark):
     r = np.random.default_rng(6)
     p = spark.createDataFrame([(i, m, float(y), float(x), float(1 + y - 2 * x)) for m in (0, 1) for i, (y, x) in enumerate(r.uniform(-5, 25, (40, 2)))], "id long, m long, y double, x double, v double")
