@@ -187,6 +187,23 @@ def label_to_points(raster: DataFrame, image: DataFrame | None = None, position:
     return out.withColumnRenamed("label_id", "label")
 
 
+def raster_variance(pixels: str, axis: str):
+    """Population variance of an axis over an object's pixels, one after another in raster order.
+
+    The last bits of yy - xx decide between 0 and half a turn for an object as wide as high, so its order is fixed:
+    a grouped variance would depend on how partitions met.
+    """
+    start = F.struct(*[F.lit(0.0).alias(n) for n in ("n", "mean", "sum")])
+
+    def add(s, p):
+        v, n = p[axis].cast("double"), s["n"] + 1
+        d = v - s["mean"]
+        mean = s["mean"] + d / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["sum"] + d * (v - mean)).alias("sum"))
+
+    return F.aggregate(pixels, start, add, lambda s: s["sum"] / s["n"])
+
+
 def measure(raster: DataFrame, image: DataFrame, stats=("mean", "max", "min", "count"), shape: bool = False) -> DataFrame:
     """Per label: intensity statistics, area and centroid, and shape from moments; one grouped aggregate."""
     on = [k for k in VOXEL_KEYS if k in raster.columns and k in image.columns]
@@ -196,15 +213,16 @@ def measure(raster: DataFrame, image: DataFrame, stats=("mean", "max", "min", "c
     agg = [F.count(F.lit(1)).alias("area"), *[F.avg(a).alias(a) for a in space]]
     agg += [reduce_column(s, "value").alias(f"{named[s]}_intensity") for s in stats if s in named]
     if shape:
-        agg += [F.var_pop("y").alias("_yy"), F.var_pop("x").alias("_xx"), F.covar_pop("y", "x").alias("_yx"), *[f(a).alias(f"_{n}{a}") for a in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))]]
+        place = [k for k in ("b", "m", "t", "c", "z", "y", "x") if k in d.columns]
+        agg += [F.array_sort(F.collect_list(F.struct(*place))).alias("_px"), F.covar_pop("y", "x").alias("_yx"), *[f(a).alias(f"_{n}{a}") for a in ("y", "x") for n, f in (("lo", F.min), ("hi", F.max))]]
     out = d.groupBy(F.col("label_id").alias("id")).agg(*agg)
     if shape:
-        yy, xx, yx = F.col("_yy") + 1 / 12, F.col("_xx") + 1 / 12, F.when(F.abs("_yx") > 1e-12, F.col("_yx")).otherwise(0.0)
+        yy, xx, yx = raster_variance("_px", "y") + 1 / 12, raster_variance("_px", "x") + 1 / 12, F.when(F.abs("_yx") > 1e-12, F.col("_yx")).otherwise(0.0)
         root = F.sqrt(F.pow((yy - xx) / 2, 2) + yx * yx)
         l1, l2 = (yy + xx) / 2 + root, F.greatest((yy + xx) / 2 - root, F.lit(0.0))
         out = out.withColumn("axis_major", 4 * F.sqrt(l1)).withColumn("axis_minor", 4 * F.sqrt(l2)).withColumn("eccentricity", F.sqrt(F.greatest(1 - F.try_divide(l2, l1), F.lit(0.0))))
         out = out.withColumn("orientation", 0.5 * F.atan2(2 * yx, yy - xx)).withColumn("extent", F.col("area") / ((F.col("_hiy") - F.col("_loy") + 1) * (F.col("_hix") - F.col("_lox") + 1)))
-        out = out.drop("_yy", "_xx", "_yx", "_loy", "_hiy", "_lox", "_hix")
+        out = out.drop("_px", "_yx", "_loy", "_hiy", "_lox", "_hix")
         out = out.join(perimeters(raster), "id").join(hull_areas(raster), "id").withColumn("solidity", F.col("area") / F.col("convex_area")).drop("convex_area")
     return out
 

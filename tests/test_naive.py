@@ -168,6 +168,14 @@ def test_scatter_linear_reproduces_planes_and_fills_outside():
     assert np.isnan(K.scatter_linear(np.empty((0, 2)), np.empty(0), far)).all()
 
 
+def test_orientation_of_an_object_as_wide_as_high(spark):
+    px = [(0, 6), (1, 4), (2, 7), (3, 5)]
+    for rows in (px, px[::-1], px[2:] + px[:2]):  # in any order and number of partitions
+        for parts in (1, 2, 4):
+            d = spark.createDataFrame([(1, y, x, 9, 1.0) for y, x in rows], "m long, y long, x long, label_id long, value double").repartition(parts).localCheckpoint()
+            assert D.measure(d.drop("value"), d.drop("label_id"), (), True).first().orientation == 0
+
+
 def test_rasterize_linear_of_many_points(spark):
     u = lambda i: F.rand(i) * 40 - 20
     p = spark.range(100_000).select("id", u(1).alias("y"), u(2).alias("x")).withColumn("v", F.col("y") * 3 - F.col("x"))
