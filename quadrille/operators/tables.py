@@ -297,19 +297,22 @@ def image(df: DataFrame, other: DataFrame | float, op: str) -> DataFrame:
 def mask_math(a: DataFrame, b: DataFrame | None, op: str, frame: DataFrame | None = None) -> DataFrame:
     """Set operations on voxel masks given as key rows; invert needs the frame's keys."""
     keys = a.columns
+    if op in ("union", "xor"):
+        # one shuffle, without a table of each map task's keys, which hardly repeat; as many partitions as the input's size asks, so that a task's share does not grow
+        both = a.withColumn("_s", F.lit(1)).union(b.select(*keys).withColumn("_s", F.lit(2)))
+        size = int(str(both._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(parts, min(size >> 21, 5_000)) if size < 1 << 44 else parts  # Spark says 8 EB where it does not know
+        sides = both.repartition(parts, *keys).groupBy(*keys).agg(F.bit_or("_s").alias("_s"))
+        return (sides.where("_s < 3") if op == "xor" else sides).drop("_s")
     a = a.distinct()
     if op == "invert":
         return frame.select(*keys).distinct().join(a, keys, "left_anti")
     b = b.select(*keys).distinct()
-    if op == "union":
-        return a.union(b).distinct()
     if op == "intersect":
         return a.join(b, keys, "left_semi")
     if op == "subtract":
         return a.join(b, keys, "left_anti")
-    if op == "xor":
-        # one shuffle: keys that just one side has
-        return a.withColumn("_s", F.lit(1)).union(b.withColumn("_s", F.lit(2))).groupBy(*keys).agg(F.sum("_s").alias("_s")).where("_s < 3").drop("_s")
     raise Refusal(f"unknown operation {op!r}")
 
 

@@ -96,3 +96,13 @@ def test_dataset(spark):
         data.put("label", "b", d).layer("label")
     with pytest.raises(Refusal):
         Dataset(AxisSizes(b=2)).put("label", "a", d)
+
+
+def test_masks_meet_in_one_shuffle(spark):
+    a = spark.createDataFrame([(1, 1), (1, 1), (None, 2), (3, 3)], "y long, x long")
+    b = spark.createDataFrame([(3, 3), (3, 3), (4, None)], "y long, x long")
+    for op, want in (("union", {(1, 1), (None, 2), (3, 3), (4, None)}), ("xor", {(1, 1), (None, 2), (4, None)})):
+        d = T.mask_math(a, b, op)
+        rows = [tuple(r) for r in d.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+        assert d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
